@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from shelfmark.functions.text import SPACE, clean_field, composed
+from shelfmark.functions.text import SPACE, clean_field, composed, let
 
 # --- paths ---------------------------------------------------------------------------------
 
@@ -13,14 +13,17 @@ def base_name(path: Column) -> Column:
     return F.regexp_extract(path, r"(?s)[^/]*\z", 0)
 
 
+# Stem and suffix of the last path part: the suffix is the last dot and what follows it; dot files
+# and a trailing dot have none.
+_PARTS = r"(?s)\A(?:.*/)?([^/]+?)(\.[^./]+)?\z"
+
+
 def suffix(name: Column) -> Column:
-    """Last dot and what follows; empty without one, for dot files and for a trailing dot."""
-    return F.regexp_extract(base_name(name), r"(?s)\A.+(\.[^.]+)\z", 1)
+    return F.regexp_extract(name, _PARTS, 2)
 
 
 def stem(name: Column) -> Column:
-    base = base_name(name)
-    return F.left(base, F.char_length(base) - F.char_length(suffix(name)))
+    return F.regexp_extract(name, _PARTS, 1)
 
 
 def parent(path: Column) -> Column:
@@ -69,26 +72,37 @@ SHORT_STEM = 10
 LONGEST_STEM = 180
 
 
+def _clean_stem(name: Column, max_stem: int | None) -> Column:
+    """The stem of a composed name (all of it without a suffix), cleaned and cut."""
+
+    def cleaned(n: Column) -> Column:
+        body = F.when(suffix(n) == "", n).otherwise(stem(n))
+        body = F.regexp_replace(F.regexp_replace(body, _UNSAFE, ""), rf"{SPACE}+", " ")
+        return F.btrim(body, F.lit(" ."))
+
+    def named(body: Column) -> Column:
+        return F.when(body == "", "unnamed").otherwise(body)
+
+    def cut(body: Column) -> Column:
+        return let(F.rtrim(F.left(body, F.lit(max_stem))), named)
+
+    whole = let(let(name, cleaned), named)
+    if max_stem is None:
+        return whole
+    return let(whole, lambda b: F.when(F.char_length(b) > max_stem, cut(b)).otherwise(b))
+
+
 def sanitize_filename(name: Column, max_stem: int | None = None) -> Column:
     """A file name without unsafe characters, white space squeezed, ends free of blanks and dots."""
-    ext = suffix(name)
-    body = F.when(ext == "", name).otherwise(stem(name))
-    body = F.regexp_replace(composed(body), _UNSAFE, "")
-    body = F.btrim(F.regexp_replace(body, rf"{SPACE}+", " "), F.lit(" ."))
-    body = F.coalesce(F.nullif(body, F.lit("")), F.lit("unnamed"))
-    if max_stem is not None:
-        cut = F.coalesce(F.nullif(F.rtrim(F.left(body, F.lit(max_stem))), F.lit("")), F.lit("unnamed"))
-        body = F.when(F.char_length(body) > max_stem, cut).otherwise(body)
-    return F.concat(body, ext)
+    return F.concat(_clean_stem(composed(name), max_stem), suffix(name))
 
 
 def has_short_basename(name: Column, shorter_than: int = SHORT_STEM) -> Column:
     return (F.lower(suffix(name)) == ".epub") & (F.char_length(stem(name)) < shorter_than)
 
 
-def metadata_filename(title: Column, authors: Column, publisher: Column, fallback: Column) -> Column:
-    """``title - authors-(publisher).epub`` with stand-ins for what is unknown."""
-    raw = F.concat(
+def _metadata_name(title: Column, authors: Column, publisher: Column, fallback: Column) -> Column:
+    return F.concat(
         clean_field(title, fallback),
         F.lit(" - "),
         clean_field(authors, F.lit("Unknown Author")),
@@ -96,7 +110,12 @@ def metadata_filename(title: Column, authors: Column, publisher: Column, fallbac
         clean_field(publisher, F.lit("Unknown Publisher")),
         F.lit(").epub"),
     )
-    return sanitize_filename(raw, LONGEST_STEM)
+
+
+def metadata_filename(title: Column, authors: Column, publisher: Column, fallback: Column) -> Column:
+    """``title - authors-(publisher).epub`` with stand-ins for what is unknown."""
+    raw = _metadata_name(*(composed(value) for value in (title, authors, publisher, fallback)))
+    return F.concat(_clean_stem(raw, LONGEST_STEM), F.lit(".epub"))
 
 
 def target_filename(
@@ -106,12 +125,15 @@ def target_filename(
     publisher: Column,
     shorter_than: int = SHORT_STEM,
 ) -> Column:
-    """The name a file should have: short ones are named after their metadata."""
-    wanted = F.when(
-        has_short_basename(name, shorter_than),
-        metadata_filename(title, authors, publisher, stem(name)),
-    ).otherwise(name)
-    return sanitize_filename(wanted, LONGEST_STEM)
+    """The name a file should have: short ones are named after their metadata.
+
+    The metadata name is cleaned twice, since its cut may leave a blank or a dot at the end.
+    """
+    short = metadata_filename(title, authors, publisher, stem(name))
+    again = let(short, lambda n: F.concat(_clean_stem(n, LONGEST_STEM), suffix(n)))
+    return F.when(has_short_basename(name, shorter_than), again).otherwise(
+        sanitize_filename(name, LONGEST_STEM)
+    )
 
 
 # --- covers --------------------------------------------------------------------------------

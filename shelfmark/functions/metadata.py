@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from shelfmark.functions.text import strip_space
+from shelfmark.functions.text import let, strip_space
 
 # Fixed value: a bare ISBN-13 or ISBN-10.
 _ISBN_SHAPE = r"\A(?:97[89]\d{10}|\d{9}[\dXx])\z"
@@ -99,22 +99,26 @@ def parse_tool_output(report: Column) -> Column:
         ),
     )
 
-    def field(name: str) -> Column:
-        hits = F.filter(entries, lambda e: e["key"] == name)
-        return _none_if_empty(F.try_element_at(hits, F.lit(-1))["value"])
-
     shape = {
         "authors": normalize_authors,
         "language": first_language,
         "isbn": isbn_from_list,
-        "series_index": parse_number,
+        "series_index": lambda value: let(value, parse_number),
     }
-    return F.struct(
-        *[
-            shape.get(target, lambda c: c)(field(name)).alias(target)
-            for name, target in REPORT_FIELDS.items()
-        ]
-    )
+
+    def fields(found: Column) -> Column:
+        def last(name: str) -> Column:
+            hits = F.filter(found, lambda e: e["key"] == name)
+            return F.try_element_at(hits, F.lit(-1))["value"]
+
+        return F.struct(
+            *[
+                shape.get(target, lambda value: value)(let(last(name), _none_if_empty)).alias(target)
+                for name, target in REPORT_FIELDS.items()
+            ]
+        )
+
+    return let(entries, fields)
 
 
 def languages_to_json(languages: Column) -> Column:

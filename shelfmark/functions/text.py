@@ -10,6 +10,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from collections.abc import Callable
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -22,6 +23,11 @@ SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def fold_nocase(c: Column) -> Column:
     """ASCII-only case fold: accented letters keep their case."""
     return F.translate(c, _UPPER, _UPPER.lower())

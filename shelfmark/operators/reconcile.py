@@ -418,7 +418,9 @@ def rename_plan(
 ) -> DataFrame:
     """(id, from_path, to_path): renames that give every file its wanted, unused name."""
     c = F.col
-    rows = rename_candidates(books, inventory, roots).where(c("wanted") != c("disk_name"))
+    due = rename_candidates(books, inventory, roots).where(c("wanted") != c("disk_name"))
+    # the names are worked out once and written; the ranking below reads them several times
+    rows = cut_lineage(due.select("id", "file_path", "dir", "wanted"))
     names = unique_names(rows.select("id", "dir", "wanted"), inventory, hot_rows)
     path = F.concat(F.when(c("dir") == "/", "").otherwise(c("dir")), F.lit("/"), c("final_name"))
     return rows.select("id", "file_path").join(

@@ -26,6 +26,13 @@ def author_words(column: str) -> str:
     )
 
 
+def clean_list(column: str, separator: str, joiner: str) -> str:
+    return (
+        f"nullif(array_to_string(list_filter(list_transform(string_split({column}, '{separator}'), "
+        f"lambda x: trim(x)), lambda x: x <> ''), '{joiner}'), '')"
+    )
+
+
 def base(path: str) -> str:
     return f"regexp_extract({path}, '[^/]*$')"
 
@@ -187,6 +194,9 @@ TABLES = {
         SELECT id, file_path, file_name, dir, wanted FROM wanted_names
         WHERE id IN (SELECT id FROM books WHERE NOT is_missing) AND {LIB}
           AND file_path IN (SELECT path FROM inventory)""",
+    "renames": f"""
+        SELECT id, file_path, dir || '/' || CASE WHEN n = 1 THEN wanted ELSE regexp_replace(wanted, '\\.epub$', '') || ' (' || n || ').epub' END AS to_path
+        FROM (SELECT *, row_number() OVER (PARTITION BY dir, wanted ORDER BY id) AS n FROM fixes WHERE wanted <> {base('file_path')})""",
     "dir_parts": """
         SELECT DISTINCT array_to_string(p[1:n], '/') AS path FROM (
           SELECT p, unnest(range(2, len(p))) AS n FROM (

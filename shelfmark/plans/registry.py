@@ -11,7 +11,7 @@ from shelfmark.operators import browse, merge, quality, reconcile, search, stats
 from shelfmark.operators.search import BrowseContext
 from shelfmark.plans import jobs
 from shelfmark.plans.bindings import NOW, ROOTS, Library
-from shelfmark.plans.oracle import LIB, ORDERS, TITLE_KEY, author_words, base, fold, key, sql, words
+from shelfmark.plans.oracle import LIB, ORDERS, author_words, clean_list, fold, key, sql, words
 from shelfmark.schema import LIST_COLUMNS
 from shelfmark.session import shared_folder
 from shelfmark.sources import catalog, files as fs, images, packages
@@ -859,7 +859,7 @@ def _(lib):
 
 @query(
     "rename_plan",
-    f"SELECT id, file_path AS from_path, dir || '/' || wanted AS to_path FROM fixes WHERE wanted <> {base('file_path')}",
+    "SELECT id, file_path AS from_path, to_path FROM renames",
 )
 def _(lib):
     return reconcile.rename_plan(lib.books, lib.files, ROOTS)
@@ -1070,7 +1070,7 @@ def _(lib):
 
 @query(
     "parse_tool_output",
-    """SELECT id, nullif(title, '') AS title, sort_title, rtrim(authors, '; ') AS authors,
+    f"""SELECT id, title, sort_title, {clean_list("replace(authors, '; ', ' & ')", '&', '; ')} AS authors,
          CASE WHEN id % 2 = 0 THEN 'Second Publisher' ELSE publisher END AS publisher, published_date,
          nullif(trim(language), '') AS language, series, series_index, tags, isbn FROM books""",
 )
@@ -1113,7 +1113,7 @@ def _cleanup(lib, **how) -> jobs.CleanupResult:
 
 _PLAN = f"""SELECT 'backfill' AS op, id AS book_id, NULL AS from_path, NULL AS to_path FROM backfill WHERE id = winner
     UNION ALL SELECT 'backfill_refused', id, NULL, NULL FROM backfill WHERE id <> winner
-    UNION ALL SELECT 'rename', id, file_path, dir || '/' || wanted FROM fixes WHERE wanted <> {base('file_path')}
+    UNION ALL SELECT 'rename', id, file_path, to_path FROM renames
     UNION ALL {_DEDUPE}
     UNION ALL SELECT 'index', NULL, path, NULL FROM ({_NEW_FILES})
     UNION ALL SELECT 'prune', NULL, path, NULL FROM dir_parts
@@ -1307,7 +1307,8 @@ def _(lib):
 
 @query(
     "normalize_authors",
-    "SELECT id, rtrim(authors, '; ') AS listed, replace(rtrim(authors, '; '), '; ', ' & ') AS fetchable FROM books",
+    f"""SELECT id, {clean_list("replace(authors, '; ', ' &  ')", '&', '; ')} AS listed,
+        {clean_list('authors', ';', ' & ')} AS fetchable FROM books""",
 )
 def _(lib):
     amp = F.replace(c("authors"), F.lit("; "), F.lit(" &  "))
