@@ -83,19 +83,31 @@ _ACCENTS = _accent_table()
 _ACCENTS_FROM = "".join(_ACCENTS)
 _ACCENTS_TO = "".join(_ACCENTS.values())
 _NOT_WORD = r"[^\p{L}\p{N}\p{Co}]+"
-
-
-def search_fold(c: Column) -> Column:
-    """Lower case without the accents of Latin letters."""
-    return F.regexp_replace(F.translate(F.lower(c), _ACCENTS_FROM, _ACCENTS_TO), _WORD_MARKS, "")
+_RARE = r"[^\x01-\x7f\p{L}\p{N}\p{Co}]"
+# ASCII characters that end a word become blanks in the same pass that drops the accents
+_ENDS = "".join(ch for ch in map(chr, range(1, 128)) if not ch.isalnum())
 
 
 def token_string(c: Column) -> Column:
-    """All words of a text, each with one blank in front: ``' w1 w2 w3'``.
+    """All words of a text, lower case and without Latin accents, each with one blank in front.
 
-    A phrase whose last word is a prefix is then a plain substring test on this column.
+    A phrase whose last word is a prefix is then a plain substring test on this column. One
+    translation does most of the work; regular expressions run only over texts that hold other
+    marks or signs, or long runs of blanks.
     """
-    words = F.btrim(F.regexp_replace(search_fold(c), _NOT_WORD, " "))
+    plain = F.translate(F.lower(c), _ACCENTS_FROM + _ENDS, _ACCENTS_TO + " " * len(_ENDS))
+
+    def tidy(text: Column) -> Column:
+        bare = F.regexp_replace(F.regexp_replace(text, _WORD_MARKS, ""), _NOT_WORD, " ")
+        return F.when(text.rlike(_RARE), bare).otherwise(text)
+
+    def single(text: Column) -> Column:
+        return F.when(text.contains("  "), F.regexp_replace(text, " {2,}", " ")).otherwise(text)
+
+    text = let(plain, tidy)
+    for _ in range(3):
+        text = F.replace(text, F.lit("  "), F.lit(" "))
+    words = F.btrim(let(text, single))
     return F.concat(F.lit(" "), F.coalesce(words, F.lit("")))
 
 

@@ -140,6 +140,14 @@ class Library:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def spread(self, df: DataFrame) -> DataFrame:
+        """Rows dealt out evenly when a table is one small file that would keep one core busy.
+
+        A table of many files has enough partitions and is left as it is.
+        """
+        cores = self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
     @cached_property
     def documents(self) -> DataFrame:
         c, text = F.col, F.concat
@@ -168,6 +176,11 @@ class Library:
     def books(self) -> DataFrame:
         return self.books_of(self.documents)
 
+    @cached_property
+    def spread_books(self) -> DataFrame:
+        """The books for work on their whole texts."""
+        return self.books_of(self.spread(self.documents))
+
     @staticmethod
     def books_of(documents: DataFrame) -> DataFrame:
         c, text, lit = F.col, F.concat, F.lit
@@ -371,7 +384,7 @@ class Library:
     @cached_property
     def packages(self) -> DataFrame:
         """Every document as a package file (path, file_size, file_mtime, content), some broken."""
-        return self.packages_of(self.documents)
+        return self.packages_of(self.spread(self.documents))
 
     @staticmethod
     def packages_of(documents: DataFrame) -> DataFrame:
@@ -391,7 +404,7 @@ class Library:
     def images(self) -> DataFrame:
         """Every document as a cover image (path, content) of a size its length gives."""
         i, n = F.col("doc_id"), F.col("n_chars")
-        return self.documents.select(
+        return self.spread(self.documents).select(
             F.concat(F.lit("covers/"), i.cast("string"), F.lit(".img")).alias("path"),
             _image_bytes(
                 F.pmod(i, F.lit(6)), (F.pmod(n, F.lit(120)) + 60).cast("int"), (F.pmod(n, F.lit(70)) + 60).cast("int"), "text"

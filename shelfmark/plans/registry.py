@@ -281,7 +281,7 @@ def _(lib):
     + " FROM books",
 )
 def _(lib):
-    indexed = search.with_search_columns(lib.books)
+    indexed = search.with_search_columns(lib.spread_books)
     return indexed.select("id", *[n for n in indexed.columns if n.startswith("tok_")])
 
 
@@ -853,7 +853,7 @@ def _(lib):
 @query("strip_descriptions")
 def _(lib):
     pages = lib.table("pages").select(c("page_id").alias("id"), c("html").alias("description"))
-    texts = lib.books.select("id", "description")
+    texts = lib.spread_books.select("id", "description")
     return merge.strip_descriptions(pages.unionByName(texts))
 
 
@@ -1378,7 +1378,7 @@ def _(lib):
     "SELECT id, coalesce(nullif(trim(regexp_replace(description, '[\\s\\p{Z}]+', ' ', 'g')), ''), 'nothing') AS field FROM books",
 )
 def _(lib):
-    return lib.books.select("id", tx.clean_field(c("description"), F.lit("nothing")).alias("field"))
+    return lib.spread_books.select("id", tx.clean_field(c("description"), F.lit("nothing")).alias("field"))
 
 
 @query(

@@ -33,10 +33,9 @@ def write_catalog(books: DataFrame, root: str, version: int) -> str:
     """
     target = f"{root}/v={version:08d}"
     title = sort_keys("title")[0][0]
-    rows = with_search_columns(conform(books))
-    rows.repartitionByRange(title, F.col("id")).sortWithinPartitions(title, F.col("id")).write.mode(
-        "overwrite"
-    ).parquet(f"{target}/books")
+    # the search columns are worked out after the exchange: range sampling reads its input twice
+    rows = conform(books).repartitionByRange(title, F.col("id")).sortWithinPartitions(title, F.col("id"))
+    with_search_columns(rows).write.mode("overwrite").parquet(f"{target}/books")
     written = books.sparkSession.read.parquet(f"{target}/books")
     index = author_index(written)
     index.repartitionByRange("token", "book_id").sortWithinPartitions("token", "book_id").write.mode(
