@@ -150,14 +150,16 @@ def integrity_job(
 ) -> IntegrityResult:
     """Validate what is due, mark the good, list the bad, plan their removal."""
     c = F.col
-    queue = cut_lineage(reconcile.validation_queue(books, inventory, roots, deep))
+    queue = reconcile.validation_queue(books, inventory, roots, deep)
     checked = cut_lineage(
-        packages.inspect_packages(_contents(queue, inventory)).select("path", "ok", "errors")
-    ).join(queue, "path")
-    good = checked.where(c("ok") & c("book_id").isNotNull()).select(c("book_id").alias("id"))
-    bad_rows = reconcile.path_to_id(
-        checked.where(~c("ok")).select("path", F.concat_ws("; ", "errors").alias("detail")), books
+        packages.inspect_packages(_contents(queue, inventory)).select(
+            "path", "ok", F.concat_ws("; ", "errors").alias("detail")
+        )
     )
+    # a file whose row is marked missing belongs to that row all the same
+    named = reconcile.path_to_id(checked, books)
+    good = named.where(c("ok") & c("book_id").isNotNull()).select(c("book_id").alias("id"))
+    bad_rows = named.where(~c("ok")).select("path", "book_id", "detail")
     return IntegrityResult(
         merge.mark_validated(books, good, deep),
         bad_rows,

@@ -181,7 +181,7 @@ TABLES = {
     "wanted_names": """
         SELECT id, file_path, file_name, dir,
           CASE WHEN ext = '' THEN stem ELSE
-            coalesce(nullif(rtrim(left(clean, 180)), ''), 'unnamed') || ext END AS wanted
+            coalesce(nullif(trim(left(clean, 180), ' .'), ''), 'unnamed') || ext END AS wanted
         FROM (SELECT *, CASE WHEN trim(squeezed, ' .') = '' THEN 'unnamed' ELSE trim(squeezed, ' .') END AS clean
           FROM (SELECT *, regexp_replace(regexp_replace(long_stem, '[\\p{C}/\\\\<>:"|?*]', '', 'g'), '[\\s\\p{Z}]+', ' ', 'g') AS squeezed
             FROM (SELECT *, CASE WHEN length(stem) < 10 THEN regexp_extract(meta, '[^/]*$') ELSE stem END AS long_stem
