@@ -35,9 +35,12 @@ def out_of_root_rows(books: DataFrame, roots: list[str]) -> DataFrame:
 def orphan_covers(covers: DataFrame, books: DataFrame) -> DataFrame:
     """Covers (path, book_id) whose name is no id, or an id the catalogue does not have.
 
-    A NULL id never matches, so one anti join finds both kinds.
+    Names that are no id need no join, so they do not gather in its NULL partition.
     """
-    return covers.join(books.select(F.col("id").alias("book_id")), "book_id", "left_anti")
+    columns = covers.columns
+    numbered = covers.where(F.col("book_id").isNotNull())
+    strays = numbered.join(books.select(F.col("id").alias("book_id")), "book_id", "left_anti")
+    return covers.where(F.col("book_id").isNull()).unionByName(strays.select(*columns))
 
 
 def path_to_id(paths: DataFrame, books: DataFrame) -> DataFrame:
@@ -71,9 +74,11 @@ def hash_conflicts(fresh: DataFrame, books: DataFrame, hot_rows: int = HOT_ROWS)
     )
     # the second lowest id is needed only by the first row itself
     second = (
-        books.where(F.col("content_hash").isNotNull())
-        .select("content_hash", "id")
-        .join(owners.where(F.col("first_id") < F.col("last_id")).select("content_hash", "first_id"), "content_hash")
+        join_hot(
+            books.where(F.col("content_hash").isNotNull()).select("content_hash", "id"),
+            owners.where(F.col("first_id") < F.col("last_id")).select("content_hash", "first_id"),
+            "content_hash", "inner", ["id"], hot_rows,
+        )
         .where(F.col("id") > F.col("first_id"))
         .groupBy("content_hash")
         .agg(F.min("id").alias("second_id"))
@@ -166,7 +171,7 @@ def duplicate_members(
 
 def new_files(unindexed: DataFrame, books: DataFrame) -> DataFrame:
     """Keeper of each unindexed content the catalogue does not know."""
-    known = books.where(F.col("content_hash").isNotNull()).select("content_hash")
+    known = books.where(F.col("content_hash").isNotNull()).select("content_hash").distinct()
     return keeper_paths(unindexed).join(known, "content_hash", "left_anti").select(
         "content_hash", F.col("keeper").alias("path")
     )
@@ -350,21 +355,28 @@ def unique_names(claims: DataFrame, inventory: DataFrame, hot_rows: int = HOT_RO
     """
     c = F.col
     ranked = rank_by_id(claims, ["dir", "wanted"], "id", "turn", hot_rows)
-    files = inventory.select(fn.parent(c("path")).alias("dir"), fn.base_name(c("path")).alias("name"))
     names = claims.select("dir", "wanted").distinct()
-    plain = files.select("dir", c("name").alias("wanted"), F.lit(1).cast("bigint").alias("slot"))
-    numbered = files.select(
-        "dir",
-        F.concat(
-            F.regexp_extract("name", _NUMBERED, 1), F.regexp_extract("name", _NUMBERED, 3)
-        ).alias("wanted"),
-        F.nullif(F.regexp_extract("name", _NUMBERED, 2), F.lit("")).try_cast("bigint").alias("slot"),
-        "name",
-    ).where(
-        # only canonical spellings are in the way: "(2)", not "(02)"
-        (c("slot") >= 2) & (F.regexp_extract("name", _NUMBERED, 2) == c("slot").cast("string"))
-    ).select("dir", "wanted", "slot")
-    taken = plain.unionByName(numbered).join(names, ["dir", "wanted"], "left_semi").distinct()
+    # a file takes number 1 of its own name and, spelled "stem (n).ext", number n of "stem.ext";
+    # only plain spellings are in the way: "(2)", not "(02)"
+    name, digits = c("name"), F.regexp_extract("name", _NUMBERED, 2)
+    number = F.nullif(digits, F.lit("")).try_cast("bigint")
+    bare = F.concat(F.regexp_extract("name", _NUMBERED, 1), F.regexp_extract("name", _NUMBERED, 3))
+    places = F.array(
+        F.struct(name.alias("wanted"), F.lit(1).cast("bigint").alias("slot")),
+        F.struct(
+            bare.alias("wanted"),
+            F.when((number >= 2) & (digits == number.cast("string")), number).alias("slot"),
+        ),
+    )
+    slots = (
+        inventory.select(fn.parent(c("path")).alias("dir"), fn.base_name(c("path")).alias("name"))
+        .select("dir", F.inline(places))
+        .where(c("slot").isNotNull())
+    )
+    # written once: few files stand in the way, but all of them have to be looked at
+    taken = cut_lineage(
+        join_hot(slots, names, ["dir", "wanted"], "left_semi", ["slot"], hot_rows).distinct()
+    )
     # free numbers before the j-th taken one: slot - j
     gaps = rank_by_id(taken, ["dir", "wanted"], "slot", "j", hot_rows).select(
         "dir", "wanted", (c("slot") - c("j")).alias("free_before"), "j"

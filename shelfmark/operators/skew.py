@@ -14,36 +14,39 @@ _NULL_PARTS = 997
 def join_hot(
     left: DataFrame,
     right: DataFrame,
-    key: str,
+    key: str | list[str],
     how: str,
     spread: list[str],
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Join on ``key`` where ``left`` may hold very many rows of one key.
+    """Join on ``key`` (one or more columns) where ``left`` may hold very many rows of one key.
 
     ``right`` holds at most a few rows per key. A key with more than ``hot_rows`` left rows is cut
     into parts by the hash of the ``spread`` columns, and its right rows are copied to each part.
     The list of such keys is broadcast: it has fewer than ``rows of left / hot_rows`` entries,
     whatever the data. Left rows without a key match nothing and are spread as well.
     """
+    keys = [key] if isinstance(key, str) else key
+    known = all_of([F.col(k).isNotNull() for k in keys])
     hot = (
-        left.groupBy(key)
+        left.where(known)
+        .groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_n"))
-        .where((F.col("_n") > hot_rows) & F.col(key).isNotNull())
-        .select(key, F.ceil(F.col("_n") / hot_rows).cast("int").alias("_parts"))
+        .where(F.col("_n") > hot_rows)
+        .select(*keys, F.ceil(F.col("_n") / hot_rows).cast("int").alias("_parts"))
     )
     slot = F.pmod(F.xxhash64(*spread), F.coalesce("_parts", F.lit(1))).cast("int")
     lone = F.pmod(F.xxhash64(*spread), F.lit(_NULL_PARTS)).cast("int")
-    spread_left = left.join(F.broadcast(hot), key, "left").withColumn(
-        "_slot", F.when(F.col(key).isNull(), lone).otherwise(slot)
+    spread_left = left.join(F.broadcast(hot), keys, "left").withColumn(
+        "_slot", F.when(known, slot).otherwise(lone)
     )
     copied_right = (
-        right.where(F.col(key).isNotNull())
-        .join(F.broadcast(hot), key, "left")
+        right.where(known)
+        .join(F.broadcast(hot), keys, "left")
         .withColumn("_slot", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)))
         .drop("_parts")
     )
-    return spread_left.drop("_parts").join(copied_right, [key, "_slot"], how).drop("_slot")
+    return spread_left.drop("_parts").join(copied_right, [*keys, "_slot"], how).drop("_slot")
 
 
 def rank_by_id(

@@ -16,6 +16,7 @@ def build_session(app_name: str = "shelfmark", master: str | None = None, **conf
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         # file contents travel to Python in these batches, so bound them by bytes
         "spark.sql.execution.arrow.maxBytesPerBatch": "64m",
     }
