@@ -107,7 +107,8 @@ def random_page(view: DataFrame, page_size: int, seed: int | None = None) -> Dat
 def with_position(page: DataFrame, sort: str, sort_dir: str) -> DataFrame:
     """Numbers the rows of ONE page (never more rows than the largest page size)."""
     return page.withColumn(
-        "position", F.row_number().over(Window.orderBy(*ordering(sort_keys(sort, sort_dir))))
+        "position",
+        F.row_number().over(Window.orderBy(*ordering(sort_keys(sort, sort_dir)))).cast("bigint"),
     )
 
 
@@ -240,10 +241,9 @@ def positions(view: DataFrame, sort: str, sort_dir: str = "", partitions: int |
     keys split too) and written once; each range is numbered on its own. Only one row per range
     is exchanged to shift the numbers and to join the ends of adjacent ranges.
     """
-    order = ordering(sort_keys(sort, sort_dir))
-    keys = [key for key, _ in sort_keys(sort, sort_dir)]
-    named = view.select(*[key.alias(f"k{i}") for i, key in enumerate(keys[:-1])], "id")
-    parts = [(F.col(f"k{i}"), way) for i, (_, way) in enumerate(sort_keys(sort, sort_dir)[:-1])]
+    keys = sort_keys(sort, sort_dir)[:-1]
+    named = view.select(*[key.alias(f"k{i}") for i, (key, _) in enumerate(keys)], "id")
+    parts = [(F.col(f"k{i}"), way) for i, (_, way) in enumerate(keys)]
     order = ordering([*parts, (F.col("id"), "asc")])
     spread = named.repartitionByRange(partitions, *order) if partitions else named.repartitionByRange(*order)
     ranges = cut_lineage(

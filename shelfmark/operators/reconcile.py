@@ -158,7 +158,10 @@ def duplicate_members(
     unindexed: DataFrame, books: DataFrame, inventory: DataFrame, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """The copies to remove, one row each: (content_hash, path, keeper)."""
-    groups = _copy_groups(unindexed, books, inventory)
+    return _members(unindexed, cut_lineage(_copy_groups(unindexed, books, inventory)), hot_rows)
+
+
+def _members(unindexed: DataFrame, groups: DataFrame, hot_rows: int) -> DataFrame:
     keepers = groups.select("content_hash", "keeper")
     copies = join_hot(
         unindexed.select("path", "content_hash"), keepers, "content_hash", "inner", ["path"], hot_rows
@@ -186,11 +189,12 @@ def dedupe_plan(
 ) -> DataFrame:
     """(op, book_id, from_path, to_path): rows to repoint, copies to delete, deletes refused."""
     c = F.col
-    groups = _copy_groups(unindexed, books, inventory)
+    # one row per content, written because both parts of the plan read it
+    groups = cut_lineage(_copy_groups(unindexed, books, inventory))
     moves = groups.where(c("book_id").isNotNull() & (c("canon_path") != c("keeper"))).select(
         F.lit("repoint").alias("op"), "book_id", c("canon_path").alias("from_path"), c("keeper").alias("to_path")
     )
-    removes = duplicate_members(unindexed, books, inventory, hot_rows).select(
+    removes = _members(unindexed, groups, hot_rows).select(
         F.when(fn.under_roots(c("path"), roots), "delete").otherwise("refuse").alias("op"),
         F.lit(None).cast("bigint").alias("book_id"),
         c("path").alias("from_path"),
@@ -487,16 +491,26 @@ def _finding(df: DataFrame, kind: str, book_id: Column, path: Column, detail: Co
     )
 
 
+def hashed_unindexed(books: DataFrame, inventory: DataFrame) -> DataFrame:
+    """The unindexed files with their hashes, read once and written."""
+    loose = with_content_hash(unindexed_files(inventory, books))
+    return cut_lineage(loose.select("path", "file_size", "file_mtime", "content_hash"))
+
+
 def audit_report(
-    books: DataFrame, inventory: DataFrame, covers: DataFrame, roots: list[str]
+    books: DataFrame,
+    inventory: DataFrame,
+    covers: DataFrame,
+    roots: list[str],
+    loose: DataFrame | None = None,
 ) -> DataFrame:
     """All findings of an audit as one table: (kind, book_id, path, detail).
 
-    Only the unindexed files are hashed, once.
+    Only the unindexed files are hashed, once; ``loose`` passes them in when they already are.
     """
     c = F.col
     none = F.lit(None)
-    loose = cut_lineage(with_content_hash(unindexed_files(inventory, books)).select("path", "content_hash"))
+    loose = hashed_unindexed(books, inventory) if loose is None else loose
     tests = F.array_compact(
         F.array(
             F.when(c("content_hash").isNull(), F.lit("null_hash")),

@@ -235,11 +235,8 @@ def cleanup_run(
         books = keep(merge.repoint(books, moves, clear_flags=True))
         inventory = _moved_files(inventory, renames)
 
-    findings = reconcile.audit_report(books, inventory, covers, roots)
-    loose = reconcile.unindexed_files(inventory, books)
-    loose = cut_lineage(
-        reconcile.with_content_hash(loose).select("path", "file_size", "file_mtime", "content_hash")
-    )
+    loose = reconcile.hashed_unindexed(books, inventory)
+    findings = reconcile.audit_report(books, inventory, covers, roots, loose)
     dedupe = keep(reconcile.dedupe_plan(loose, books, inventory, roots))
     fresh = keep(reconcile.new_files(loose, books))
     plan.append(dedupe)
