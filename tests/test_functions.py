@@ -75,7 +75,7 @@ def test_plain_text(spark):
     }
     assert values(spark, tx.plain_text, list(cases)) == list(cases.values())
     needs = values(spark, lambda c: tx.needs_plain_text(c, tx.plain_text(c)), list(cases))
-    assert needs == [True, True, True, True, True, True, False, True, True, False]
+    assert needs == [True, True, True, True, True, True, False, True, False, False]
 
 
 def test_file_names(spark):
