@@ -333,10 +333,11 @@ def rename_candidates(books: DataFrame, inventory: DataFrame, roots: list[str])
         fn.base_name(c("file_path")).alias("disk_name"),
         fn.parent(c("file_path")).alias("dir"),
     )
-    wanted = named.withColumn(
-        "wanted", fn.target_filename(c("disk_name"), c("title"), c("authors"), c("publisher"))
+    # names are worked out only for rows that have a file
+    return on_disk(named, inventory).select(
+        "id", "file_path", "file_name", "disk_name", "dir",
+        fn.target_filename(c("disk_name"), c("title"), c("authors"), c("publisher")).alias("wanted"),
     )
-    return on_disk(wanted, inventory).select("id", "file_path", "file_name", "disk_name", "dir", "wanted")
 
 
 def filename_fixes(books: DataFrame, inventory: DataFrame, roots: list[str]) -> DataFrame:
