@@ -46,7 +46,7 @@ def _gram_hashes(words: Column, size: int) -> Column:
 def _winnowed(grams: Column) -> Column:
     """The smallest gram hash of each window of ten words."""
     span = WINDOW - GRAM + 1
-    return F.transform(_starts(F.size(grams), span), lambda i: F.array_min(F.slice(grams, i + 1, span)))
+    return F.transform(_starts(F.size(grams), span), lambda i: F.least(*[grams[i + j] for j in range(span)]))
 
 
 def _tokenised(df: DataFrame, keys: list[str], lengths: list[int]) -> DataFrame:
