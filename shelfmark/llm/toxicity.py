@@ -1,9 +1,9 @@
 """Toxicity: lexicon terms found through misspellings, weighed by where they stand.
 
 The lexicon is a trie of words and word beginnings that mark the toxic labels of a bounded sample of
-labelled learning rows (``SAMPLE`` at most about; chosen by a hash of the id). A Levenshtein automaton of
-each word of a text is run against the trie, so that words within one edit of a term (two for long
-terms) match as well. Each match lies in a window of words; a window in quotation marks, or opened by
+labelled learning rows (``SAMPLE`` at most about; chosen by a hash of the id). A Levenshtein automaton,
+intersected with the trie, reads each word of a text, so that words within one edit of a term match
+as well. Each match lies in a window of words; a window in quotation marks, or opened by
 a reporting mark (colon and quote), counts as quotation, apart from the rest. A logistic
 model over these counts, fitted on the same sample, gives the score.
 
@@ -26,6 +26,7 @@ from shelfmark.llm.common import checked, documents, held_back, written
 SAMPLE = 10_000
 TERMS = 400
 MIN_SUPPORT = 0.004
+MIN_TEXTS = 8
 MIN_LOG_ODDS = 2.5
 WINDOW = 4
 THRESHOLD = 0.3
@@ -42,61 +43,69 @@ def words_of(text: str) -> list[bytes]:
 
 
 class Lexicon:
-    """A trie of terms; a term ending in ``*`` matches the beginning of a word."""
+    """A trie of terms; a term ending in ``*`` matches the beginning of a word.
+
+    A state of the automaton is the set of (trie node, edits) that the letters read so far can reach
+    with at most one edit. States and their transitions are worked out when first met and kept, so
+    that a word costs a look-up a letter and most words end after a few.
+    """
 
     def __init__(self, terms: list[str]) -> None:
         self.terms = terms
-        self.root: dict = {}
-        self.heads: set[str] = set()
-        self.tails: set[str] = set()
+        self.children: list[dict[str, int]] = [{}]
+        self.ends: list[list[tuple[int, int, bool]]] = [[]]
         for number, term in enumerate(terms):
-            stem = term.endswith("*")
+            stem, node = term.endswith("*"), 0
             word = term.rstrip("*")
-            node = self.root
             for letter in word:
-                node = node.setdefault(letter, {})
-            node["", stem] = (number, self.edits(word))
-            # one of k + 1 parts of a term is left alone by k edits
-            half = len(word) // 2
-            self.heads.add(word[:half])
-            self.tails.add(word[half:] if not stem else word[half:])
-        self.sizes = sorted({len(h) for h in self.heads}), sorted({len(t) for t in self.tails})
+                if letter not in self.children[node]:
+                    self.children[node][letter] = len(self.children)
+                    self.children.append({})
+                    self.ends.append([])
+                node = self.children[node][letter]
+            self.ends[node].append((number, 1 if len(word) >= 5 else 0, stem))
+        self.states: dict[frozenset, tuple] = {}
+        self.start = self._state({(0, 0)})
         self.seen: dict[bytes, tuple[int, int] | None] = {}
 
-    @staticmethod
-    def edits(word: str) -> int:
-        return 1 if len(word) >= 5 else 0
-
-    def _possible(self, word: str) -> bool:
-        """An edit leaves the first or the second half of a term as it was."""
-        if any(word[:n] in self.heads for n in self.sizes[0]):
-            return True
-        return any(word[i : i + n] in self.tails for n in self.sizes[1] for i in range(1, min(len(word) - n + 1, 6)))
+    def _state(self, places: set[tuple[int, int]]) -> tuple | None:
+        """(transitions, best whole term, best beginning, places) of a set of places."""
+        # a letter of the term that the word lacks
+        places |= {(child, 1) for node, edits in places if edits == 0 for child in self.children[node].values()}
+        places -= {(node, 1) for node, edits in places if edits == 0}
+        if not places:
+            return None
+        key = frozenset(places)
+        if key not in self.states:
+            whole = [(edits, n) for node, edits in places for n, allowed, stem in self.ends[node] if edits <= allowed and not stem]
+            stems = [(edits, n) for node, edits in places for n, allowed, stem in self.ends[node] if edits <= allowed and stem]
+            self.states[key] = ({}, min(whole, default=None), min(stems, default=None), key)
+        return self.states[key]
+
+    def _after(self, state: tuple, letter: str) -> tuple | None:
+        following = set()
+        for node, edits in state[3]:
+            if letter in self.children[node]:
+                following.add((self.children[node][letter], edits))
+            if edits == 0:
+                # another letter than the term's, or one too many
+                following |= {(child, 1) for child in self.children[node].values()} | {(node, 1)}
+        return self._state(following)
 
     def match(self, word: str) -> tuple[int, int] | None:
         """(edits, term number) of the nearest term, or None."""
-        if not self._possible(word):
-            return None
-        best: tuple[int, int] | None = None
-        n = len(word)
-        # states of the automaton: the least edits after each number of letters read
-        stack = [(self.root, list(range(n + 1)))]
-        while stack:
-            node, row = stack.pop()
-            for letter, child in node.items():
-                if isinstance(letter, tuple):
-                    number, allowed = child
-                    edits = min(row) if letter[1] else row[n]
-                    if edits <= allowed and (best is None or (edits, number) < best):
-                        best = (edits, number)
-                    continue
-                following = [row[0] + 1]
-                for i in range(n):
-                    step = row[i] if word[i] == letter else min(row[i], row[i + 1], following[i]) + 1
-                    following.append(step)
-                if min(following) <= 1:
-                    stack.append((child, following))
-        return best
+        state, best = self.start, None
+        for letter in word:
+            known = state[0]
+            if letter in known:
+                state = known[letter]
+            else:
+                state = known[letter] = self._after(state, letter)
+            if state is None:
+                return best
+            if state[2] is not None and (best is None or state[2] < best):
+                best = state[2]
+        return best if state[1] is None or best is not None and best < state[1] else state[1]
 
     def of(self, word: bytes) -> tuple[int, int] | None:
         if word in self.seen:
@@ -154,15 +163,18 @@ def learn_terms(texts: list[str], toxic: np.ndarray, limit: int = TERMS) -> list
     n_bad, n_good = max(int(toxic.sum()), 1), max(int((1 - toxic).sum()), 1)
     scored = []
     for term, n in bad.items():
-        if n < max(4, MIN_SUPPORT * n_bad) or len(term) < 4:
+        if n < max(MIN_TEXTS, MIN_SUPPORT * n_bad) or len(term) < 4:
             continue
         odds = np.log((n + 0.5) / (n_bad + 1)) - np.log((good[term] + 0.5) / (n_good + 1))
         if odds >= MIN_LOG_ODDS:
-            scored.append((n * odds, term))
+            # of terms that say the same the longest first
+            scored.append((n * odds * (1 + 0.03 * len(term)), term))
     chosen: list[str] = []
     for _, term in sorted(scored, key=lambda x: (-x[0], x[1])):
-        # a term says nothing new if a chosen beginning covers it
-        if not any(c.endswith("*") and term.startswith(c[:-1]) for c in chosen):
+        # a term says nothing new if a chosen beginning covers it, or if chosen words make it up
+        covered = any(c.endswith("*") and term.startswith(c[:-1]) for c in chosen)
+        own = sum(bad[c] for c in chosen if c.startswith(term[:-1])) if term.endswith("*") else 0
+        if not covered and own < 0.8 * bad[term]:
             chosen.append(term)
         if len(chosen) == limit:
             break
