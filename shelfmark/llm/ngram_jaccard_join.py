@@ -3,12 +3,12 @@
 Sets are the distinct 5-word shingles (64-bit hashes; a wrong equality inside one compared pair has
 odds of about 1e-13). The Jaccard distance is a metric; two documents link at distance <= 1/4.
 
-* Equal sets are one point. A point's *prefix* is the part of its set that any linked set must
-  share something of, frequent shingles last; that order may be any, so the list of frequent
-  shingles only has to be the same for all, and it is bounded (``FREQUENT``).
-* Each shingle names a pivot; points with the shingle in their prefix fall into the pivot's region.
-  A linked pair has a prefix shingle in common, so it meets in some region.
-* In a region all points are measured against the pivot. Points within 1/4 are linked to it, so
+* Equal sets are one point. A point's *prefix* is the part of its set of which any linked set's
+  prefix shares at least ``shared_at_least`` shingles, frequent shingles last; that order may be any,
+  so the list of frequent shingles only has to be the same for all, and it is bounded (``FREQUENT``).
+* Each prefix shingle that several points have leads them into one region. A linked pair meets in some
+  region. Points with fewer shared prefix shingles than a link takes drop out before texts move.
+* In a region all points are measured against a central pivot. Points within 1/4 are linked to it, so
   they need no comparison among themselves. The points outside, with those inside that the
   triangle inequality lets reach them (``d >= nearest outside - 1/4``), form the next region
   with a pivot of their own, until no point is outside. This is exact.
@@ -26,7 +26,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from shelfmark.llm.common import (
     Words, blocks, bytes_of, checked, components, documents, same, signed, text_id, written,
@@ -42,7 +42,7 @@ REGION = 1_500_000
 PART = 400_000
 
 _POINTS = "doc_id long, text_key long, n_shingles long, point long, key binary, central double, token array<long>, times array<int>, token_central array<double>, token_point array<long>"
-_PREFIX = "frequent boolean, meet long, point long"
+_PREFIX = "frequent boolean, meet long, point long, times int"
 
 
 def shingle_sets(texts: list[bytes], size: int = WORDS) -> list[np.ndarray]:
@@ -70,8 +70,13 @@ def point_of(key: bytes) -> int:
 
 
 def prefix_length(n: int) -> int:
-    """Sets of at least 3/4 overlap share one of so many elements, in any common order."""
-    return n - (3 * n + 3) // 4 + 1
+    """Linked sets overlap in 3/4 of either, so prefixes so long share n/16 of the smaller one's n."""
+    return n - (3 * n + 3) // 4 + (n + 15) // 16
+
+
+def shared_at_least(n: Column) -> Column:
+    """Prefix shingles a set of n shares with any set it links to, which has 3n/4 shingles or more."""
+    return F.ceil(3 * n / 64)
 
 
 def _point_batches(size: int):
@@ -112,7 +117,7 @@ def _prefix_batches(size: int, frequent):
         tokens, pivots = frequent.value
         for batch in batches:
             for _, texts in blocks(bytes_of(batch.column("text")), 16 << 20):
-                rows: list[list[np.ndarray]] = [[], [], []]
+                rows: list[list[np.ndarray]] = [[], [], [], []]
                 seen = set()
                 for _, some in blocks(texts):
                     for shingles in shingle_sets(some, size):
@@ -131,35 +136,40 @@ def _prefix_batches(size: int, frequent):
                         rare = own[~common]
                         length = prefix_length(len(own))
                         meet = rare[:length]
-                        near = np.unique(pivots[at[common][: length - len(meet)]])
+                        near, times = np.unique(pivots[at[common][: length - len(meet)]], return_counts=True)
                         rows[0].append(np.repeat([False, True], [len(meet), len(near)]))
                         rows[1].append(np.concatenate((meet, near)))
                         rows[2].append(np.full(len(meet) + len(near), point, np.int64))
+                        rows[3].append(np.concatenate((np.ones(len(meet), np.int32), times.astype(np.int32))))
                 if rows[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(r)) for r in rows], names=["frequent", "meet", "point"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(r)) for r in rows], names=["frequent", "meet", "point", "times"])
 
     return run
 
 
 def _meeting_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by meeting key to (pivot, point): the first point of a rare shingle is its pivot."""
-    last, pivot = None, 0
+    """Rows sorted by meeting key to (region, point, times): points of a rare shingle meet at the first.
+
+    The first point of a shingle comes out only when a second one shows up.
+    """
+    last, head, alone = None, 0, False
     for batch in batches:
-        meet, point = batch.column("meet").to_numpy(), batch.column("point").to_numpy()
+        meet, point, times = (batch.column(c).to_numpy() for c in ("meet", "point", "times"))
         frequent = batch.column("frequent").to_numpy(zero_copy_only=False)
-        n = len(meet)
-        if not n:
-            continue
-        new = np.concatenate(([last is None or bool(frequent[0]) or meet[0] != last], meet[1:] != meet[:-1]))
-        start = np.maximum.accumulate(np.where(new, np.arange(n), -1))
-        first = np.where(start >= 0, point[np.maximum(start, 0)], pivot)
         rare = ~frequent
-        if rare.any():
-            end = np.flatnonzero(rare)[-1]
-            last, pivot = meet[end], first[end]
-        first = np.where(frequent, meet, first)
-        keep = first != point
-        yield pa.RecordBatch.from_arrays([pa.array(first[keep]), pa.array(point[keep])], names=["pivot", "point"])
+        n = int(rare.sum())
+        parts = [(meet[frequent], point[frequent], times[frequent])]
+        if n:
+            meet, point = meet[rare], point[rare]
+            new = np.concatenate(([meet[0] != last or last is None], meet[1:] != meet[:-1]))
+            start = np.maximum.accumulate(np.where(new, np.arange(n), -1))
+            first = np.where(start >= 0, point[np.maximum(start, 0)], head)
+            second = ~new & np.concatenate(([alone], new[:-1]))
+            for keep, who in ((~new, point), (second, first)):
+                parts.append((first[keep], who[keep], np.ones(int(keep.sum()), np.int32)))
+            last, head, alone = meet[-1], first[-1], bool(new[-1])
+        columns = [np.concatenate([p[i] for p in parts]) for i in range(3)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["region", "point", "times"])
 
 
 def region_links(sets: list[np.ndarray], keys: list[bytes], central: list[float]) -> list[tuple[bytes, bytes]]:
@@ -207,13 +217,13 @@ def _region_batches(size: int):
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.binary()) for i in (0, 1)], names=["a", "b"])
 
         for batch in batches:
-            pivots = batch.column("pivot").to_pylist()
+            regions = batch.column("region").to_pylist()
             centrals = batch.column("central").to_pylist()
-            for pivot, text, central in zip(pivots, bytes_of(batch.column("text")), centrals):
-                if pivot != current and held:
+            for region, text, central in zip(regions, bytes_of(batch.column("text")), centrals):
+                if region != current and held:
                     yield flush()
                     held = []
-                current = pivot
+                current = region
                 held.append((text, central))
         if held:
             yield flush()
@@ -228,16 +238,16 @@ def _measure_batches(size: int):
             out = []
             texts = bytes_of(batch.column("text"))
             sets = [s for _, some in blocks(texts) for s in shingle_sets(some, size)]
-            rows = zip(batch.column("pivot").to_pylist(), batch.column("part").to_pylist(), batch.column("point").to_pylist(), batch.column("central").to_pylist(), sets)
-            for pivot, part, point, central, shingles in rows:
-                if (pivot, part) != place:
+            rows = zip(batch.column("region").to_pylist(), batch.column("part").to_pylist(), batch.column("point").to_pylist(), batch.column("central").to_pylist(), sets)
+            for region, part, point, central, shingles in rows:
+                if (region, part) != place:
                     # the pivot's own row is the first of each part
-                    place, chosen, key = (pivot, part), shingles, key_of(shingles)
+                    place, chosen, key = (region, part), shingles, key_of(shingles)
                     continue
                 shared = len(np.intersect1d(chosen, shingles, assume_unique=True))
-                out.append((pivot, point, central, key, key_of(shingles), shared, len(chosen) + len(shingles) - shared))
+                out.append((region, point, central, key, key_of(shingles), shared, len(chosen) + len(shingles) - shared))
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
-            names = ["pivot", "point", "central", "a", "b", "shared", "together"]
+            names = ["region", "point", "central", "a", "b", "shared", "together"]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], names=names)
 
     return run
@@ -263,83 +273,84 @@ def _frequent(points: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def _measured(regions: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     """Distances of all points of large regions to their pivots, in parts of bounded size."""
-    parts = regions.groupBy("pivot").agg(F.ceil(F.sum("n") / PART).cast("int").alias("parts"))
-    parts = written(parts)
-    members = regions.join(parts, "pivot").where("pivot <> point").select(
-        "pivot", F.pmod(F.xxhash64("point"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("role"), "point", "central"
+    heads = regions.groupBy("region").agg(
+        F.max(F.struct("central", "point"))["point"].alias("pivot"), F.ceil(F.sum("n") / PART).cast("int").alias("parts")
     )
-    pivots = parts.select(
-        "pivot", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), F.col("pivot").alias("point"), F.lit(0.0).alias("central")
+    heads = written(heads)
+    members = regions.join(heads, "region").where("pivot <> point").select(
+        "region", F.pmod(F.xxhash64("point"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("role"), "point", "central"
     )
-    rows = members.union(pivots).join(texts, "point").select("pivot", "part", "role", "point", "central", "text")
+    pivots = heads.select(
+        "region", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), F.col("pivot").alias("point"), F.lit(0.0).alias("central")
+    )
+    rows = members.union(pivots).join(texts, "point").select("region", "part", "role", "point", "central", "text")
     return written(
-        rows.repartition("pivot", "part")
-        .sortWithinPartitions("pivot", "part", "role")
-        .mapInArrow(_measure_batches(size), "pivot long, point long, central double, a binary, b binary, shared long, together long")
+        rows.repartition("region", "part")
+        .sortWithinPartitions("region", "part", "role")
+        .mapInArrow(_measure_batches(size), "region long, point long, central double, a binary, b binary, shared long, together long")
     )
 
 
-def jaccard_points(docs: DataFrame, size: int = WORDS) -> tuple[DataFrame, DataFrame]:
-    """(points, links): a row per document with its set's key, and links between keys."""
-    spark = docs.sparkSession
-    keyed = docs.select("doc_id", "text", text_id().alias("text_key"))
-    points = written(keyed.mapInArrow(_point_batches(size), _POINTS))
-    frequent = spark.sparkContext.broadcast(_frequent(points))
-
+def _met(docs: DataFrame, points: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """(regions, the points in them): (region, point, n, central) and (point, n, central, doc_id, text_key)."""
+    frequent = docs.sparkSession.sparkContext.broadcast(_frequent(points))
     met = (
         docs.select("text").mapInArrow(_prefix_batches(size, frequent), _PREFIX)
         .repartition(F.when(F.col("frequent"), F.xxhash64("meet", "point")).otherwise(F.col("meet")))
         .sortWithinPartitions("frequent", "meet", "point")
-        .mapInArrow(_meeting_batches, "pivot long, point long")
+        .mapInArrow(_meeting_batches, "region long, point long, times int")
     )
-    pairs = written(met.distinct())
+    # equal sets in several tasks are counted several times, which only lets more points stay
+    pairs = written(met.groupBy("region", "point").agg(F.sum("times").alias("times")))
+    shared = written(pairs.groupBy("point").agg(F.sum("times").alias("shared")))
     chosen = points.where("n_shingles > 0").groupBy("point").agg(
         F.min(F.struct("doc_id", "text_key")).alias("first"), F.max("n_shingles").alias("n"), F.max("central").alias("central")
     )
-    wanted = pairs.select(F.explode(F.array("pivot", "point")).alias("point")).distinct()
-    info = written(chosen.join(wanted, "point").select("point", "n", "central", "first.doc_id", "first.text_key"))
-    wanted_rows = checked(info.select("point", "doc_id", "text_key"))
-    texts = written(
-        keyed.join(wanted_rows, same(keyed, wanted_rows, ["doc_id", "text_key"]))
-        .select("point", "text").dropDuplicates(["point"])
-    )
-    measures = info.select("point", "n", "central")
-    regions = pairs.union(pairs.select("pivot", F.col("pivot").alias("point"))).distinct()
-    regions = written(regions.join(measures, "point"))
-    small_parts, links = [], []
+    info = chosen.join(shared, "point").where(F.col("shared") >= shared_at_least(F.col("n")))
+    info = written(info.select("point", "n", "central", "first.doc_id", "first.text_key"))
+    regions = pairs.select("region", "point").join(checked(info.select("point", "n", "central")), "point")
+    return written(regions), info
+
+
+def jaccard_points(docs: DataFrame, size: int = WORDS) -> tuple[DataFrame, DataFrame]:
+    """(points, links): a row per document with its set's key, and links between keys."""
+    keyed = docs.select("doc_id", "text", text_id().alias("text_key"))
+    points = written(keyed.mapInArrow(_point_batches(size), _POINTS))
+    regions, info = _met(docs, points, size)
+    wanted = checked(info.select("point", "doc_id", "text_key"))
+    texts = written(keyed.join(wanted, same(keyed, wanted, ["doc_id", "text_key"])).select("point", "text"))
+    if not texts.groupBy("point").count().where("count > 1").isEmpty():
+        texts = written(texts.dropDuplicates(["point"]))
+    small, links = [], []
     while True:
-        weights = written(regions.groupBy("pivot").agg(F.sum("n").alias("weight"), F.count(F.lit(1)).alias("m")))
-        fits = weights.where((F.col("weight") <= REGION) & (F.col("m") > 1)).select("pivot")
-        small_parts.append(regions.join(fits, "pivot", "left_semi").select("pivot", "point", "central"))
-        large = weights.where((F.col("weight") > REGION) & (F.col("m") > 1)).select("pivot")
+        weights = written(regions.groupBy("region").agg(F.sum("n").alias("weight"), F.count(F.lit(1)).alias("m")).where("m > 1"))
+        fits = weights.where(F.col("weight") <= REGION).select("region")
+        small.append(regions.join(fits, "region", "left_semi").select("region", "point", "central"))
+        large = weights.where(F.col("weight") > REGION).select("region")
         if large.isEmpty():
             break
-        big = regions.join(large, "pivot", "left_semi")
-        found = _measured(big, texts, size)
+        found = _measured(regions.join(large, "region", "left_semi"), texts, size)
         is_link = 100 * F.col("shared") >= 75 * F.col("together")
         distance = 1 - F.col("shared") / F.col("together")
         links.append(found.where(is_link).select("a", "b"))
-        reach = written(found.groupBy("pivot").agg(F.min(F.when(~is_link, distance)).alias("nearest")))
-        left = found.join(reach, "pivot").where(
+        reach = written(found.groupBy("region").agg(F.min(F.when(~is_link, distance)).alias("nearest")))
+        # who is outside, and who inside may reach it; the pivot is done
+        left = found.join(reach, "region").where(
             F.col("nearest").isNotNull() & (~is_link | (distance >= F.col("nearest") - 0.25 - 1e-9))
         )
-        left = written(left.select("pivot", "point", "central"))
-        heads = written(left.groupBy("pivot").agg(F.max(F.struct("central", "point"))["point"].alias("next")))
-        regions = written(
-            left.join(heads, "pivot").select(F.col("next").alias("pivot"), "point").distinct().join(measures, "point")
-        )
-    small = small_parts[0]
-    for more in small_parts[1:]:
-        small = small.union(more)
+        regions = written(left.select("region", "point").join(info.select("point", "n", "central"), "point"))
+    every = small[0]
+    for more in small[1:]:
+        every = every.union(more)
     links.append(
-        small.join(texts, "point").select("pivot", "central", "text")
-        .repartition("pivot").sortWithinPartitions("pivot")
+        every.join(texts, "point").select("region", "central", "text")
+        .repartition("region").sortWithinPartitions("region")
         .mapInArrow(_region_batches(size), "a binary, b binary")
     )
-    every = links[0]
+    out = links[0]
     for more in links[1:]:
-        every = every.union(more)
-    return points.select("doc_id", "text_key", "n_shingles", "key"), every
+        out = out.union(more)
+    return points.select("doc_id", "text_key", "n_shingles", "key"), out
 
 
 def jaccard_components(docs: DataFrame, size: int = WORDS) -> DataFrame:
