@@ -79,6 +79,21 @@ def shared_at_least(n: Column) -> Column:
     return F.ceil(3 * n / 64)
 
 
+def _pack_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    codec = pa.Codec("zstd", 1)
+    for batch in batches:
+        texts = bytes_of(batch.column("text"))
+        packed = [codec.compress(t, asbytes=True) for t in texts]
+        columns = [batch.column("point"), pa.array(packed, pa.binary()), pa.array([len(t) for t in texts], pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["point", "text", "bytes"])
+
+
+def _unpacked(batch: pa.RecordBatch) -> list[bytes]:
+    codec = pa.Codec("zstd")
+    sizes = batch.column("bytes").to_pylist()
+    return [codec.decompress(t, n, asbytes=True) for t, n in zip(batch.column("text").to_pylist(), sizes)]
+
+
 def _point_batches(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,32 +188,43 @@ def _meeting_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def region_links(sets: list[np.ndarray], keys: list[bytes], central: list[float]) -> list[tuple[bytes, bytes]]:
-    """Links of one region, by recursion over pivots and triangle-inequality windows."""
-    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-    _, token = np.unique(np.concatenate(sets), return_inverse=True)
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    starts = np.concatenate(([0], np.cumsum(sizes)))
-    in_pivot = np.zeros(token.max() + 1 if len(token) else 1, bool)
-    order = np.array(central)
-    active = np.arange(len(sets))
+    """Links that connect what one region's links connect, fewer than it has points.
+
+    Each round measures the points left against a pivot and keeps those outside or in the window;
+    the region is done when these are connected already.
+    """
     links = []
-    while len(active) > 1:
+    group = np.arange(len(sets))
+    active = np.arange(len(sets))
+    order = np.array(central)
+    held = 2 * len(sets) + 1
+    while len(active) > 1 and (group[active] != group[active[0]]).any():
+        if 2 * len(active) < held:
+            # only the shingles of the points left
+            held = len(active)
+            sizes = np.fromiter((len(sets[i]) for i in active), np.int64, held)
+            _, token = np.unique(np.concatenate([sets[i] for i in active]), return_inverse=True)
+            owner = np.repeat(active, sizes)
+            ends = dict(zip(active.tolist(), np.cumsum(sizes).tolist()))
+            in_pivot = np.zeros(len(token) + 1, bool)
+            of_point = np.zeros(len(sets), np.int64)
+            of_point[active] = sizes
         pivot = active[np.argmax(order[active])]
-        own = token[starts[pivot] : starts[pivot + 1]]
+        own = token[ends[pivot] - of_point[pivot] : ends[pivot]]
         in_pivot[own] = True
         shared = np.bincount(owner[in_pivot[token]], minlength=len(sets))[active]
         in_pivot[own] = False
-        union = sizes[active] + sizes[pivot] - shared
+        union = of_point[active] + of_point[pivot] - shared
         near = 100 * shared >= 75 * union
-        links += [(keys[pivot], keys[i]) for i in active[near] if i != pivot]
+        ball = active[near]
+        found, first = np.unique(group[ball], return_index=True)
+        links += [(keys[pivot], keys[i]) for i in ball[first].tolist() if group[i] != group[pivot]]
+        group[np.isin(group, found)] = group[pivot]
         if near.all():
             break
         distance = 1 - shared / np.maximum(union, 1)
         window = distance >= distance[~near].min() - 0.25 - 1e-9
         active = active[(~near | window) & (active != pivot)]
-        # recursion goes on only where a point has gone from the arrays of the region
-        if 2 * len(active) < len(sizes) and len(sizes) > 64:
-            return links + region_links([sets[i] for i in active], [keys[i] for i in active], list(order[active]))
     return links
 
 
@@ -219,7 +245,7 @@ def _region_batches(size: int):
         for batch in batches:
             regions = batch.column("region").to_pylist()
             centrals = batch.column("central").to_pylist()
-            for region, text, central in zip(regions, bytes_of(batch.column("text")), centrals):
+            for region, text, central in zip(regions, _unpacked(batch), centrals):
                 if region != current and held:
                     yield flush()
                     held = []
@@ -236,8 +262,7 @@ def _measure_batches(size: int):
         place = chosen = key = None
         for batch in batches:
             out = []
-            texts = bytes_of(batch.column("text"))
-            sets = [s for _, some in blocks(texts) for s in shingle_sets(some, size)]
+            sets = [s for _, some in blocks(_unpacked(batch)) for s in shingle_sets(some, size)]
             rows = zip(batch.column("region").to_pylist(), batch.column("part").to_pylist(), batch.column("point").to_pylist(), batch.column("central").to_pylist(), sets)
             for region, part, point, central, shingles in rows:
                 if (region, part) != place:
@@ -283,7 +308,7 @@ def _measured(regions: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     pivots = heads.select(
         "region", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), F.col("pivot").alias("point"), F.lit(0.0).alias("central")
     )
-    rows = members.union(pivots).join(texts, "point").select("region", "part", "role", "point", "central", "text")
+    rows = members.union(pivots).join(texts, "point").select("region", "part", "role", "point", "central", "text", "bytes")
     return written(
         rows.repartition("region", "part")
         .sortWithinPartitions("region", "part", "role")
@@ -318,7 +343,7 @@ def jaccard_points(docs: DataFrame, size: int = WORDS) -> tuple[DataFrame, DataF
     points = written(keyed.mapInArrow(_point_batches(size), _POINTS))
     regions, info = _met(docs, points, size)
     wanted = checked(info.select("point", "doc_id", "text_key"))
-    texts = written(keyed.join(wanted, same(keyed, wanted, ["doc_id", "text_key"])).select("point", "text"))
+    texts = written(keyed.join(wanted, same(keyed, wanted, ["doc_id", "text_key"])).select("point", "text").mapInArrow(_pack_batches, "point long, text binary, bytes long"))
     if not texts.groupBy("point").count().where("count > 1").isEmpty():
         texts = written(texts.dropDuplicates(["point"]))
     small, links = [], []
@@ -343,7 +368,7 @@ def jaccard_points(docs: DataFrame, size: int = WORDS) -> tuple[DataFrame, DataF
     for more in small[1:]:
         every = every.union(more)
     links.append(
-        every.join(texts, "point").select("region", "central", "text")
+        every.join(texts, "point").select("region", "central", "text", "bytes")
         .repartition("region").sortWithinPartitions("region")
         .mapInArrow(_region_batches(size), "a binary, b binary")
     )
