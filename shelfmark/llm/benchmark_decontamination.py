@@ -60,11 +60,16 @@ def _window(words: Column, start: Column, size: int) -> Column:
     return F.array_join(F.slice(words, start + 1, size), " ")
 
 
+def _start_if(wanted):
+    return lambda fingerprint, i: F.when(wanted(fingerprint), i)
+
+
 def _windows(rows: DataFrame, keys: list[str], lengths: list[int], wanted) -> DataFrame:
-    """A row per start of a window: keys, start, size, words joined; ``wanted(size)`` tells which starts."""
+    """A row per start of a window: keys, start, size, words joined; ``wanted(size)`` tells by fingerprint."""
     parts = []
     for m in [WINDOW, *lengths]:
-        starts = F.filter(_starts(F.size("words"), m), wanted(m))
+        # the fingerprints are the argument, as inside the function they would be made for each start
+        starts = F.array_compact(F.transform(F.col(f"f{m}"), _start_if(wanted(m))))
         exploded = rows.select(*keys, "words", F.explode(starts).alias("start"))
         parts.append(exploded.select(*keys, "start", F.lit(m).alias("size"), _window(F.col("words"), F.col("start"), m).alias("window")))
     out = parts[0]
@@ -80,7 +85,7 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     lengths = sorted(r["n"] for r in found)
     item_rows = _tokenised(sized, ["item_id", "n"], lengths)
     item_windows = written(
-        _windows(item_rows, ["item_id", "n"], lengths, lambda m: lambda i: F.col("n") == m if m < WINDOW else F.col("n") >= m)
+        _windows(item_rows, ["item_id", "n"], lengths, lambda m: lambda _: F.col("n") == m if m < WINDOW else F.col("n") >= m)
         .select("item_id", "window").distinct()
     )
     prints = [item_rows.select(F.explode(f"f{WINDOW}").alias("print"))]
@@ -110,7 +115,7 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     again = keyed.join(candidates, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")))
     again = _tokenised(again, ["doc_id", "text_key", "prints"], lengths)
     windows = _windows(
-        again, ["doc_id", "text_key"], lengths, lambda m: lambda i: F.array_contains(F.col("prints"), F.col(f"f{m}")[i])
+        again, ["doc_id", "text_key"], lengths, lambda m: lambda fingerprint: F.array_contains(F.col("prints"), fingerprint)
     )
     covered = F.flatten(F.transform(F.collect_set(F.struct("start", "size")), lambda s: F.sequence(s["start"], s["start"] + s["size"] - 1)))
     hits = windows.join(checked(item_windows), "window").groupBy("doc_id", "text_key").agg(

@@ -15,6 +15,7 @@ from shelfmark.session import shared_folder
 BROADCAST_ROWS = 400_000
 # Texts are hashed in blocks of about so many bytes, so that the arrays of a task stay small.
 BLOCK_BYTES = 1 << 20
+BATCH_BYTES = str(16 << 20)
 
 _M = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15
@@ -25,12 +26,20 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+def _bound_batches(spark: SparkSession) -> None:
+    """Texts go to Python in batches of at most ``BATCH_BYTES``, whatever the session's bound was."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) != BATCH_BYTES:
+        spark.conf.set(name, BATCH_BYTES)
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the folder all executors share; lineage ends there.
 
     The table goes when the session's JVM ends.
     """
     spark = df.sparkSession
+    _bound_batches(spark)
     path = f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}"
     df.write.parquet(path)
     jvm = spark._jvm
