@@ -62,10 +62,19 @@ def format_published_date(value: Column) -> Column:
 
 
 def short_number(c: Column) -> Column:
-    """A series index without trailing zeros, at most six significant digits."""
-    whole = c.try_cast("bigint")
-    text = F.regexp_replace(F.round(c, 5).cast("decimal(20,5)").cast("string"), r"\.?0+\z", "")
-    return F.when(c == whole, whole.cast("string")).otherwise(text)
+    """A number in the general format with six significant digits, without trailing zeros."""
+    shown = F.format_string("%.5e", c)
+    exponent = F.regexp_extract(shown, r"e(.*)\z", 1).try_cast("int")
+    sign = F.when(shown.startswith("-"), "-").otherwise("")
+    digits = F.regexp_replace(F.regexp_extract(shown, r"\A-?([^e]*)e", 1), r"\.", "")
+    whole = F.when(exponent >= 0, F.substring(digits, F.lit(1), exponent + 1)).otherwise("0")
+    zeros = F.repeat(F.lit("0"), F.greatest(-exponent - 1, F.lit(0)))
+    rest = F.when(exponent >= 0, F.substring(digits, exponent + 2, F.lit(6))).otherwise(F.concat(zeros, digits))
+    plain = F.regexp_replace(F.concat(whole, F.lit("."), rest), r"\.?0*\z", "")
+    mantissa = F.regexp_replace(F.concat(F.substring(digits, 1, 1), F.lit("."), F.substring(digits, 2, 5)), r"\.?0*\z", "")
+    power = F.regexp_extract(shown, r"(e.*)\z", 1)
+    fixed = exponent.between(-4, 5)
+    return F.when(c.isNotNull() & exponent.isNotNull(), F.concat(sign, F.when(fixed, plain).otherwise(F.concat(mantissa, power))))
 
 
 def display_card(book: dict[str, Column]) -> Column:

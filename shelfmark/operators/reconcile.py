@@ -103,8 +103,12 @@ def drop_children(children: DataFrame, deleted: DataFrame, column: str = "book_i
 
 
 def files_by_hash(files: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Every file with the size of its group of equal contents: one row per file, no lists."""
-    sizes = files.groupBy("content_hash").agg(F.count(F.lit(1)).alias("copies"))
+    """Every file with the size of its group of equal contents: one row per file, no lists.
+
+    A file that could not be read has no hash, no group and no size.
+    """
+    readable = files.where(F.col("content_hash").isNotNull())
+    sizes = readable.groupBy("content_hash").agg(F.count(F.lit(1)).alias("copies"))
     return join_hot(
         files.select("path", "content_hash"), sizes, "content_hash", "left", ["path"], hot_rows
     ).select("content_hash", "path", "copies")
@@ -112,17 +116,27 @@ def files_by_hash(files: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
 
 def keeper_paths(files: DataFrame) -> DataFrame:
     """Per content hash the copy that stays."""
-    return files.groupBy("content_hash").agg(F.max(fn.keeper_key(F.col("path")))["path"].alias("keeper"))
+    readable = files.where(F.col("content_hash").isNotNull())
+    return readable.groupBy("content_hash").agg(F.max(fn.keeper_key(F.col("path")))["path"].alias("keeper"))
+
+
+def _with_presence(canon: DataFrame, paths: DataFrame) -> DataFrame:
+    """``canon`` with ``there``: its canon_path is among ``paths``.
+
+    Contents the catalogue does not know have no such path, on a first scan that is all of them; a
+    key of their own keeps them out of one task.
+    """
+    there = paths.select(F.col("path").alias("_there_path"), F.lit(True).alias("there"))
+    key = F.coalesce(F.col("canon_path"), F.concat(F.lit("\x00"), F.col("content_hash")))
+    return canon.join(there, key == F.col("_there_path"), "left").drop("_there_path").withColumn("there", F.coalesce("there", F.lit(False)))
 
 
 def _copy_groups(unindexed: DataFrame, books: DataFrame, inventory: DataFrame) -> DataFrame:
     """One row per content hash of the unindexed files: keeper, book, number of copies."""
-    groups = unindexed.groupBy("content_hash").agg(
+    groups = unindexed.where(F.col("content_hash").isNotNull()).groupBy("content_hash").agg(
         F.count(F.lit(1)).alias("files"), F.max(fn.keeper_key(F.col("path"))).alias("best")
     )
-    canon = groups.join(canonical_rows(books), "content_hash", "left")
-    there = inventory.select(F.col("path").alias("canon_path"), F.lit(True).alias("there"))
-    known = canon.join(there, "canon_path", "left").withColumn("there", F.coalesce("there", F.lit(False)))
+    known = _with_presence(groups.join(canonical_rows(books), "content_hash", "left"), inventory)
     best = F.when(
         F.col("there"), F.greatest(F.col("best"), fn.keeper_key(F.col("canon_path")))
     ).otherwise(F.col("best"))
@@ -211,10 +225,12 @@ def classify(
     books: DataFrame,
     hot_rows: int = HOT_ROWS,
     present: DataFrame | None = None,
+    roots: list[str] | None = None,
 ) -> DataFrame:
     """What a scan does with each file.
 
-    ``present`` lists the paths that exist when ``inventory`` is only a part of the files.
+    ``present`` lists the paths that exist when ``inventory`` is only a part of the files. With
+    ``roots``, a row's file outside them counts as there and is never deleted.
 
     Files whose size and time match their row are unchanged and are not read. The others are
     hashed once (the hashes are written, so that no later step reads a file again). Then per
@@ -254,14 +270,16 @@ def classify(
     )
     canon = groups.join(canonical_rows(books), "content_hash", "left")
     paths = inventory if present is None else present
-    there = paths.select(c("path").alias("canon_path"), F.lit(True).alias("there"))
-    facts = canon.join(there, "canon_path", "left").select(
+    inside_roots = F.coalesce(fn.under_roots(c("canon_path"), roots or []), F.lit(True))
+    facts = _with_presence(canon, paths).select(
         "content_hash",
         c("best_free.path").alias("best_path"),
         F.coalesce("owner.path", "best_free.path").alias("index_path"),
         "canon_id",
         "canon_path",
-        F.coalesce("there", F.lit(False)).alias("there"),
+        # a file outside the scanned roots was not looked at, so it counts as there
+        (c("there") | (F.lit(False) if roots is None else ~inside_roots)).alias("there"),
+        (F.lit(True) if roots is None else inside_roots).alias("scanned"),
     )
     judged = join_hot(suspects, facts, "content_hash", "left", ["path"], hot_rows)
     key = fn.keeper_key(c("path"))
@@ -284,7 +302,7 @@ def classify(
     return judged.withColumn("status", status).select(
         "path", "file_size", "file_mtime", "content_hash", "status",
         F.when(moved, c("canon_id")).otherwise(c("existing_id")).alias("book_id"),
-        F.when(moved & c("there"), c("canon_path")).alias("delete_path"),
+        F.when(moved & c("there") & c("scanned"), c("canon_path")).alias("delete_path"),
     ).unionByName(calm)
 
 

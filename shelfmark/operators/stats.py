@@ -50,13 +50,15 @@ def stats_snapshot(books: DataFrame) -> DataFrame:
 def read_stats(snapshot: DataFrame, books: DataFrame) -> DataFrame:
     """Stored statistics; what is absent or no JSON list is computed from the catalogue.
 
+    The one stored row is looked at first, so that a good one costs no scan of the catalogue.
     Both inputs have at most one row, so they are gathered, not joined.
     """
-    fresh = library_stats(books)
     stored = snapshot.where(F.col("id") == 1).select(
         F.lit(1).alias("rank"), "library_total", languages_from_json(F.col("languages")).alias("languages")
     )
-    computed = fresh.select(F.lit(2).alias("rank"), "library_total", "languages")
+    if not stored.where("library_total is not null and languages is not null").isEmpty():
+        return stored.select("library_total", "languages")
+    computed = library_stats(books).select(F.lit(2).alias("rank"), "library_total", "languages")
     both = stored.unionByName(computed)
     return both.agg(
         F.min_by("library_total", "rank").alias("library_total"),
@@ -104,6 +106,7 @@ def scan_summary(classified: DataFrame, marked_missing: DataFrame | None = None)
                 "unchanged": status == "unchanged",
                 "conflicts": status == "conflict",
                 "invalid_epubs": status == "invalid",
+                "errors": status == "error",
                 "files_deleted": F.col("delete_path").isNotNull(),
             }
         ),

@@ -71,12 +71,16 @@ def make_package(fault: int, title, creator, language, isbn, series_index, text)
     )
     chapter = "<html><body></html>" if fault == 4 else f"<html><body><p>{_xml(text)}</p></body></html>"
     out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        z.writestr("mimetype", "text/plain" if fault == 5 else "application/epub+zip")
+    with zipfile.ZipFile(out, "w") as z:
+        # a fixed date, so that equal packages have equal bytes
+        def put(name: str, body: str) -> None:
+            z.writestr(zipfile.ZipInfo(name, (2024, 1, 1, 0, 0, 0)), body, zipfile.ZIP_DEFLATED)
+
+        put("mimetype", "text/plain" if fault == 5 else "application/epub+zip")
         if fault != 2:
-            z.writestr("META-INF/container.xml", _CONTAINER)
-        z.writestr("OEBPS/content.opf", opf)
-        z.writestr("OEBPS/chapter 1.xhtml", chapter)
+            put("META-INF/container.xml", _CONTAINER)
+        put("OEBPS/content.opf", opf)
+        put("OEBPS/chapter 1.xhtml", chapter)
     return out.getvalue()
 
 

@@ -89,7 +89,7 @@ def scan_job(
     With ``present`` the inventory is a part of the files and nothing is marked missing.
     """
     c = F.col
-    sorted_files = cut_lineage(reconcile.classify(inventory, books, present=present))
+    sorted_files = cut_lineage(reconcile.classify(inventory, books, present=present, roots=roots))
     due = sorted_files.where(c("status") == "to_index")
     inspected = cut_lineage(packages.inspect_packages(_contents(due, inventory)))
     if validate:

@@ -432,7 +432,7 @@ def _(lib):
     f"""SELECT count(*) AS scanned, count(*) FILTER (status IN ('to_index', 'repointed')) AS added_or_updated,
         count(*) FILTER (status = 'duplicate') AS skipped, count(*) FILTER (status = 'unchanged') AS unchanged,
         count(*) FILTER (status = 'conflict') AS conflicts, 0::BIGINT AS invalid_epubs,
-        count(delete_path) AS files_deleted,
+        count(*) FILTER (status = 'error') AS errors, count(delete_path) AS files_deleted,
         (SELECT count(*) FROM books WHERE NOT is_missing AND {LIB} AND file_path NOT IN (SELECT path FROM inventory)) AS marked_missing
         FROM classified""",
 )
@@ -1296,7 +1296,10 @@ def _(lib):
     dated = fs.with_cover_ids(lib.covers).select(
         F.concat(F.lit("data/"), "path").alias("cover_path"), (c("book_id") + 1_700_000_000).alias("seconds")
     )
-    joined = lib.books.select("id", "cover_path", "last_scanned_at").join(dated, "cover_path", "left")
+    books = lib.books.select("id", "cover_path", "last_scanned_at")
+    # books without a cover find nothing; a key of their own keeps them out of one task
+    key = F.coalesce(c("cover_path"), F.concat(F.lit("\x00"), c("id").cast("string")))
+    joined = books.join(dated.withColumnRenamed("cover_path", "dated_path"), key == c("dated_path"), "left")
     return joined.select("id", fn.cover_version(c("seconds"), c("last_scanned_at")).alias("version"))
 
 
@@ -1333,8 +1336,7 @@ def _(lib):
 @query(
     "display_card",
     f"""SELECT id, coalesce(title, file_name) AS card_title, coalesce(authors, 'Unknown author') AS card_author,
-        coalesce(series || ' #' || CASE WHEN series_index = floor(series_index) THEN series_index::BIGINT::VARCHAR
-          ELSE rtrim(printf('%.5f', series_index), '0') END, '') AS card_series,
+        coalesce(series || ' #' || printf('%g', series_index), '') AS card_series,
         upper(format) AS card_format, {_SIZE} AS card_size FROM (SELECT *, file_size AS s FROM books)""",
 )
 def _(lib):
@@ -1348,10 +1350,10 @@ def _(lib):
     return text.select("json_text", F.array_join(md.languages_from_json(c("json_text")), ",").alias("back"))
 
 
-@query("resolve_href", "SELECT id, 'OEBPS/' || source || '/' || id || '.xhtml' AS member FROM (SELECT doc_id AS id, source FROM documents)")
+@query("resolve_href", "SELECT id, 'OEBPS/' || source || '/a b+' || id || '.xhtml' AS member FROM (SELECT doc_id AS id, source FROM documents)")
 def _(lib):
     docs = lib.table("documents")
-    href = F.concat(F.lit("../../../OEBPS/./x/../"), c("source"), F.lit("/"), c("doc_id").cast("string"), F.lit(".xhtml"))
+    href = F.concat(F.lit("../../../OEBPS/./x/../"), c("source"), F.lit("/a%20b+"), c("doc_id").cast("string"), F.lit(".xhtml"))
     return docs.select(c("doc_id").alias("id"), packages.resolve_href_column(F.lit("OEBPS/deep/content.opf"), href).alias("member"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -71,15 +72,46 @@ def with_cover_ids(covers: DataFrame) -> DataFrame:
     return covers.withColumn("book_id", cover_book_id(F.col("path")))
 
 
-@F.pandas_udf(StringType())
-def _sha1_of_files(paths: pd.Series) -> pd.Series:
+def split_path(path: str) -> tuple[str, str, str]:
+    """(scheme, authority, path) of a path as Spark names it; blanks and percent signs stay."""
+    scheme, colon, rest = path.partition(":")
+    if not colon or not scheme.isalnum() or not rest.startswith("/"):
+        return "file", "", path
+    if not rest.startswith("//"):
+        return scheme, "", rest
+    authority, _, inner = rest[2:].partition("/")
+    return scheme, authority, "/" + inner
+
+
+@lru_cache(maxsize=16)
+def _file_system(scheme: str, authority: str):
     from pyarrow import fs
 
+    host, _, port = authority.partition(":")
+    if scheme == "file":
+        return fs.LocalFileSystem()
+    if scheme in ("s3", "s3a", "s3n"):
+        return fs.S3FileSystem()
+    if scheme == "gs":
+        return fs.GcsFileSystem()
+    if scheme in ("hdfs", "viewfs"):
+        return fs.HadoopFileSystem(f"{scheme}://{host}" if host else "default", int(port or 0))
+    raise ValueError(f"files of scheme {scheme!r} cannot be opened by path; read them with their content")
+
+
+def open_file(path: str):
+    """A stream of the bytes at a path on local or cluster storage; ``OSError`` if it is gone."""
+    scheme, authority, inner = split_path(path)
+    in_bucket = scheme in ("s3", "s3a", "s3n", "gs")
+    return _file_system(scheme, authority).open_input_stream(authority + inner if in_bucket else inner)
+
+
+@F.pandas_udf(StringType())
+def _sha1_of_files(paths: pd.Series) -> pd.Series:
     def digest(path: str) -> str | None:
         total = hashlib.sha1()
         try:
-            system, inner = fs.FileSystem.from_uri(path)
-            with system.open_input_stream(inner) as stream:
+            with open_file(path) as stream:
                 while chunk := stream.read(_CHUNK):
                     total.update(chunk)
         except OSError:

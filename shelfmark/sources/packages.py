@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import io
 import posixpath
+import re
 import xml.etree.ElementTree as ET
 import zipfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 from urllib.parse import unquote
 
 import pandas as pd
@@ -15,6 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from shelfmark.functions.files import stem
 from shelfmark.functions.metadata import isbn_from_identifiers, parse_number
+from shelfmark.sources.files import open_file
 
 # Names and namespaces of the package format.
 CONTAINER = "META-INF/container.xml"
@@ -50,92 +53,145 @@ def resolve_href(opf_path: str, href: str) -> str:
     return posixpath.normpath(joined).lstrip("/").replace("\\", "/")
 
 
-class _Archive:
-    """Members of a ZIP by normalised name, exact case first."""
+# The texts of findings.
+MESSAGES = {
+    "gone": "file not found",
+    "empty": "file is empty",
+    "no zip": "not a ZIP archive",
+    "bad zip": "bad ZIP archive",
+    "names": "unreadable ZIP member names: {0}",
+    "data": "corrupt ZIP data: {0}",
+    "archive": "corrupt ZIP archive: {0}",
+    "member": "corrupt ZIP member: {0}",
+    "member data": "corrupt ZIP member {0}: {1}",
+    "no mimetype": "missing mimetype",
+    "mimetype": "unexpected mimetype: {0!r}",
+    "no container": "missing META-INF/container.xml",
+    "no rootfile": "container.xml has no rootfile",
+    "no opf": "OPF not found in archive: {0}",
+    "xml": "invalid {0}: {1}",
+    "no metadata": "OPF metadata section missing",
+    "no spine": "OPF spine is empty",
+    "no item": "spine itemref missing from manifest: {0}",
+    "no content": "spine content missing from archive: {0}",
+    "no body": "spine item is empty: {0}",
+    "markup": "invalid spine markup in {0}: {1}",
+    "unreadable": "spine has no readable HTML/XHTML content",
+}
+_DECLARED = re.compile(rb"""\A\s*<\?xml[^>]*?encoding\s*=\s*["']([A-Za-z0-9._-]+)["'][^>]*\?>""")
+
+
+def _say(key: str, *values) -> str:
+    return MESSAGES[key].format(*values)
+
+
+def parse_xml(body: bytes) -> ET.Element:
+    """The root element; encodings the parser does not know are decoded by their declaration."""
+    try:
+        return ET.fromstring(body)
+    except (ValueError, LookupError):
+        declared = _DECLARED.match(body)
+        if not declared:
+            raise
+        return ET.fromstring(body[declared.end() :].decode(declared[1].decode("ascii")))
+
+
+class _Package(NamedTuple):
+    """An open archive and its members by name: as stored, else in lower case; the first of equals."""
+
+    archive: zipfile.ZipFile
+    members: dict[str, str]
 
-    def __init__(self, data: bytes) -> None:
-        self.zip = None
+    @classmethod
+    def of(cls, data: bytes) -> _Package:
+        faults = []
         for encoding in NAME_ENCODINGS:
             try:
-                self.zip = zipfile.ZipFile(io.BytesIO(data), metadata_encoding=encoding)
-                break
-            except UnicodeError as exc:
-                fault = exc
-        if self.zip is None:
-            raise Broken(f"unreadable ZIP member names: {fault}")
-        self.names: dict[str, str] = {}
-        for stored in self.zip.namelist():
-            posix = stored.replace("\\", "/")
-            self.names.setdefault(posix, stored)
-            self.names.setdefault(posix.lower(), stored)
-
-    def check(self) -> None:
+                archive = zipfile.ZipFile(io.BytesIO(data), metadata_encoding=encoding)
+            except UnicodeError as fault:
+                faults.append(fault)
+                continue
+            stored = [(name.replace("\\", "/"), name) for name in reversed(archive.namelist())]
+            return cls(archive, {path.lower(): name for path, name in stored} | dict(stored))
+        raise Broken(_say("names", faults[-1]))
+
+    def body(self, path: str) -> bytes:
         try:
-            bad = self.zip.testzip()
-        except zlib.error as exc:
-            raise Broken(f"corrupt ZIP data: {exc}") from exc
-        except (RuntimeError, EOFError) as exc:
-            raise Broken(f"corrupt ZIP archive: {exc}") from exc
-        if bad is not None:
-            raise Broken(f"corrupt ZIP member: {bad}")
-
-    def read(self, name: str) -> bytes:
-        try:
-            return self.zip.read(self.names[name])
-        except zlib.error as exc:
-            raise Broken(f"corrupt ZIP member {name}: {exc}") from exc
+            return self.archive.read(self.members[path])
+        except zlib.error as fault:
+            raise Broken(_say("member data", path, fault)) from fault
 
-    def xml(self, name: str, what: str) -> ET.Element:
+    def tree(self, path: str, what: str) -> ET.Element:
         try:
-            return ET.fromstring(self.read(name))
-        except ET.ParseError as exc:
-            raise Broken(f"invalid {what}: {exc}") from exc
-
-
-def _package_document(archive: _Archive) -> tuple[str, ET.Element]:
-    if CONTAINER not in archive.names:
-        raise Broken("missing META-INF/container.xml")
-    container = archive.xml(CONTAINER, "container.xml")
-    declared = (el.get("full-path", "").strip() for el in container.iter(OCF + "rootfile"))
-    path = next((p.replace("\\", "/") for p in declared if p), None)
-    if path is None:
-        raise Broken("container.xml has no rootfile")
-    if path not in archive.names:
-        raise Broken(f"OPF not found in archive: {path}")
-    return path, archive.xml(path, "OPF XML")
-
-
-def _spine_faults(archive: _Archive, opf_path: str, opf: ET.Element) -> Iterator[str]:
-    items = {
-        el.get("id", "").strip(): (el.get("href", "").strip(), el.get("media-type", "").strip())
-        for el in opf.iterfind(f".//{OPF}manifest/{OPF}item")
-        if el.get("id", "").strip() and el.get("href", "").strip()
-    }
-    refs = [el.get("idref", "").strip() for el in opf.iterfind(f".//{OPF}spine/{OPF}itemref")]
-    refs = [ref for ref in refs if ref]
-    if not refs:
-        raise Broken("OPF spine is empty")
-    readable = False
-    for ref in refs:
-        if ref not in items:
-            yield f"spine itemref missing from manifest: {ref}"
-            continue
-        href, media_type = items[ref]
-        member = resolve_href(opf_path, href)
-        if member not in archive.names:
-            yield f"spine content missing from archive: {member}"
-            continue
-        body = archive.read(member)
-        if not body.strip():
-            yield f"spine item is empty: {member}"
-        elif media_type in READABLE_TYPES or member.lower().endswith(READABLE_SUFFIXES):
-            readable = True
-            try:
-                ET.fromstring(body)
-            except ET.ParseError as exc:
-                yield f"invalid spine markup in {member}: {exc}"
-    if not readable:
-        yield "spine has no readable HTML/XHTML content"
+            return parse_xml(self.body(path))
+        except ET.ParseError as fault:
+            raise Broken(_say("xml", what, fault)) from fault
+
+
+def _damage(package: _Package) -> None:
+    """Every member's check sum; the first fault ends the inspection."""
+    kinds = {zlib.error: "data", RuntimeError: "archive", EOFError: "archive"}
+    try:
+        bad = package.archive.testzip()
+    except tuple(kinds) as fault:
+        key = next(key for kind, key in kinds.items() if isinstance(fault, kind))
+        raise Broken(_say(key, fault)) from fault
+    if bad is not None:
+        raise Broken(_say("member", bad))
+
+
+def _mimetype_warnings(package: _Package) -> list[str]:
+    if "mimetype" not in package.members:
+        return [_say("no mimetype")]
+    found = package.body("mimetype").decode("utf-8", errors="replace").strip()
+    return [] if found == MIMETYPE else [_say("mimetype", found)]
+
+
+def _package_document(package: _Package) -> tuple[str, ET.Element]:
+    if CONTAINER not in package.members:
+        raise Broken(_say("no container"))
+    roots = package.tree(CONTAINER, "container.xml").iter(OCF + "rootfile")
+    paths = [path for el in roots if (path := el.get("full-path", "").strip().replace("\\", "/"))]
+    if not paths:
+        raise Broken(_say("no rootfile"))
+    if paths[0] not in package.members:
+        raise Broken(_say("no opf", paths[0]))
+    return paths[0], package.tree(paths[0], "OPF XML")
+
+
+def _values(elements: Iterable[ET.Element], *names: str) -> list[tuple[str, ...]]:
+    """Trimmed attributes of each element that has the first of them."""
+    rows = [tuple(el.get(name, "").strip() for name in names) for el in elements]
+    return [row for row in rows if row[0]]
+
+
+def _content_findings(package: _Package, member: str, media_type: str) -> tuple[bool, str | None]:
+    """(has text to read, fault) of one content document."""
+    if member not in package.members:
+        return False, _say("no content", member)
+    body = package.body(member)
+    if not body.strip():
+        return False, _say("no body", member)
+    if media_type not in READABLE_TYPES and not member.lower().endswith(READABLE_SUFFIXES):
+        return False, None
+    try:
+        parse_xml(body)
+    except (ET.ParseError, ValueError, LookupError) as fault:
+        return True, _say("markup", member, fault)
+    return True, None
+
+
+def _spine_faults(package: _Package, opf_path: str, opf: ET.Element) -> list[str]:
+    rows = _values(opf.iterfind(f".//{OPF}manifest/{OPF}item"), "id", "href", "media-type")
+    manifest = {name: (resolve_href(opf_path, href), kind) for name, href, kind in rows if href}
+    order = [ref for (ref,) in _values(opf.iterfind(f".//{OPF}spine/{OPF}itemref"), "idref")]
+    if not order:
+        raise Broken(_say("no spine"))
+    findings = [
+        _content_findings(package, *manifest[ref]) if ref in manifest else (False, _say("no item", ref)) for ref in order
+    ]
+    faults = [fault for _, fault in findings if fault]
+    return faults if any(has_text for has_text, _ in findings) else [*faults, _say("unreadable")]
 
 
 def _metadata(opf: ET.Element) -> dict | None:
@@ -173,34 +229,26 @@ def _metadata(opf: ET.Element) -> dict | None:
 
 
 def inspect_package(data: bytes | None) -> dict:
-    """Faults, warnings and raw metadata of one package."""
+    """Faults, warnings and raw metadata of one package; whatever is odd about it becomes a fault."""
     errors, warnings, raw, metadata_error = [], [], None, None
     try:
-        if data is None:
-            raise Broken("file not found")
         if not data:
-            raise Broken("file is empty")
+            raise Broken(_say("gone" if data is None else "empty"))
         if not zipfile.is_zipfile(io.BytesIO(data)):
-            raise Broken("not a ZIP archive")
-        archive = _Archive(data)
-        archive.check()
-        if "mimetype" not in archive.names:
-            warnings.append("missing mimetype")
-        else:
-            found = archive.read("mimetype").decode("utf-8", errors="replace").strip()
-            if found != MIMETYPE:
-                warnings.append(f"unexpected mimetype: {found!r}")
-        opf_path, opf = _package_document(archive)
+            raise Broken(_say("no zip"))
+        package = _Package.of(data)
+        _damage(package)
+        warnings += _mimetype_warnings(package)
+        opf_path, opf = _package_document(package)
         raw = _metadata(opf)
-        if raw is None:
-            metadata_error = "OPF metadata section missing"
-        errors.extend(_spine_faults(archive, opf_path, opf))
-    except Broken as exc:
-        errors.append(str(exc))
+        metadata_error = None if raw else _say("no metadata")
+        errors += _spine_faults(package, opf_path, opf)
     except zipfile.BadZipFile:
-        errors.append("bad ZIP archive")
-    except OSError as exc:
-        errors.append(str(exc))
+        errors.append(_say("bad zip"))
+    except (Broken, OSError) as fault:
+        errors.append(str(fault))
+    except Exception as fault:  # one odd file must not end the job
+        errors.append(f"{type(fault).__name__}: {fault}")
     return {
         "ok": not errors,
         "errors": errors,
@@ -211,11 +259,8 @@ def inspect_package(data: bytes | None) -> dict:
 
 
 def _bytes_at(path: str) -> bytes | None:
-    from pyarrow import fs
-
     try:
-        system, inner = fs.FileSystem.from_uri(path)
-        with system.open_input_stream(inner) as stream:
+        with open_file(path) as stream:
             return stream.read()
     except OSError:
         return None
@@ -274,8 +319,10 @@ def metadata(inspected: DataFrame) -> DataFrame:
 
 
 def resolve_href_column(opf_path: Column, href: Column) -> Column:
-    """:func:`resolve_href` for hrefs without percent signs, built in; others must be decoded first."""
-    clean = F.translate(F.btrim(href), "\\", "/")
+    """:func:`resolve_href` as a built-in column; an href with a broken escape stays as it is."""
+    trimmed = F.btrim(href)
+    decoded = F.coalesce(F.try_url_decode(F.replace(trimmed, F.lit("+"), F.lit("%2B"))), trimmed)
+    clean = F.translate(decoded, "\\", "/")
     parts = F.split(
         F.concat_ws("/", F.regexp_extract(opf_path, r"\A(.*)/[^/]*\z", 1), clean), "/"
     )

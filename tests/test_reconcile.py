@@ -254,3 +254,22 @@ def test_removal_plan_guards_roots(make_files, spark):
         ("delete", 1, "/lib/a.epub"), ("purge", 1, "/lib/a.epub"), ("purge", 3, "/lib/none.epub"),
         ("refuse", 2, "/out/b.epub"), ("remove_cover", 1, "covers/01/1.png"),
     ]
+
+
+def test_unreadable_files_are_no_copies_of_each_other(spark, make_books):
+    files = spark.createDataFrame([(f"/lib/{n}.epub", None) for n in "abc"] + [("/lib/d.epub", "h")], "path string, content_hash string")
+    books = make_books({"id": 1, "file_path": "/lib/z.epub", "content_hash": "q"})
+    assert [r.path for r in reconcile.new_files(files, books).collect()] == ["/lib/d.epub"]
+    assert reconcile.duplicate_groups(files, books, files.select("path")).count() == 0
+    assert {r.copies for r in reconcile.files_by_hash(files).collect()} == {None, 1}
+
+
+def test_scan_leaves_files_outside_its_roots(spark, make_books, make_files):
+    data = b"same bytes"
+    import hashlib
+
+    books = make_books({"id": 1, "file_path": "/other/long name here.epub", "content_hash": hashlib.sha1(data).hexdigest()})
+    files = make_files(("/lib/a.epub", data))
+    inside = reconcile.classify(files, books, roots=["/lib"]).first()
+    assert (inside.status, inside.delete_path) == ("duplicate", None)
+    assert reconcile.classify(files, books).first().status == "repointed"

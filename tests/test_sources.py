@@ -214,3 +214,45 @@ def test_stream(spark, tree, tmp_path):
     (tree / "three.epub").write_bytes(package("Three"))
     assert run() == ["One", "Three", "Two"]
     assert run() == ["One", "Three", "Two"]
+
+
+def test_paths_of_cluster_storage_are_split_by_hand():
+    from shelfmark.sources.files import split_path
+
+    assert split_path("/data/Kim - Rudyard.epub") == ("file", "", "/data/Kim - Rudyard.epub")
+    assert split_path("file:///data/a b%20.epub") == ("file", "", "/data/a b%20.epub")
+    assert split_path("file:/data/a.epub") == ("file", "", "/data/a.epub")
+    assert split_path("s3a://bucket/x y/ä.epub") == ("s3a", "bucket", "/x y/ä.epub")
+    assert split_path("hdfs://name:8020/x y.epub") == ("hdfs", "name:8020", "/x y.epub")
+
+
+def test_odd_packages_are_findings_not_errors():
+    import io
+    import zipfile
+
+    from shelfmark.plans.bindings import make_package
+    from shelfmark.sources.packages import inspect_package
+
+    sound = make_package(9, "T", "A", "en", "1", 1.0, "text")
+    assert sound == make_package(9, "T", "A", "en", "1", 1.0, "text")
+
+    def with_chapter(body: bytes) -> bytes:
+        out = io.BytesIO()
+        with zipfile.ZipFile(io.BytesIO(sound)) as old, zipfile.ZipFile(out, "w") as new:
+            for name in old.namelist():
+                new.writestr(name, body if name.endswith(".xhtml") else old.read(name))
+        return out.getvalue()
+
+    page = '<?xml version="1.0" encoding="{0}"?><html><body><p>本</p></body></html>'
+    assert inspect_package(with_chapter(page.format("Shift_JIS").encode("shift_jis")))["ok"]
+    odd = inspect_package(with_chapter(page.format("no-such-code").encode()))
+    assert not odd["ok"] and len(odd["errors"]) == 1
+
+
+def test_jpeg_size_skips_segments_and_fill_bytes():
+    from shelfmark.sources.images import jpeg_size
+
+    frame = b"\xff\xc0\x00\x11\x08" + (300).to_bytes(2, "big") + (200).to_bytes(2, "big") + bytes(10)
+    assert jpeg_size(b"\xff\xd8\xff\xe0\x00\x06\xff\xc0ab\xff" + frame) == (200, 300)
+    assert jpeg_size(b"\xff\xd8\xff\xda" + frame) is None
+    assert jpeg_size(b"\xff\xd8") is None
