@@ -154,7 +154,7 @@ def test_lm_probabilities_sum_to_one_and_look_back_only():
 
     size = 300
     kind, inside = lm.classes_of(np.arange(size)[::-1].astype(float), {bytes([i % 256, i // 256]): i for i in range(size - 1)})
-    by_class = np.bincount(kind, minlength=lm.CLASSES) + 0.1
+    by_class = np.bincount(kind, minlength=lm.CLASSES) + 1e-12
     model = lm.new_model(size, np.log(by_class / by_class.sum()))
     start = np.array([size - 1, 5, 9, 7])
     every = [np.append(start, i) for i in range(size)]
