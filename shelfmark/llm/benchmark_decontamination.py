@@ -8,6 +8,9 @@ Texts keep each fingerprint once, join them with those of the items, and only te
 are read again: the starts of the matched fingerprints are extended to whole windows, which are
 joined with the items' windows on their words.
 
+Arrays are exploded with ``explode_outer``: below a plain ``explode`` Spark puts a filter on the array's
+size, pushed down to where the words and hashes would be made anew inside the function, for each start.
+
 Fingerprints and windows of the items are broadcast only below ``BROADCAST_ROWS``; above, the joins
 shuffle. Null or empty texts and items have no words. Items without an id hit words but are not
 listed. Repeated rows come back as often as they are there.
@@ -70,7 +73,7 @@ def _windows(rows: DataFrame, keys: list[str], lengths: list[int], wanted) -> Da
     for m in [WINDOW, *lengths]:
         # the fingerprints are the argument, as inside the function they would be made for each start
         starts = F.array_compact(F.transform(F.col(f"f{m}"), _start_if(wanted(m))))
-        exploded = rows.select(*keys, "words", F.explode(starts).alias("start"))
+        exploded = rows.select(*keys, "words", F.explode_outer(starts).alias("start")).where("start is not null")
         parts.append(exploded.select(*keys, "start", F.lit(m).alias("size"), _window(F.col("words"), F.col("start"), m).alias("window")))
     out = parts[0]
     for part in parts[1:]:
@@ -88,19 +91,19 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
         _windows(item_rows, ["item_id", "n"], lengths, lambda m: lambda _: F.col("n") == m if m < WINDOW else F.col("n") >= m)
         .select("item_id", "window").distinct()
     )
-    prints = [item_rows.select(F.explode(f"f{WINDOW}").alias("print"))]
-    prints += [item_rows.where(F.col("n") == m).select(F.explode(f"f{m}")) for m in lengths]
+    prints = [item_rows.select(F.explode_outer(f"f{WINDOW}").alias("print"))]
+    prints += [item_rows.where(F.col("n") == m).select(F.explode_outer(f"f{m}")) for m in lengths]
     every = prints[0]
     for more in prints[1:]:
         every = every.union(more)
-    fingerprints = checked(written(every.distinct().withColumn("matched", F.lit(True))))
+    fingerprints = checked(written(every.where("print is not null").distinct().withColumn("matched", F.lit(True))))
 
     keyed = docs.select("doc_id", text_id().alias("text_key"), "text")
     names = [f"f{m}" for m in [WINDOW, *lengths]]
     own = _tokenised(keyed, ["doc_id", "text_key"], lengths).select(
         "doc_id", "text_key", F.size("words").cast("bigint").alias("n_words"),
         # the null at the end stands for the text itself
-        F.explode(F.array_append(F.array_distinct(F.concat(*names)), F.lit(None).cast("bigint"))).alias("print"),
+        F.explode_outer(F.array_append(F.array_distinct(F.concat(*names)), F.lit(None).cast("bigint"))).alias("print"),
     )
     matched = own.join(fingerprints, "print", "left").where("matched or print is null")
     texts = written(
