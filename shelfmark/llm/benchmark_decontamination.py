@@ -8,8 +8,6 @@ Texts keep each fingerprint once, join them with those of the items, and only te
 are read again: the starts of the matched fingerprints are extended to whole windows, which are
 joined with the items' windows on their words.
 
-Arrays are exploded with ``explode_outer``; the query came to no result with ``explode`` and why was not found.
-
 Fingerprints and windows of the items are broadcast only below ``BROADCAST_ROWS``; above, the joins
 shuffle. Null or empty texts and items have no words. Items without an id hit words but are not
 listed. Repeated rows come back as often as they are there.
