@@ -163,3 +163,21 @@ def test_lm_probabilities_sum_to_one_and_look_back_only():
     place, fresh = lm.windows_of(np.array([1, 16, 17, 40]))
     scored = place[fresh]
     assert sorted(scored.tolist()) == list(range(1 + 16 + 17 + 40))
+
+
+def test_lm_context_weights_learn_from_every_text(spark):
+    import numpy as np
+    import public_tokenizers
+
+    from shelfmark.llm import lm_scoring as lm
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ranks = lm.read_ranks(path)
+    # one text for each of these ids, which no other text has
+    ids = {i: p.decode() for p, i in ranks.items() if p[:1] == b" " and p[1:].isascii() and p[1:].isalpha() and p.islower()}
+    some = sorted(ids)[:4000]
+    learning = spark.createDataFrame([(ids[i], i * 2654435761) for i in some], "text string, pick long")
+    _, value = lm.fit(learning, path)
+    start = lm.new_model(len(ranks) + 1, np.zeros(lm.CLASSES))
+    for name in ("q", "k", "v", "own"):
+        assert (value["model"][name][some] != start[name][some]).any(axis=1).all()
