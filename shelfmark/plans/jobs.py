@@ -33,6 +33,8 @@ class ScanResult:
     books: DataFrame
     actions: DataFrame
     summary: DataFrame
+    favorites: DataFrame | None = None
+    author_index: DataFrame | None = None
 
 
 @dataclass(frozen=True)
@@ -48,6 +50,8 @@ class CleanupResult:
     plan: DataFrame
     findings: DataFrame
     summary: DataFrame
+    favorites: DataFrame | None = None
+    author_index: DataFrame | None = None
 
 
 def _contents(paths: DataFrame, inventory: DataFrame) -> DataFrame:
@@ -57,6 +61,11 @@ def _contents(paths: DataFrame, inventory: DataFrame) -> DataFrame:
     return inventory.select("path", "content").join(paths.select("path"), "path", "left_semi")
 
 
+def _without(children: DataFrame | None, gone: DataFrame) -> DataFrame | None:
+    """Favourites or author tokens without those of purged ids."""
+    return None if children is None else merge.drop_children(children, gone.select("id"))
+
+
 def incoming_rows(files: DataFrame, inspected: DataFrame, now: str, validated: bool) -> DataFrame:
     """Catalogue rows for newly read files (path, file_size, file_mtime, content_hash)."""
     c = F.col
@@ -82,11 +91,14 @@ def scan_job(
     validate: bool = False,
     present: DataFrame | None = None,
     mark: bool = True,
+    favorites: DataFrame | None = None,
+    author_index: DataFrame | None = None,
 ) -> ScanResult:
     """Classify, read new files, merge, mark missing, count.
 
     A file that fails validation is reported with its faults, and its row, if any, is purged.
     With ``present`` the inventory is a part of the files and nothing is marked missing.
+    Favourites and author tokens, where given, follow the purge.
     """
     c = F.col
     sorted_files = cut_lineage(reconcile.classify(inventory, books, present=present, roots=roots))
@@ -110,13 +122,13 @@ def scan_job(
     )
     seen = inventory.select("path")
     state = merge.repoint(books, moved)
-    purged = actions.where((c("status") == "invalid") & c("book_id").isNotNull())
-    state = state.join(purged.select(c("book_id").alias("id")), "id", "left_anti").select(*books.columns)
+    purged = actions.where((c("status") == "invalid") & c("book_id").isNotNull()).select(c("book_id").alias("id")).distinct()
+    state = state.join(purged, "id", "left_anti").select(*books.columns)
     merged = merge.upsert_by_path(state, incoming, checked=validate)
     whole = present is None and mark
     gone = merge.newly_missing(merged, seen, roots) if whole else None
     after = merge.mark_presence(merged, seen, roots if whole else [])
-    return ScanResult(after, actions, stats.scan_summary(actions, gone))
+    return ScanResult(after, actions, stats.scan_summary(actions, gone), _without(favorites, purged), _without(author_index, purged))
 
 
 def removal_plan(invalid: DataFrame, inventory: DataFrame, covers: DataFrame, roots: list[str], cover_root: str) -> DataFrame:
@@ -202,8 +214,16 @@ def cleanup_run(
     now: str,
     execute: bool = False,
     force_clean: bool = False,
+    validate: bool = False,
+    deep: bool = False,
+    cover_root: str = "covers",
+    favorites: DataFrame | None = None,
+    author_index: DataFrame | None = None,
 ) -> CleanupResult:
-    """Back-fill, strip, rename, audit, dedupe, index, prune and force-clean, in this order.
+    """Back-fill, strip, rename, audit, validate, dedupe, index, prune and force-clean, in this order.
+
+    Packages are opened only with ``validate``: the broken are reported and their files, rows and
+    covers removed, the good rows marked. Favourites and author tokens, where given, follow a purge.
 
     Without ``execute`` every step looks at the library as it is and only the plan is made. With
     it each step works on the snapshot and inventory the step before leaves behind; the snapshots
@@ -237,6 +257,20 @@ def cleanup_run(
 
     loose = reconcile.hashed_unindexed(books, inventory)
     findings = reconcile.audit_report(books, inventory, covers, roots, loose)
+    if validate:
+        checked = integrity_job(books, inventory, covers, roots, cover_root, deep)
+        removals = cut_lineage(checked.removals)
+        plan.append(_plan(checked.invalid, "invalid", c("book_id"), c("path")))
+        plan.append(removals.select("op", "book_id", c("path").alias("from_path"), F.lit(None).cast("string").alias("to_path")))
+        if execute:
+            removed = removals.where(c("op") == "delete").select("path")
+            purged = removals.where(c("op") == "purge").select(c("book_id").alias("id")).distinct()
+            pictures = removals.where(c("op") == "remove_cover").select("path")
+            books = keep(checked.books.join(purged, "id", "left_anti").select(*books.columns))
+            favorites, author_index = _without(favorites, purged), _without(author_index, purged)
+            inventory = inventory.join(removed, "path", "left_anti")
+            covers = covers.join(pictures, "path", "left_anti")
+            loose = loose.join(removed, "path", "left_anti")
     dedupe = keep(reconcile.dedupe_plan(loose, books, inventory, roots))
     fresh = keep(reconcile.new_files(loose, books))
     plan.append(dedupe)
@@ -254,17 +288,18 @@ def cleanup_run(
         inventory = inventory.join(deleted, "path", "left_anti")
         arrivals = loose.join(fresh.select("path"), "path", "left_semi")
         inspected = cut_lineage(packages.inspect_packages(_contents(fresh, inventory)))
-        books = keep(merge.upsert_by_path(books, incoming_rows(arrivals, inspected, now, False)))
+        books = keep(merge.upsert_by_path(books, incoming_rows(arrivals, inspected, now, validate), checked=validate))
     plan.append(_plan(reconcile.empty_dirs(dirs, inventory, roots), "prune", None, c("path")))
 
     if force_clean:
         doomed = absent.join(moved_ids.select(c("book_id").alias("id")), "id", "left_anti")
         lost = books.join(doomed, "id", "left_semi")
         books = keep(books.join(doomed, "id", "left_anti"))
+        favorites, author_index = _without(favorites, doomed), _without(author_index, doomed)
         plan.append(_plan(lost, "purge", c("id"), c("file_path")))
         plan.append(_plan(reconcile.orphan_covers(covers, books), "remove_cover", c("book_id"), c("path")))
 
     whole = plan[0]
     for step in plan[1:]:
         whole = whole.unionByName(step)
-    return CleanupResult(books, whole, findings, cleanup_summary(whole))
+    return CleanupResult(books, whole, findings, cleanup_summary(whole), favorites, author_index)

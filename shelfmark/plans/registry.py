@@ -1148,6 +1148,17 @@ def _(lib):
     return _cleanup(lib).summary.drop("descriptions_stripped")
 
 
+@query(
+    "cleanup_validated",
+    f"""SELECT i.path, b.id AS book_id FROM (SELECT book_path AS path FROM docs WHERE doc_id % 12 IN ({', '.join(map(str, _FAULTS))})) i
+    LEFT JOIN books b ON b.file_path = i.path
+    WHERE starts_with(i.path, '/lib/') AND NOT coalesce(b.epub_validated AND NOT b.is_missing, false)""",
+)
+def _(lib):
+    run = jobs.cleanup_run(lib.books, lib.packages, fs.with_cover_ids(lib.covers), lib.directories, ROOTS, NOW, validate=True)
+    return run.plan.where(c("op") == "invalid").select(c("from_path").alias("path"), "book_id")
+
+
 @query("stream_arrivals")
 def _(lib):
     import uuid

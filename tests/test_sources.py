@@ -202,6 +202,50 @@ def test_executed_cleanup_leaves_nothing_to_do(make_books, spark):
     assert (counted.files_deleted, counted.rows_indexed, counted.rows_purged, counted.covers_removed, counted.errors) == (1, 1, 1, 2, 0)
 
 
+def test_cleanup_validates_when_asked(make_books, spark):
+    from datetime import datetime
+
+    day = datetime(2024, 1, 1)
+    data = {
+        "/lib/a/a sound long name.epub": package("Sound"), "/lib/b/a broken long name.epub": b"no zip",
+        "/lib/b/a new broken file.epub": package("New", 0), "/lib/b/a new sound file.epub": package("Fresh"),
+    }
+    files = spark.createDataFrame([(p, len(d), day, bytearray(d)) for p, d in data.items()], "path string, file_size long, file_mtime timestamp, content binary")
+    books = make_books(
+        dict(id=1, file_path="/lib/a/a sound long name.epub", title="Sound"),
+        dict(id=2, file_path="/lib/b/a broken long name.epub", title="Broken"),
+        dict(id=3, file_path="/lib/gone/a lost long name.epub", title="Lost"),
+    )
+    covers = fs.with_cover_ids(spark.createDataFrame([("covers/1.jpg",), ("covers/2.jpg",)], "path string"))
+    dirs = spark.createDataFrame([("/lib/a",)], "path string")
+    favorites = spark.createDataFrame([(7, 1), (7, 2), (8, 3)], "user_id long, book_id long")
+    index = spark.createDataFrame([(1, "kim"), (2, "lee"), (3, "may")], "book_id long, token string")
+    run = jobs.cleanup_run(
+        books, files, covers, dirs, ["/lib"], "t", execute=True, force_clean=True, validate=True, favorites=favorites, author_index=index
+    )
+    ops = sorted((r.op, r.book_id or 0, r.from_path) for r in run.plan.where("op <> 'backfill'").collect())
+    assert ops == [
+        ("delete", 0, "/lib/b/a new broken file.epub"), ("delete", 2, "/lib/b/a broken long name.epub"),
+        ("index", 0, "/lib/b/a new sound file.epub"),
+        ("invalid", 0, "/lib/b/a new broken file.epub"), ("invalid", 2, "/lib/b/a broken long name.epub"),
+        ("purge", 2, "/lib/b/a broken long name.epub"), ("purge", 3, "/lib/gone/a lost long name.epub"),
+        ("remove_cover", 2, "covers/2.jpg"),
+    ]
+    assert {(r.title, r.epub_validated) for r in run.books.collect()} == {("Sound", True), ("Fresh", True)}
+    counted = run.summary.collect()[0]
+    assert (counted.invalid_epubs, counted.files_deleted, counted.rows_purged, counted.covers_removed) == (2, 2, 2, 1)
+    assert [tuple(r) for r in run.favorites.select("user_id", "book_id").collect()] == [(7, 1)]
+    assert [tuple(r) for r in run.author_index.select("book_id", "token").collect()] == [(1, "kim")]
+
+
+def test_scan_purge_takes_children_along(make_books, make_files, spark):
+    books = make_books(dict(id=1, file_path="/lib/x.epub"), dict(id=2, file_path="/lib/y.epub"))
+    favorites = spark.createDataFrame([(7, 1), (7, 2)], "user_id long, book_id long")
+    files = make_files(("/lib/x.epub", b"no zip"), ("/lib/y.epub", package("Y")))
+    run = jobs.scan_job(books, files, ["/lib"], "t", validate=True, favorites=favorites)
+    assert [r.book_id for r in run.favorites.collect()] == [2]
+
+
 def test_stream(spark, tree, tmp_path):
     root, progress = str(tmp_path / "catalog"), str(tmp_path / "progress")
     catalog.write_catalog(spark.createDataFrame([], BOOKS), root, 0)
