@@ -110,7 +110,9 @@ class Lexicon:
     def of(self, word: bytes) -> tuple[int, int] | None:
         if word in self.seen:
             return self.seen[word]
-        found = self.match(word.decode("utf-8", "replace")) if 3 <= len(word) <= 60 else None
+        found = self.match(word.decode("utf-8", "replace")) if len(word) >= 3 else None
+        if len(word) > 60:
+            return found  # long words hardly come again
         if len(self.seen) >= REMEMBERED:
             self.seen.clear()
         self.seen[word] = found

@@ -108,6 +108,15 @@ def test_toxicity_lexicon_and_held_out_rows(spark):
     assert toxicity.score(spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string"), model).count() == 2
 
 
+def test_toxic_beginning_of_a_long_word():
+    from shelfmark.llm import toxicity
+
+    lexicon = toxicity.Lexicon(["worth*"])
+    word = b"worthless" + b"glued" * 20
+    assert lexicon.of(word) == (0, 0) and word not in lexicon.seen
+    assert toxicity.features_of("so " + word.decode(), lexicon)[2] > 0
+
+
 def test_language_of_held_out_rows(spark):
     from shelfmark.llm import language_id
 
