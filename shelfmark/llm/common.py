@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from shelfmark.session import shared_folder
 
@@ -53,6 +53,39 @@ def checked(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+# Rows of one sorted part; more rows make more parts.
+PART_ROWS = 50_000
+
+
+def sorted_runs(rows: DataFrame, group: list[str], order: list[str]) -> tuple[DataFrame, DataFrame]:
+    """``rows`` (a written table) sorted by ``group`` and ``order``, and where each part holds each group.
+
+    The first table adds ``_part`` and ``_at`` (ascending along the order inside a part); the second has
+    one row per part and group: ``_part``, the group, ``_first`` (its least ``_at``), ``_n`` and
+    ``_before`` (rows of the group in earlier parts). Parts are ranges of the sort key, ending in
+    the row's number in ``rows``, so neither a large group nor equal keys land in one part.
+    """
+    spark = rows.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.count() // PART_ROWS + 1)
+    keys = [*group, *order, "_tie"]
+    at = written(
+        rows.withColumn("_tie", F.monotonically_increasing_id())
+        .repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+        .withColumn("_at", F.monotonically_increasing_id()).drop("_tie")
+    ).withColumn("_part", F.shiftright("_at", 33))
+    runs = at.groupBy("_part", *group).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    return at, written(runs.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))))
+
+
+def place(at: DataFrame, runs: DataFrame, group: list[str], name: str) -> DataFrame:
+    """``at`` with its place in its group (from 0) and what else ``runs`` has."""
+    joined = at.join(runs, same(at, runs, ["_part", *group]), "inner").withColumn(name, F.col("_at") - F.col("_first") + F.col("_before"))
+    for column in ("_part", *group):
+        joined = joined.drop(runs[column])
+    return joined.drop("_first", "_n", "_before", "_at")
+
+
 def text_id(text: str = "text") -> Column:
     """A number that tells texts apart; only used beside the id or before an exact comparison."""
     return F.xxhash64(F.col(text))
