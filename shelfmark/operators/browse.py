@@ -6,27 +6,37 @@ descending, except for publication dates and page counts, which put them last ei
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
 from shelfmark.functions.text import fold_nocase
 from shelfmark.operators import search
 from shelfmark.operators.skew import any_of, all_of
-from shelfmark.operators.search import BrowseContext
+from shelfmark.operators.search import BrowseContext, Indexes
 from shelfmark.schema import LIST_COLUMNS
 from shelfmark.session import cut_lineage
 
 Part = tuple[Column, str]
 
 
-def sort_keys(sort: str, sort_dir: str = "") -> list[Part]:
-    """Key expressions with their directions, the id last."""
+# A snapshot stores the title key under this name.
+TITLE_KEY = "title_key"
+SORTS = ("title", "author", "published", "size", "pages", "scanned")
+
+
+def title_key() -> Column:
+    c = F.col
+    return fold_nocase(F.coalesce(F.nullif(c("sort_title"), F.lit("")), F.nullif(c("title"), F.lit("")), c("file_name")))
+
+
+def sort_keys(sort: str, sort_dir: str = "", title: Column | None = None) -> list[Part]:
+    """Key expressions with their directions, the id last. ``title`` is a stored title key."""
     way = search.direction(sort, sort_dir)
     c = F.col
-    title = F.coalesce(
-        F.nullif(c("sort_title"), F.lit("")), F.nullif(c("title"), F.lit("")), c("file_name")
-    )
     keys = {
-        "title": [(fold_nocase(title), way)],
+        "title": [(title_key() if title is None else title, way)],
         "author": [(fold_nocase(c("authors")), way)],
         "published": [(c("published_date").isNull(), "asc"), (c("published_date"), way)],
         "size": [(c("file_size"), way)],
@@ -100,6 +110,68 @@ def page_before(
     )
 
 
+# ---- order statistics of a stored listing ---------------------------------------------------
+
+# Rows between two marks: what a page far down sorts and skips at most.
+MARK_STEP = 4096
+
+
+def order_marks(view: DataFrame, sort: str, sort_dir: str = "", step: int = MARK_STEP) -> DataFrame:
+    """(position, k0, ..., id): every ``step``-th row of a listing in its order, the first one included.
+
+    The listing is range-partitioned by its order and the id, written once, and numbered by the sizes of
+    the ranges before a row's; only one row per range is exchanged.
+    """
+    keys = sort_keys(sort, sort_dir)[:-1]
+    names = [f"k{i}" for i in range(len(keys))]
+    named = view.select(*[key.alias(name) for name, (key, _) in zip(names, keys)], "id")
+    order = ordering([*((F.col(name), way) for name, (_, way) in zip(names, keys)), (F.col("id"), "asc")])
+    rows = cut_lineage(
+        named.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    ).withColumn("_part", F.shiftright("_at", 33))
+    ranges = rows.groupBy("_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = ranges.select("_part", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_shift"))
+    position = (F.col("_at") - F.col("_first") + F.col("_shift") + 1).alias("position")
+    # one row per range
+    return rows.join(F.broadcast(shifts), "_part").select(position, *names, "id").where((F.col("position") - 1) % step == 0)
+
+
+def page_by_marks(view: DataFrame, marks: DataFrame, sort: str, sort_dir: str, page: int, page_size: int) -> DataFrame:
+    """Page N of the whole listing that ``marks`` describes: only rows between the two marks around it are sorted.
+
+    The bounds on the first key reach the scan; fewer rows are skipped than lie between two marks.
+    """
+    title = F.col(TITLE_KEY) if TITLE_KEY in view.columns else None
+    parts = sort_keys(sort, sort_dir, title)
+    start = (page - 1) * page_size
+    mark, at = F.struct(*marks.columns), F.col("position")
+    near = marks.agg(
+        F.max_by(mark, F.when(at <= start + 1, at)).alias("below"), F.min_by(mark, F.when(at > start + page_size, at)).alias("beyond")
+    ).first()
+    if near.below is None:
+        return view.limit(0)
+
+    def literals(mark: Row) -> list[Column]:
+        return [F.lit(mark[f"k{i}"]) for i in range(len(parts) - 1)] + [F.lit(mark.id)]
+
+    (first, way), lowest = parts[0], literals(near.below)
+    is_lowest = all_of([key.eqNullSafe(value) for (key, _), value in zip(parts, lowest)])
+    rows = view.where(is_lowest | _beyond(parts, lowest, True)).where(_within(first, way, near.below.k0, after=True))
+    if near.beyond is not None:
+        rows = rows.where(_beyond(parts, literals(near.beyond), False)).where(_within(first, way, near.beyond.k0, after=False))
+    return rows.orderBy(*ordering(parts)).offset(start + 1 - near.below.position).limit(page_size)
+
+
+def _within(key: Column, way: str, bound, after: bool) -> Column:
+    """What a mark says of the first key alone, in a form that a scan takes; NULLs are least."""
+    if bound is None:
+        return key.isNull() if (way == "asc") != after else F.lit(True)
+    if (way == "asc") == after:
+        return key >= bound
+    return (key <= bound) | key.isNull()
+
+
 def random_page(view: DataFrame, page_size: int, seed: int | None = None) -> DataFrame:
     return view.orderBy(F.rand(seed)).limit(page_size)
 
@@ -112,6 +184,14 @@ def with_position(page: DataFrame, sort: str, sort_dir: str) -> DataFrame:
     )
 
 
+@dataclass(frozen=True)
+class Shelf:
+    """What a stored snapshot offers besides its rows: the indexes, and the marks of an order if it has them."""
+
+    indexes: Indexes
+    marks: Callable[[str, str], DataFrame | None]
+
+
 def browse_rows(
     books: DataFrame,
     ctx: BrowseContext,
@@ -120,27 +200,36 @@ def browse_rows(
     after_id: int | None = None,
     before_id: int | None = None,
     seed: int | None = None,
+    shelf: Shelf | None = None,
 ) -> tuple[DataFrame, str]:
-    """The page a request asks for, and how it was found: after, before, offset or random.
+    """The page a request asks for, and how it was found: after, before, marks, offset or random.
 
     ``after_id`` wins over ``before_id``; an anchor outside the view falls back to the page
-    number. Whether an anchor is inside is one point lookup.
+    number. Whether an anchor is inside is one point lookup. What ``shelf`` stores of the same snapshot
+    answers words, authors, ids, and page numbers of the whole listing.
     """
     ctx = ctx.normalized()
-    view = search.browse_filter(books, ctx, favorites, user_id)
+    indexes = shelf.indexes if shelf else None
+    view = search.browse_filter(books, ctx, favorites, user_id, indexes)
     if ctx.sort == "random":
         return random_page(view, ctx.page_size, seed), "random"
 
     def usable(anchor: int | None) -> bool:
         if anchor is None:
             return False
-        return not search.book_in_view(books, anchor, ctx, favorites, user_id).isEmpty()
+        return not search.book_in_view(books, anchor, ctx, favorites, user_id, indexes).isEmpty()
+
+    def one(anchor: int) -> DataFrame:
+        return books if indexes is None else indexes.rows_of([anchor])
 
     how = (ctx.sort, ctx.sort_dir, ctx.page_size)
     if usable(after_id):
-        return page_after(books, view, after_id, *how), "after"
+        return page_after(one(after_id), view, after_id, *how), "after"
     if usable(before_id):
-        return page_before(books, view, before_id, *how), "before"
+        return page_before(one(before_id), view, before_id, *how), "before"
+    marks = shelf.marks(ctx.sort, ctx.sort_dir) if shelf and not ctx.is_filtered else None
+    if marks is not None:
+        return page_by_marks(view, marks, ctx.sort, ctx.sort_dir, ctx.page, ctx.page_size), "marks"
     return page_offset(view, ctx.sort, ctx.sort_dir, ctx.page, ctx.page_size), "offset"
 
 
@@ -154,27 +243,27 @@ def browse(
     before_id: int | None = None,
     seed: int | None = None,
     exact_count: bool = False,
+    shelf: Shelf | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """A page and its one-row summary: filtered_count, library_total, page, count_exact, languages.
 
     The count of a filtered listing is exact only when the page is not full, because counting
-    would read the whole listing; ``exact_count`` asks for it all the same.
+    would read the whole listing; ``exact_count`` asks for it all the same. The page is made once: its
+    rows (at most the largest page size) are written, and the summary counts what was written.
     """
     ctx = ctx.normalized()
-    page_rows, _ = browse_rows(books, ctx, favorites, user_id, after_id, before_id, seed)
+    page_rows, _ = browse_rows(books, ctx, favorites, user_id, after_id, before_id, seed, shelf)
+    page_rows = cut_lineage(list_view(page_rows))
     size, start = F.lit(ctx.page_size), F.lit((ctx.page - 1) * ctx.page_size)
     shown = page_rows.agg(F.count(F.lit(1)).alias("_shown"))
     total = F.col("library_total")
-    counted = search.browse_filter(books, ctx, favorites, user_id)
-    words_used = any(
-        search.match_words(books, ("title",), text) is not None
-        for text in (ctx.title, ctx.publisher, ctx.genre)
-    )
+    words_used = bool(search.asked_terms(ctx))
     if not ctx.is_filtered:
         count, exact = total, F.lit(True)
     elif ctx.sort == "random" and words_used and not exact_count:
         count, exact = size.cast("bigint"), F.lit(False)
     elif ctx.sort == "random" or exact_count:
+        counted = search.browse_filter(books, ctx, favorites, user_id, shelf.indexes if shelf else None)
         count, exact = counted.agg(F.count(F.lit(1)).alias("n")).scalar(), F.lit(True)
     else:
         count, exact = start + F.col("_shown"), F.col("_shown") < size
@@ -192,7 +281,7 @@ def browse(
         exact.alias("count_exact"),
         "languages",
     )
-    return list_view(page_rows), summary
+    return page_rows, summary
 
 
 def neighbors(
@@ -201,6 +290,7 @@ def neighbors(
     ctx: BrowseContext,
     favorites: DataFrame | None = None,
     user_id: int | None = None,
+    shelf: Shelf | None = None,
 ) -> DataFrame:
     """One row (prev_id, next_id) of a book in the filtered, sorted listing.
 
@@ -211,13 +301,15 @@ def neighbors(
     if ctx.sort == "random":
         return books.sparkSession.range(1).select(nobody.alias("prev_id"), nobody.alias("next_id"))
     parts = sort_keys(ctx.sort, ctx.sort_dir)
-    view = search.browse_filter(books, ctx, favorites, user_id)
-    inside = search.book_in_view(books, book_id, ctx, favorites, user_id).agg(
+    indexes = shelf.indexes if shelf else None
+    view = search.browse_filter(books, ctx, favorites, user_id, indexes)
+    one = books if indexes is None else indexes.rows_of([book_id])
+    inside = search.book_in_view(books, book_id, ctx, favorites, user_id, indexes).agg(
         (F.count(F.lit(1)) > 0).alias("_inside")
     )
 
     def nearest(after: bool, side: str) -> DataFrame:
-        rows = _on_side(books, view, book_id, parts, after).orderBy(
+        rows = _on_side(one, view, book_id, parts, after).orderBy(
             *ordering(parts, reverse=not after)
         )
         return rows.limit(1).select(F.lit(side).alias("side"), "id")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shelfmark.functions import text as tx
+from shelfmark.operators.postings import Term, books_with_terms, match_terms, phrases, search_name
 from shelfmark.operators.skew import all_of, any_of
 from shelfmark.schema import SEARCH_COLUMNS
 
@@ -70,10 +72,6 @@ def direction(sort: str, asked: str) -> str:
 # --- derived search columns ------------------------------------------------------------------
 
 
-def search_name(column: str) -> str:
-    return f"tok_{column}"
-
-
 def with_search_columns(books: DataFrame) -> DataFrame:
     """The catalogue with one word string per searchable column and the author words."""
     return books.withColumns(
@@ -84,12 +82,6 @@ def with_search_columns(books: DataFrame) -> DataFrame:
     )
 
 
-def _words_of(books: DataFrame, column: str) -> Column:
-    """The stored word string, or the one computed on the fly."""
-    name = search_name(column)
-    return F.col(name) if name in books.columns else tx.token_string(F.col(column))
-
-
 def _author_words(books: DataFrame) -> Column:
     if "author_words" in books.columns:
         return F.col("author_words")
@@ -104,23 +96,9 @@ def visible(books: DataFrame) -> DataFrame:
 
 
 def match_words(books: DataFrame, columns: tuple[str, ...], text: str) -> Column | None:
-    """Every word of ``text`` begins a word of some column; None when the text asks for nothing.
-
-    A word holding punctuation is a phrase of its parts. One made of punctuation only matches
-    nothing, as in a word index; quotes and stars alone are ignored.
-    """
-    tests = []
-    for word in text.split():
-        term = word.replace('"', " ").replace("*", " ").strip()
-        if not term:
-            continue
-        phrase = tx.query_words(term)
-        if not phrase:
-            tests.append(F.lit(False))
-            continue
-        needle = " " + " ".join(phrase)
-        tests.append(any_of([_words_of(books, c).contains(needle) for c in columns]))
-    return all_of(tests) if tests else None
+    """Every word of ``text`` begins a word of some column; None when the text asks for nothing."""
+    terms = [Term(columns, phrase) for phrase in phrases(text)]
+    return match_terms(books, terms) if terms else None
 
 
 def match_author(books: DataFrame, text: str) -> Column:
@@ -168,37 +146,87 @@ def only_favorites(books: DataFrame, favorites: DataFrame, user_id: int) -> Data
     return books.join(own, "id", "left_semi")
 
 
+def _boxes(ctx: BrowseContext) -> tuple[tuple[str, tuple[str, ...]], ...]:
+    return ((ctx.title, TITLE_COLUMNS), (ctx.publisher, PUBLISHER_COLUMNS), (ctx.genre, GENRE_COLUMNS))
+
+
+def asked_terms(ctx: BrowseContext) -> list[Term]:
+    """What the title, publisher and genre boxes ask of the words."""
+    return [Term(columns, phrase) for text, columns in _boxes(ctx) for phrase in phrases(text)]
+
+
+def value_condition(ctx: BrowseContext) -> Column:
+    """The filters no index answers: visible rows, the language, and substrings where no box has a word."""
+    tests = [~F.col("is_missing")]
+    if not asked_terms(ctx):
+        # nothing to look up by word: fall back to substrings
+        tests += [match_substring(columns, text) for text, columns in _boxes(ctx) if text.strip()]
+    if ctx.language:
+        tests.append(F.col("language") == ctx.language)
+    return all_of(tests)
+
+
 def filter_condition(books: DataFrame, ctx: BrowseContext) -> Column:
     """All text and value filters of a request as one predicate."""
-    boxes = (
-        (ctx.title, TITLE_COLUMNS),
-        (ctx.publisher, PUBLISHER_COLUMNS),
-        (ctx.genre, GENRE_COLUMNS),
-    )
-    clauses = [match_words(books, columns, text) for text, columns in boxes]
-    used = [clause for clause in clauses if clause is not None]
-    tests = [~F.col("is_missing"), *used]
-    if not used:
-        # nothing to look up by word: fall back to substrings
-        tests += [match_substring(columns, text) for text, columns in boxes if text.strip()]
+    tests = [value_condition(ctx), match_terms(books, asked_terms(ctx))]
     if ctx.author.strip():
         tests.append(match_author(books, ctx.author))
-    if ctx.language:
-        tests.append(F.col("language") == ctx.language)
     return all_of(tests)
 
 
+# Ids a request takes to the driver at most; more are joined.
+KEPT_IDS = 10_000
+
+
+@dataclass(frozen=True)
+class Indexes:
+    """The index tables stored beside a snapshot, and its rows by id."""
+
+    authors: DataFrame
+    postings: DataFrame
+    rows_of: Callable[[list[int]], DataFrame]
+
+    def hits(self, ctx: BrowseContext) -> DataFrame | None:
+        """(book_id) of what the text boxes ask for; None when they ask for nothing."""
+        found = None
+        if terms := asked_terms(ctx):
+            found = books_with_terms(self.postings, terms)
+        if any(tx.query_author_tokens(word) for word in ctx.author.split()):
+            by_author = books_with_author_words(self.authors, ctx.author)
+            found = by_author if found is None else found.join(by_author, "book_id", "left_semi")
+        return found
+
+    def candidates(self, books: DataFrame, hits: DataFrame) -> DataFrame:
+        """The books of ``hits``: read by id if these are few, else by a join."""
+        ids = [row.book_id for row in hits.limit(KEPT_IDS + 1).collect()]
+        if len(ids) <= KEPT_IDS:
+            return self.rows_of(ids)
+        return books.join(hits.select(F.col("book_id").alias("id")), "id", "left_semi")
+
+
 def browse_filter(
     books: DataFrame,
     ctx: BrowseContext,
     favorites: DataFrame | None = None,
     user_id: int | None = None,
+    indexes: Indexes | None = None,
 ) -> DataFrame:
-    """The visible books a request asks for."""
-    found = books.where(filter_condition(books, ctx))
+    """The visible books a request asks for.
+
+    With ``indexes`` (of the same snapshot as ``books``) words and authors are looked up there: what they
+    yield is narrowed to a user's favourites and only then read by id.
+    """
+    own = None
     if ctx.favorites_only and user_id is not None and favorites is not None:
-        found = only_favorites(found, favorites, user_id)
-    return found
+        own = favorites.where(F.col("user_id") == user_id).select("book_id")
+    if indexes is None:
+        found = books.where(filter_condition(books, ctx))
+        return found if own is None else only_favorites(found, favorites, user_id)
+    hits = indexes.hits(ctx)
+    if own is not None:
+        hits = own.distinct() if hits is None else hits.join(own, "book_id", "left_semi")
+    rows = books if hits is None else indexes.candidates(books, hits)
+    return rows.where(value_condition(ctx))
 
 
 def book_in_view(
@@ -207,9 +235,10 @@ def book_in_view(
     ctx: BrowseContext,
     favorites: DataFrame | None = None,
     user_id: int | None = None,
+    indexes: Indexes | None = None,
 ) -> DataFrame:
-    """One row when the book passes the filter, none otherwise."""
-    one = books.where(F.col("id") == book_id)
+    """One row when the book passes the filter, none otherwise; the row holds all that is asked, so no word index is read."""
+    one = books.where(F.col("id") == book_id) if indexes is None else indexes.rows_of([book_id])
     return browse_filter(one, ctx, favorites, user_id).select("id").limit(1)
 
 
@@ -229,8 +258,6 @@ def sync_author_index(index: DataFrame, changed: DataFrame) -> DataFrame:
     return kept.unionByName(author_index(changed))
 
 
-def search_join(books: DataFrame, text_index: DataFrame, columns: tuple[str, ...], text: str) -> DataFrame:
-    """Books joined with a separate word index table (id and ``tok_`` columns) on id."""
-    hit = match_words(text_index, columns, text)
-    rows = text_index if hit is None else text_index.where(hit)
-    return books.join(rows.select("id"), "id")
+def join_hits(books: DataFrame, hits: DataFrame) -> DataFrame:
+    """Books joined with the ids (book_id) a word index yields."""
+    return books.join(hits.select(F.col("book_id").alias("id")), "id")
