@@ -24,12 +24,18 @@ def distinct_languages(books: DataFrame) -> DataFrame:
     return named.select("language").distinct()
 
 
-def library_stats(books: DataFrame) -> DataFrame:
-    """One row: visible total and language list, in ASCII case-insensitive order.
+def language_counts(books: DataFrame) -> DataFrame:
+    """(language, n) of the visible books."""
+    return visible(books).groupBy("language").agg(F.count(F.lit(1)).alias("n"))
+
+
+def stats_of_counts(counts: DataFrame) -> DataFrame:
+    """One row: total and language list, from counts (language, n) of any parts of the books.
 
-    Counted per language first, so that the final row only gathers distinct languages.
+    The list is in ASCII case-insensitive order. Counts are added up per language first, so that
+    the final row only gathers distinct languages.
     """
-    per_language = visible(books).groupBy("language").agg(F.count(F.lit(1)).alias("n"))
+    per_language = counts.groupBy("language").agg(F.sum("n").alias("n"))
     named = F.when(F.trim("language") != "", F.struct(fold_nocase(F.col("language")).alias("key"), "language"))
     return per_language.agg(
         F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("library_total"),
@@ -37,6 +43,11 @@ def library_stats(books: DataFrame) -> DataFrame:
     ).select("library_total", F.col("sorted.language").alias("languages"))
 
 
+def library_stats(books: DataFrame) -> DataFrame:
+    """One row: visible total and language list."""
+    return stats_of_counts(language_counts(books))
+
+
 def stats_snapshot(books: DataFrame) -> DataFrame:
     """The statistics as they are stored: the language list as JSON text."""
     return library_stats(books).select(

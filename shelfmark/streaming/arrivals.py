@@ -1,12 +1,13 @@
-"""Files that land continuously, merged into the catalogue batch by batch."""
+"""Files that land continuously, merged into a bucketed catalogue batch by batch."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from shelfmark.plans.jobs import scan_job
-from shelfmark.sources import catalog
+from shelfmark.plans.jobs import scan_part
+from shelfmark.session import cut_lineage
+from shelfmark.sources.shelves import Shelves
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
@@ -35,20 +36,19 @@ def read_arrivals(spark: SparkSession, folder: str, files_per_batch: int = 1000)
 def merge_arrivals(
     arrivals: DataFrame, root: str, checkpoint: str, now: str, validate: bool = True
 ) -> StreamingQuery:
-    """Merge a stream of files (path, file_size, file_mtime, content) into the snapshots below ``root``.
+    """Merge a stream of files (path, file_size, file_mtime, content) into the store below ``root``.
 
-    Batch n turns version n into version n + 1. A batch repeated after a failure starts from the
-    same version and writes the same one again, so every file counts once. Version 0 must exist.
+    Each batch makes the version after the newest one and rewrites the buckets of the rows it touches. The
+    stream's batch number is stored with the version, so a batch repeated after a failure changes nothing
+    once it is merged, and every file counts once. The store must exist; it may be at any version.
     """
 
     def one_batch(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        stored, _ = catalog.read_catalog(spark, root, number)
-        books = catalog.plain(stored)
-        known = books.where(~F.col("is_missing")).select(F.col("file_path").alias("path"))
-        present = known.unionByName(batch.select("path")).distinct()
-        result = scan_job(books, batch, [], now, validate, present=present)
-        catalog.write_catalog(result.books, root, number + 1)
+        store = Shelves(batch.sparkSession, root)
+        if store.batches().get(checkpoint, -1) >= number:
+            return
+        before, result = scan_part(store, batch, now, validate)
+        store.change(before, cut_lineage(result.books), checkpoint, number)
 
     return (
         arrivals.writeStream.foreachBatch(one_batch)
