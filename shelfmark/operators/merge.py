@@ -11,7 +11,8 @@ from shelfmark.functions import text as tx
 from shelfmark.operators.reconcile import drop_children
 from shelfmark.operators.skew import HOT_ROWS, join_hot, number_by_digest
 from shelfmark.schema import BOOK_COLUMNS, BOOKS, METADATA_FIELDS, VALIDATION_FLAGS
-from shelfmark.sources.files import with_content_hash
+from shelfmark.session import cut_lineage
+from shelfmark.sources.files import hashed
 
 
 def _changed(books: DataFrame, changes: DataFrame, on: str, values: dict[str, Column]) -> DataFrame:
@@ -20,13 +21,14 @@ def _changed(books: DataFrame, changes: DataFrame, on: str, values: dict[str, Co
     return joined.select(*[values.get(c, F.col(c)).alias(c) for c in books.columns])
 
 
-def upsert_by_path(books: DataFrame, incoming: DataFrame, checked: bool = False) -> DataFrame:
+def upsert_by_path(books: DataFrame, incoming: DataFrame, checked: bool = False, top_id: int | None = None) -> DataFrame:
     """Insert or update rows by ``file_path`` (unique in ``incoming``).
 
     An existing row takes every incoming column, also NULLs, but keeps its id and first sighting;
     its validation flags fall when size, time or hash changed, unless the incoming flags are those
     of a check of the new file (``checked``). New rows get the next ids in the
-    order of their paths' digests, whatever the partitioning.
+    order of their paths' digests, whatever the partitioning. ``top_id`` is the largest id given so far
+    where ``books`` is only the part of the catalogue that ``incoming`` may touch.
     """
     c = F.col
     fields = [n for n in incoming.columns if n in BOOK_COLUMNS and n not in ("id", "first_seen_at")]
@@ -47,7 +49,7 @@ def upsert_by_path(books: DataFrame, incoming: DataFrame, checked: bool = False)
 
     fresh = incoming.join(books.select("file_path"), "file_path", "left_anti")
     numbered = number_by_digest(fresh, "file_path", "_n")
-    top = books.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
+    top = books.agg(F.coalesce(F.max("id"), F.lit(0))).scalar() if top_id is None else F.lit(top_id)
     given = {n: c(n) for n in fields}
     first_seen = c("first_seen_at") if "first_seen_at" in incoming.columns else c("last_scanned_at")
     given.update(
@@ -241,12 +243,18 @@ def apply_conversion_results(
     return purge_rows(refreshed, favorites, author_index, results.where(~c("ok")).select("id"))
 
 
-def fresh_hashes(books: DataFrame, inventory: DataFrame) -> DataFrame:
-    """(id, content_hash) of the rows without a hash whose file exists."""
-    due = books.where(F.col("content_hash").isNull()).select("id", F.col("file_path").alias("path"))
-    kept = [n for n in inventory.columns if n in ("path", "content", "content_hash")]
-    hashed = with_content_hash(inventory.select(*kept).join(due, "path"))
-    return hashed.where(F.col("content_hash").isNotNull()).select("id", "content_hash")
+def fresh_hashes(books: DataFrame, inventory: DataFrame, matched: DataFrame | None = None) -> DataFrame:
+    """(id, content_hash) of the rows without a hash whose file exists.
+
+    ``matched`` is the match by path, where it is made already.
+    """
+    c = F.col
+    if matched is None:
+        rows = books.where(c("content_hash").isNull()).select("id", c("file_path").alias("path"))
+        due = cut_lineage(inventory.select("path", "file_size").join(rows, "path"))
+    else:
+        due = matched.where(c("in_books") & c("in_files") & c("content_hash").isNull()).select("path", "file_size", "id")
+    return hashed(due, inventory).where(c("content_hash").isNotNull()).select("id", "content_hash")
 
 
 def backfill_split(

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from shelfmark.functions import files as fn
 from shelfmark.operators.skew import HOT_ROWS, join_hot, rank_by_id
 from shelfmark.session import cut_lineage
-from shelfmark.sources.files import with_content_hash
+from shelfmark.sources.files import hashed
 
 # --- single joins ----------------------------------------------------------------------------
 
@@ -99,6 +99,24 @@ def drop_children(children: DataFrame, deleted: DataFrame, column: str = "book_i
     return join_hot(children, gone, column, "left_anti", spread, hot_rows).select(*children.columns)
 
 
+# --- one match by path -----------------------------------------------------------------------
+
+_MATCHED = ("id", "file_name", "title", "authors", "publisher", "content_hash", "is_missing")
+
+
+def match_paths(books: DataFrame, inventory: DataFrame) -> DataFrame:
+    """Every path of the catalogue or the disk once, with what both know of it; written.
+
+    ``in_books`` and ``in_files`` tell where it is. Unindexed files, absent rows, rows on disk, presence of a
+    content's row and taken names are all read from this table, so the two sides meet in one join.
+    """
+    rows = books.select(F.col("file_path").alias("path"), *_MATCHED, F.lit(True).alias("in_books"))
+    files = inventory.select("path", "file_size", "file_mtime", F.lit(True).alias("in_files"))
+    both = rows.join(files, "path", "full_outer")
+    flags = {flag: F.coalesce(flag, F.lit(False)) for flag in ("in_books", "in_files")}
+    return cut_lineage(both.withColumns(flags))
+
+
 # --- copies ----------------------------------------------------------------------------------
 
 
@@ -131,35 +149,41 @@ def _with_presence(canon: DataFrame, paths: DataFrame) -> DataFrame:
     return canon.join(there, key == F.col("_there_path"), "left").drop("_there_path").withColumn("there", F.coalesce("there", F.lit(False)))
 
 
-def _copy_groups(unindexed: DataFrame, books: DataFrame, inventory: DataFrame) -> DataFrame:
-    """One row per content hash of the unindexed files: keeper, book, number of copies."""
-    groups = unindexed.where(F.col("content_hash").isNotNull()).groupBy("content_hash").agg(
-        F.count(F.lit(1)).alias("files"), F.max(fn.keeper_key(F.col("path"))).alias("best")
+def content_groups(unindexed: DataFrame, matched: DataFrame) -> DataFrame:
+    """One row per content of the unindexed files (path, content_hash): keeper, book, number of copies.
+
+    Files and rows of equal contents are reduced in one grouping; a row's own presence comes with it.
+    """
+    c = F.col
+    row = F.struct("id", "path", F.col("in_files").alias("there"))
+    best = fn.keeper_key(c("path"))
+    loose = unindexed.where(c("content_hash").isNotNull()).select("content_hash", best.alias("file"))
+    rows = matched.where(c("in_books") & c("content_hash").isNotNull()).select("content_hash", row.alias("row"))
+    groups = (
+        loose.unionByName(rows, allowMissingColumns=True)
+        .groupBy("content_hash")
+        .agg(F.count("file").alias("files"), F.max("file").alias("best"), F.min("row").alias("canon"))
+        .where(c("files") > 0)
+        .select(
+            "content_hash", "files", "best", c("canon.id").alias("book_id"), c("canon.path").alias("canon_path"),
+            F.coalesce("canon.there", F.lit(False)).alias("there"),
+        )
     )
-    known = _with_presence(groups.join(canonical_rows(books), "content_hash", "left"), inventory)
-    best = F.when(
-        F.col("there"), F.greatest(F.col("best"), fn.keeper_key(F.col("canon_path")))
-    ).otherwise(F.col("best"))
-    return known.select(
+    keeper = F.when(c("there"), F.greatest(c("best"), fn.keeper_key(c("canon_path")))).otherwise(c("best"))
+    return groups.select(
         "content_hash",
-        best["path"].alias("keeper"),
-        F.col("canon_id").alias("book_id"),
+        keeper["path"].alias("keeper"),
+        "book_id",
         "canon_path",
         "there",
-        (F.col("files") + F.col("there").cast("int") - 1).alias("n_remove"),
+        (c("files") + c("there").cast("int") - 1).alias("n_remove"),
     )
 
 
-def _worth_listing(groups: DataFrame) -> DataFrame:
+def _duplicates(groups: DataFrame) -> DataFrame:
     c = F.col
     lone = c("book_id").isNull() | (c("canon_path") == c("keeper"))
-    return groups.where((c("n_remove") > 0) | ~lone)
-
-
-def duplicate_groups(unindexed: DataFrame, books: DataFrame, inventory: DataFrame) -> DataFrame:
-    """Per content hash with copies or a moved book: keeper, files to remove (count), book."""
-    c = F.col
-    return _worth_listing(_copy_groups(unindexed, books, inventory)).select(
+    return groups.where((c("n_remove") > 0) | ~lone).select(
         "content_hash",
         "keeper",
         "n_remove",
@@ -168,43 +192,42 @@ def duplicate_groups(unindexed: DataFrame, books: DataFrame, inventory: DataFram
     )
 
 
-def duplicate_members(
-    unindexed: DataFrame, books: DataFrame, inventory: DataFrame, hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def duplicate_groups(unindexed: DataFrame, matched: DataFrame) -> DataFrame:
+    """Per content hash with copies or a moved book: keeper, files to remove (count), book."""
+    return _duplicates(content_groups(unindexed, matched))
+
+
+def duplicate_members(unindexed: DataFrame, matched: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """The copies to remove, one row each: (content_hash, path, keeper)."""
-    return _members(unindexed, cut_lineage(_copy_groups(unindexed, books, inventory)), hot_rows)
+    return _members(unindexed, cut_lineage(content_groups(unindexed, matched)), hot_rows)
 
 
 def _members(unindexed: DataFrame, groups: DataFrame, hot_rows: int) -> DataFrame:
-    keepers = groups.select("content_hash", "keeper")
-    copies = join_hot(
-        unindexed.select("path", "content_hash"), keepers, "content_hash", "inner", ["path"], hot_rows
-    ).where(F.col("path") != F.col("keeper"))
-    indexed = groups.where(F.col("there") & (F.col("canon_path") != F.col("keeper")))
+    """The number of files of each content is known, so only contents with copies are joined, and hot ones by parts."""
+    c = F.col
+    several = groups.where(c("n_remove") > 0).select("content_hash", "keeper", "n_remove")
+    crowded = several.agg(F.coalesce(F.max("n_remove"), F.lit(0))).first()[0] > hot_rows
+    files = unindexed.select("path", "content_hash")
+    keepers = several.select("content_hash", "keeper")
+    joined = join_hot(files, keepers, "content_hash", "inner", ["path"], hot_rows) if crowded else files.join(keepers, "content_hash")
+    copies = joined.where(c("path") != c("keeper"))
+    indexed = groups.where(c("there") & (c("canon_path") != c("keeper")))
     return copies.select("content_hash", "path", "keeper").unionByName(
-        indexed.select("content_hash", F.col("canon_path").alias("path"), "keeper")
+        indexed.select("content_hash", c("canon_path").alias("path"), "keeper")
     )
 
 
-def new_files(unindexed: DataFrame, books: DataFrame) -> DataFrame:
+def new_files(groups: DataFrame) -> DataFrame:
     """Keeper of each unindexed content the catalogue does not know."""
-    known = books.where(F.col("content_hash").isNotNull()).select("content_hash").distinct()
-    return keeper_paths(unindexed).join(known, "content_hash", "left_anti").select(
-        "content_hash", F.col("keeper").alias("path")
-    )
+    return groups.where(F.col("book_id").isNull()).select("content_hash", F.col("keeper").alias("path"))
 
 
-def dedupe_plan(
-    unindexed: DataFrame,
-    books: DataFrame,
-    inventory: DataFrame,
-    roots: list[str],
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
-    """(op, book_id, from_path, to_path): rows to repoint, copies to delete, deletes refused."""
+def dedupe_plan(unindexed: DataFrame, groups: DataFrame, roots: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(op, book_id, from_path, to_path): rows to repoint, copies to delete, deletes refused.
+
+    ``groups`` are the contents' groups, one row each, written because both parts of the plan read them.
+    """
     c = F.col
-    # one row per content, written because both parts of the plan read it
-    groups = cut_lineage(_copy_groups(unindexed, books, inventory))
     moves = groups.where(c("book_id").isNotNull() & (c("canon_path") != c("keeper"))).select(
         F.lit("repoint").alias("op"), "book_id", c("canon_path").alias("from_path"), c("keeper").alias("to_path")
     )
@@ -248,7 +271,8 @@ def classify(
         c("file_mtime").alias("old_mtime"),
         c("content_hash").alias("old_hash"),
     )
-    paired = inventory.join(rows, "path", "left")
+    listed = inventory.select("path", "file_size", "file_mtime")
+    paired = listed.join(rows, "path", "left")
     same = F.coalesce(
         (c("file_size") == c("old_size")) & (c("file_mtime") == c("old_mtime")), F.lit(False)
     )
@@ -258,9 +282,9 @@ def classify(
         F.lit("unchanged").alias("status"), c("existing_id").alias("book_id"),
         F.lit(None).cast("string").alias("delete_path"),
     )
-    hashed = with_content_hash(paired.where(~same))
+    due = cut_lineage(paired.where(~same).select("path", "file_size", "file_mtime", "existing_id", "old_hash"))
     suspects = cut_lineage(
-        hashed.select("path", "file_size", "file_mtime", "content_hash", "existing_id", "old_hash")
+        hashed(due, inventory).select("path", "file_size", "file_mtime", "content_hash", "existing_id", "old_hash")
     )
 
     free = c("existing_id").isNull()
@@ -310,7 +334,7 @@ def classify(
 
 
 def validation_queue(books: DataFrame, inventory: DataFrame, roots: list[str], deep: bool = False) -> DataFrame:
-    """(path, book_id) to check: rows on disk not yet validated, then files without such a row.
+    """(path, book_id, file_size, file_mtime) to check: rows on disk not yet validated, then files without such a row.
 
     A missing row's file counts as a file; a validated row's file is left out. One left join by
     path decides, because paths are unique on both sides.
@@ -320,8 +344,9 @@ def validation_queue(books: DataFrame, inventory: DataFrame, roots: list[str], d
     rows = books.where(~c("is_missing")).select(
         c("file_path").alias("path"), c("id").alias("book_id"), c(flag).alias("done")
     )
-    below = inventory.where(fn.under_roots(c("path"), roots)).select("path")
-    return below.join(rows, "path", "left").where(~F.coalesce("done", F.lit(False))).select("path", "book_id")
+    below = inventory.where(fn.under_roots(c("path"), roots)).select("path", "file_size", "file_mtime")
+    due = below.join(rows, "path", "left").where(~F.coalesce("done", F.lit(False)))
+    return due.select("path", "book_id", "file_size", "file_mtime")
 
 
 def validated_count(books: DataFrame, deep: bool = False) -> DataFrame:
@@ -343,24 +368,23 @@ def upgrade_queue(books: DataFrame, inventory: DataFrame, roots: list[str]) -> D
 # --- names -----------------------------------------------------------------------------------
 
 
-def rename_candidates(books: DataFrame, inventory: DataFrame, roots: list[str]) -> DataFrame:
-    """Rows on disk below the roots whose file name should change: (id, file_path, file_name, dir, wanted)."""
+def rename_candidates(matched: DataFrame, roots: list[str]) -> DataFrame:
+    """Rows on disk below the roots with the name their file should have.
+
+    (id, file_path, file_name, disk_name, dir, wanted), from the match by path.
+    """
     c = F.col
-    named = books.where(~c("is_missing") & fn.under_roots(c("file_path"), roots)).select(
-        "id", "file_path", "file_name", "title", "authors", "publisher",
-        fn.base_name(c("file_path")).alias("disk_name"),
-        fn.parent(c("file_path")).alias("dir"),
-    )
-    # names are worked out only for rows that have a file
-    return on_disk(named, inventory).select(
-        "id", "file_path", "file_name", "disk_name", "dir",
+    named = matched.where(c("in_books") & c("in_files") & ~c("is_missing") & fn.under_roots(c("path"), roots))
+    named = named.withColumn("disk_name", fn.base_name(c("path")))
+    return named.select(
+        "id", c("path").alias("file_path"), "file_name", "disk_name", fn.parent(c("path")).alias("dir"),
         fn.target_filename(c("disk_name"), c("title"), c("authors"), c("publisher")).alias("wanted"),
     )
 
 
-def filename_fixes(books: DataFrame, inventory: DataFrame, roots: list[str]) -> DataFrame:
+def filename_fixes(matched: DataFrame, roots: list[str]) -> DataFrame:
     c = F.col
-    rows = rename_candidates(books, inventory, roots)
+    rows = rename_candidates(matched, roots)
     return rows.where((c("wanted") != c("disk_name")) | (c("file_name") != c("wanted"))).select(
         "id", "file_path", "wanted"
     )
@@ -369,18 +393,13 @@ def filename_fixes(books: DataFrame, inventory: DataFrame, roots: list[str]) ->
 _NUMBERED = r"(?s)\A(.*) \((\d+)\)(\.[^.]+)?\z"
 
 
-def unique_names(claims: DataFrame, inventory: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Claims (id, dir, wanted) with the name each gets: ``stem.ext``, ``stem (2).ext``, ...
+def _taken_numbers(inventory: DataFrame) -> DataFrame:
+    """(dir, wanted, slot): the numbers of a name that files on disk have.
 
-    Claims of one name are served by id with the numbers no file on disk has. The k-th claim gets
-    k plus the number of taken numbers up to there; the taken numbers of a name are one row each,
-    counted by the number of free ones before them.
+    A file takes number 1 of its own name and, spelled "stem (n).ext", number n of "stem.ext"; only plain
+    spellings are in the way: "(2)", not "(02)".
     """
     c = F.col
-    ranked = rank_by_id(claims, ["dir", "wanted"], "id", "turn", hot_rows)
-    names = claims.select("dir", "wanted").distinct()
-    # a file takes number 1 of its own name and, spelled "stem (n).ext", number n of "stem.ext";
-    # only plain spellings are in the way: "(2)", not "(02)"
     name, digits = c("name"), F.regexp_extract("name", _NUMBERED, 2)
     number = F.nullif(digits, F.lit("")).try_cast("bigint")
     bare = F.concat(F.regexp_extract("name", _NUMBERED, 1), F.regexp_extract("name", _NUMBERED, 3))
@@ -391,38 +410,82 @@ def unique_names(claims: DataFrame, inventory: DataFrame, hot_rows: int = HOT_RO
             F.when((number >= 2) & (digits == number.cast("string")), number).alias("slot"),
         ),
     )
-    slots = (
+    return (
         inventory.select(fn.parent(c("path")).alias("dir"), fn.base_name(c("path")).alias("name"))
         .select("dir", F.inline(places))
         .where(c("slot").isNotNull())
     )
-    # written once: few files stand in the way, but all of them have to be looked at
-    taken = cut_lineage(
-        join_hot(slots, names, ["dir", "wanted"], "left_semi", ["slot"], hot_rows).distinct()
+
+
+def unique_names(claims: DataFrame, inventory: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Claims (id, dir, wanted, and what else they carry) with the name each gets: ``stem.ext``, ``stem (2).ext``, ...
+
+    Claims of one name are served by id with the numbers no file on disk has. A name claimed once that no
+    file has is given as it is; only the contested names are ranked and looked up among the files' numbers.
+    """
+    c = F.col
+    carried = [n for n in claims.columns if n not in ("dir", "wanted")]
+    names = claims.groupBy("dir", "wanted").agg(F.count(F.lit(1)).alias("n"), F.first(F.struct(*carried)).alias("one"))
+    there = inventory.select(
+        fn.parent(c("path")).alias("dir"), fn.base_name(c("path")).alias("wanted"), F.lit(True).alias("there")
+    )
+    judged = cut_lineage(names.join(there, ["dir", "wanted"], "left"))
+    free = (c("n") == 1) & c("there").isNull()
+    lone = judged.where(free).select("dir", "wanted", "one.*").withColumn("final_name", c("wanted"))
+    contested = judged.where(~free).select("dir", "wanted", "n")
+    keys = ["dir", "wanted"]
+    claimed = contested.agg(F.max("n")).first()[0]
+    if claimed is None:
+        return lone.select(*claims.columns, "final_name")
+    names = contested.select(*keys)
+    slots = cut_lineage(_taken_numbers(inventory).join(names, keys, "left_semi"))
+    most = max(claimed, slots.groupBy(*keys).count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0])
+    if most > hot_rows:
+        numbered = _numbers_of_hot(join_hot(claims, names, keys, "left_semi", ["id"], hot_rows), slots, hot_rows)
+    else:
+        numbered = _numbers(claims.join(names, keys, "left_semi"), slots)
+    stem, ext = fn.stem(c("wanted")), fn.suffix(c("wanted"))
+    final = F.when(c("number") == 1, c("wanted")).otherwise(
+        F.concat(stem, F.lit(" ("), c("number").cast("string"), F.lit(")"), ext)
     )
+    return lone.unionByName(numbered.withColumn("final_name", final).drop("number")).select(*claims.columns, "final_name")
+
+
+def _numbers(claims: DataFrame, slots: DataFrame) -> DataFrame:
+    """Contested claims with their ``number``; a name's claims and taken numbers meet in one task, in one exchange.
+
+    The k-th claim gets k plus the number of taken numbers up to there: the j-th taken number has
+    slot - j free ones before it, so it shifts every claim after these.
+    """
+    c = F.col
+    keys = ["dir", "wanted"]
+    rows = claims.withColumn("kind", F.lit(1)).unionByName(slots.withColumn("kind", F.lit(0)), allowMissingColumns=True).repartition(*keys)
+    rank = F.dense_rank().over(Window.partitionBy(*keys, "kind").orderBy("slot", "id")).cast("bigint")
+    ranked = rows.withColumn("rank", rank).withColumn("at", F.when(c("kind") == 1, c("rank")).otherwise(c("slot") - c("rank") + 1))
+    along = Window.partitionBy(*keys).orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    passed = F.coalesce(F.max(F.when(c("kind") == 0, c("rank"))).over(along), F.lit(0))
+    return ranked.withColumn("number", c("at") + passed).where(c("kind") == 1).select(*claims.columns, "number")
+
+
+def _numbers_of_hot(claims: DataFrame, slots: DataFrame, hot_rows: int) -> DataFrame:
+    """The same where one name is claimed by more rows than a task should see."""
+    c = F.col
+    keys = ["dir", "wanted"]
+    rows = cut_lineage(claims)
+    ranked = rank_by_id(rows, keys, "id", "turn", hot_rows)
+    taken = cut_lineage(slots.distinct())
     # free numbers before the j-th taken one: slot - j
-    gaps = rank_by_id(taken, ["dir", "wanted"], "slot", "j", hot_rows).select(
-        "dir", "wanted", (c("slot") - c("j")).alias("free_before"), "j"
-    )
+    gaps = rank_by_id(taken, keys, "slot", "j", hot_rows).select(*keys, (c("slot") - c("j")).alias("free_before"), "j")
     # merge turns and gaps on one axis, in order: a gap shifts every later turn
-    axis = ranked.select("dir", "wanted", c("turn").alias("at"), F.lit(1).alias("is_turn"), "id", F.lit(0).cast("bigint").alias("j"))
+    axis = ranked.withColumnRenamed("turn", "at").withColumns({"is_turn": F.lit(1), "j": F.lit(0).cast("bigint")})
     axis = axis.unionByName(
-        gaps.groupBy("dir", "wanted", "free_before")
+        gaps.groupBy(*keys, "free_before")
         .agg(F.max("j").alias("j"))
-        .select(
-            "dir", "wanted", (c("free_before") + 1).alias("at"), F.lit(0).alias("is_turn"),
-            F.lit(None).cast("bigint").alias("id"), "j",
-        )
-    )
-    shifted = _running_max(axis, hot_rows)
-    slot = c("at") + c("shift")
-    stem, ext = fn.stem(c("wanted")), fn.suffix(c("wanted"))
-    return shifted.where(c("is_turn") == 1).select(
-        "id", "dir", "wanted",
-        F.when(slot == 1, c("wanted")).otherwise(
-            F.concat(stem, F.lit(" ("), slot.cast("string"), F.lit(")"), ext)
-        ).alias("final_name"),
+        .select(*keys, (c("free_before") + 1).alias("at"), F.lit(0).alias("is_turn"), "j"),
+        allowMissingColumns=True,
     )
+    shifted = _running_max(axis, hot_rows).where(c("is_turn") == 1)
+    return shifted.withColumn("number", c("at") + c("shift")).select(*claims.columns, "number")
 
 
 def _running_max(axis: DataFrame, hot_rows: int) -> DataFrame:
@@ -449,18 +512,25 @@ def _running_max(axis: DataFrame, hot_rows: int) -> DataFrame:
 
 
 def rename_plan(
-    books: DataFrame, inventory: DataFrame, roots: list[str], hot_rows: int = HOT_ROWS
+    books: DataFrame, inventory: DataFrame, roots: list[str], hot_rows: int = HOT_ROWS, matched: DataFrame | None = None
 ) -> DataFrame:
-    """(id, from_path, to_path): renames that give every file its wanted, unused name."""
+    """(id, from_path, to_path): renames that give every file its wanted, unused name.
+
+    A row whose file is named well but that stores another file name stays where it is (from = to): the
+    move mends the stored name. ``matched`` is the match by path, where it is made already.
+    """
     c = F.col
-    due = rename_candidates(books, inventory, roots).where(c("wanted") != c("disk_name"))
-    # the names are worked out once and written; the ranking below reads them several times
-    rows = cut_lineage(due.select("id", "file_path", "dir", "wanted"))
-    names = unique_names(rows.select("id", "dir", "wanted"), inventory, hot_rows)
+    matched = match_paths(books, inventory) if matched is None else matched
+    # the names are worked out once and written; they are read several times
+    rows = cut_lineage(
+        rename_candidates(matched, roots).where((c("wanted") != c("disk_name")) | (c("file_name") != c("disk_name")))
+        .select("id", "file_path", "dir", "wanted", (c("wanted") == c("disk_name")).alias("stale"))
+    )
+    claims = rows.where(~c("stale")).select("id", "dir", "wanted", "file_path")
+    named = unique_names(claims, matched.where("in_files").select("path"), hot_rows)
     path = F.concat(F.when(c("dir") == "/", "").otherwise(c("dir")), F.lit("/"), c("final_name"))
-    return rows.select("id", "file_path").join(
-        names.select("id", path.alias("to_path")), "id"
-    ).select("id", c("file_path").alias("from_path"), "to_path")
+    kept = rows.where(c("stale")).select("id", c("file_path").alias("from_path"), c("file_path").alias("to_path"))
+    return named.select("id", c("file_path").alias("from_path"), path.alias("to_path")).unionByName(kept)
 
 
 # --- directories and covers ------------------------------------------------------------------
@@ -510,10 +580,10 @@ def _finding(df: DataFrame, kind: str, book_id: Column, path: Column, detail: Co
     )
 
 
-def hashed_unindexed(books: DataFrame, inventory: DataFrame) -> DataFrame:
-    """The unindexed files with their hashes, read once and written."""
-    loose = with_content_hash(unindexed_files(inventory, books))
-    return cut_lineage(loose.select("path", "file_size", "file_mtime", "content_hash"))
+def hashed_unindexed(matched: DataFrame, inventory: DataFrame) -> DataFrame:
+    """The unindexed files of a match with their hashes, read once and written."""
+    loose = matched.where(~F.col("in_books")).select("path", "file_size", "file_mtime")
+    return cut_lineage(hashed(loose, inventory).select("path", "file_size", "file_mtime", "content_hash"))
 
 
 def audit_report(
@@ -522,37 +592,38 @@ def audit_report(
     covers: DataFrame,
     roots: list[str],
     loose: DataFrame | None = None,
+    matched: DataFrame | None = None,
+    groups: DataFrame | None = None,
 ) -> DataFrame:
     """All findings of an audit as one table: (kind, book_id, path, detail).
 
-    Only the unindexed files are hashed, once; ``loose`` passes them in when they already are.
+    All but the covers are read from one match by path and one grouping by content. Only the
+    unindexed files are hashed, once. ``matched``, ``loose`` and ``groups`` pass in what is made already.
     """
     c = F.col
     none = F.lit(None)
-    loose = hashed_unindexed(books, inventory) if loose is None else loose
+    matched = match_paths(books, inventory) if matched is None else matched
+    loose = hashed_unindexed(matched, inventory) if loose is None else loose
+    groups = cut_lineage(content_groups(loose, matched)) if groups is None else groups
+    absent = matched.where(c("in_books") & ~c("in_files"))
     tests = F.array_compact(
         F.array(
             F.when(c("content_hash").isNull(), F.lit("null_hash")),
-            F.when(~fn.under_roots(c("file_path"), roots), F.lit("out_of_root")),
+            F.when(~fn.under_roots(c("path"), roots), F.lit("out_of_root")),
         )
     )
-    rows = books.select("id", "file_path", F.explode(tests).alias("kind")).select(
-        "kind", c("id").alias("book_id"), c("file_path").alias("path"), none.cast("string").alias("detail")
-    )
+    rows = matched.where("in_books").select("id", "path", F.explode(tests).alias("kind"))
     return (
         _finding(loose, "unindexed", none, c("path"), none)
         .unionByName(
             _finding(
-                duplicate_groups(loose, books, inventory), "duplicate_group",
+                _duplicates(groups), "duplicate_group",
                 c("book_id"), c("keeper"), F.concat(c("n_remove").cast("string"), F.lit(" to remove")),
             )
         )
-        .unionByName(_finding(new_files(loose, books), "new_file", none, c("path"), c("content_hash")))
-        .unionByName(
-            _finding(absent_rows(books, inventory), "absent", c("id"), c("file_path"),
-                     F.when(c("is_missing"), "missing"))
-        )
-        .unionByName(rows)
+        .unionByName(_finding(new_files(groups), "new_file", none, c("path"), c("content_hash")))
+        .unionByName(_finding(absent, "absent", c("id"), c("path"), F.when(c("is_missing"), "missing")))
+        .unionByName(rows.select("kind", c("id").alias("book_id"), "path", none.cast("string").alias("detail")))
         .unionByName(_finding(orphan_covers(covers, books), "orphan_cover", c("book_id"), c("path"), none))
-        .unionByName(_finding(filename_fixes(books, inventory, roots), "filename_fix", c("id"), c("file_path"), c("wanted")))
+        .unionByName(_finding(filename_fixes(matched, roots), "filename_fix", c("id"), c("file_path"), c("wanted")))
     )

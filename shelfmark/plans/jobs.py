@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from shelfmark.functions import files as fn
 from shelfmark.operators import merge, reconcile, stats
-from shelfmark.schema import METADATA_FIELDS
+from shelfmark.schema import BOOK_COLUMNS, METADATA_FIELDS
 from shelfmark.session import cut_lineage
 from shelfmark.sources import packages
+from shelfmark.sources.files import contents, with_content_hash
+from shelfmark.sources.shelves import Shelves
 
 # Plan operation and the counter it adds to.
 CLEANUP_COUNTERS = {
@@ -54,13 +56,6 @@ class CleanupResult:
     author_index: DataFrame | None = None
 
 
-def _contents(paths: DataFrame, inventory: DataFrame) -> DataFrame:
-    """The files to open: by path, or with their bytes when the inventory carries them."""
-    if "content" not in inventory.columns:
-        return paths.select("path")
-    return inventory.select("path", "content").join(paths.select("path"), "path", "left_semi")
-
-
 def _without(children: DataFrame | None, gone: DataFrame) -> DataFrame | None:
     """Favourites or author tokens without those of purged ids."""
     return None if children is None else merge.drop_children(children, gone.select("id"))
@@ -93,17 +88,18 @@ def scan_job(
     mark: bool = True,
     favorites: DataFrame | None = None,
     author_index: DataFrame | None = None,
+    top_id: int | None = None,
 ) -> ScanResult:
     """Classify, read new files, merge, mark missing, count.
 
     A file that fails validation is reported with its faults, and its row, if any, is purged.
     With ``present`` the inventory is a part of the files and nothing is marked missing.
-    Favourites and author tokens, where given, follow the purge.
+    Favourites and author tokens, where given, follow the purge. ``top_id``: see ``upsert_by_path``.
     """
     c = F.col
     sorted_files = cut_lineage(reconcile.classify(inventory, books, present=present, roots=roots))
     due = sorted_files.where(c("status") == "to_index")
-    inspected = cut_lineage(packages.inspect_packages(_contents(due, inventory)))
+    inspected = cut_lineage(packages.inspect_packages(contents(due, inventory)))
     if validate:
         bad = inspected.where(~c("ok")).select("path", F.concat_ws("; ", "errors").alias("detail"))
     else:
@@ -124,13 +120,34 @@ def scan_job(
     state = merge.repoint(books, moved)
     purged = actions.where((c("status") == "invalid") & c("book_id").isNotNull()).select(c("book_id").alias("id")).distinct()
     state = state.join(purged, "id", "left_anti").select(*books.columns)
-    merged = merge.upsert_by_path(state, incoming, checked=validate)
+    merged = merge.upsert_by_path(state, incoming, checked=validate, top_id=top_id)
     whole = present is None and mark
     gone = merge.newly_missing(merged, seen, roots) if whole else None
     after = merge.mark_presence(merged, seen, roots if whole else [])
     return ScanResult(after, actions, stats.scan_summary(actions, gone), _without(favorites, purged), _without(author_index, purged))
 
 
+def scan_part(store: Shelves, arrivals: DataFrame, now: str, validate: bool = True) -> tuple[DataFrame, ScanResult]:
+    """A scan of some files (path, file_size, file_mtime, content) against the rows they may touch.
+
+    These are the rows of the same paths and of the same contents; returned with the result, whose books are
+    what becomes of them, and new rows. Nothing else of the catalogue is joined, and paths and hashes are all that is read of it.
+    """
+    c = F.col
+    hashed = with_content_hash(arrivals)
+    files = cut_lineage(hashed.select("path", "file_size", "file_mtime", "content_hash"))
+    hashes = files.where(c("content_hash").isNotNull()).select("content_hash").distinct()
+    landed = store.buckets_of(files.select(c("path").alias("file_path")))
+    same_path = store.stored(landed).select("id", "bucket", "file_path").join(files.select(c("path").alias("file_path")), "file_path", "left_semi")
+    same_content = store.stored().select("id", "bucket", "content_hash").join(hashes, "content_hash", "left_semi")
+    ids = cut_lineage(same_path.select("id", "bucket").unionByName(same_content.select("id", "bucket")).distinct())
+    held = [row.bucket for row in ids.select("bucket").distinct().collect()]
+    related = cut_lineage(store.stored(held).join(ids.select("id"), "id", "left_semi").select(*BOOK_COLUMNS))
+    present = related.where(~c("is_missing")).select(c("file_path").alias("path")).unionByName(files.select("path")).distinct()
+    top = max((entry[2] for entry in store.listed().values()), default=0)
+    return related, scan_job(related, arrivals, [], now, validate, present=present, top_id=top)
+
+
 def removal_plan(invalid: DataFrame, inventory: DataFrame, covers: DataFrame, roots: list[str], cover_root: str) -> DataFrame:
     """(op, book_id, path) for invalid packages (path, book_id): file, row and covers, guarded by roots.
 
@@ -152,6 +169,44 @@ def removal_plan(invalid: DataFrame, inventory: DataFrame, covers: DataFrame, ro
     )
 
 
+# Files between two commits of a resumable validation.
+BATCH_FILES = 50_000
+_CHECKED = "path string, file_size long, file_mtime timestamp, ok boolean, detail string"
+_FILE = ["path", "file_size", "file_mtime"]
+
+
+def _inspected(files: DataFrame, inventory: DataFrame) -> DataFrame:
+    found = packages.inspect_packages(contents(files, inventory))
+    return found.select("path", "ok", F.concat_ws("; ", "errors").alias("detail"))
+
+
+def checked_files(due: DataFrame, inventory: DataFrame, progress: str | None = None, batch_files: int = BATCH_FILES) -> DataFrame:
+    """(path, ok, detail) of the files ``due`` (a written table: path, file_size, file_mtime).
+
+    With ``progress``, a folder all executors share, results are stored there by path, size and time, one
+    commit for each ``batch_files`` files or so. A run that finds results of the same files opens these no more, so a
+    job that was stopped goes on after its last commit; a file that changed meanwhile is opened again.
+    """
+    if progress is None:
+        return cut_lineage(_inspected(due, inventory))
+    spark = due.sparkSession
+    store = f"{progress.rstrip('/')}/checked"
+
+    def done() -> DataFrame:
+        # an append without files leaves no table behind
+        there = spark._jvm.org.apache.hadoop.fs.Path(f"{store}/_SUCCESS")
+        if not there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there):
+            return spark.createDataFrame([], _CHECKED)
+        return spark.read.schema(_CHECKED).parquet(store).dropDuplicates(_FILE)
+
+    left = cut_lineage(due.select(*_FILE).join(done().select(*_FILE), _FILE, "left_anti"))
+    slices = -(-left.count() // batch_files)
+    for number in range(slices):
+        some = left.where(F.pmod(F.xxhash64("path"), F.lit(slices)) == number)
+        _inspected(some, inventory).join(some, "path").select("path", "file_size", "file_mtime", "ok", "detail").write.mode("append").parquet(store)
+    return done().join(due.select(*_FILE), _FILE, "left_semi").select("path", "ok", "detail")
+
+
 def integrity_job(
     books: DataFrame,
     inventory: DataFrame,
@@ -159,17 +214,15 @@ def integrity_job(
     roots: list[str],
     cover_root: str = "covers",
     deep: bool = False,
+    progress: str | None = None,
+    batch_files: int = BATCH_FILES,
 ) -> IntegrityResult:
-    """Validate what is due, mark the good, list the bad, plan their removal."""
+    """Validate what is due, mark the good, list the bad, plan their removal. ``progress``: see ``checked_files``."""
     c = F.col
-    queue = reconcile.validation_queue(books, inventory, roots, deep)
-    checked = cut_lineage(
-        packages.inspect_packages(_contents(queue, inventory)).select(
-            "path", "ok", F.concat_ws("; ", "errors").alias("detail")
-        )
-    )
+    queue = cut_lineage(reconcile.validation_queue(books, inventory, roots, deep))
+    checked = checked_files(queue, inventory, progress, batch_files)
     # a file whose row is marked missing belongs to that row all the same
-    named = reconcile.path_to_id(checked, books)
+    named = cut_lineage(reconcile.path_to_id(checked, books))
     good = named.where(c("ok") & c("book_id").isNotNull()).select(c("book_id").alias("id"))
     bad_rows = named.where(~c("ok")).select("path", "book_id", "detail")
     return IntegrityResult(
@@ -234,7 +287,8 @@ def cleanup_run(
         raise ValueError("force_clean needs execute")
     keep = (lambda df: cut_lineage(df)) if execute else (lambda df: df)
 
-    accepted, refused = merge.backfill_split(books, cut_lineage(merge.fresh_hashes(books, inventory)))
+    matched = reconcile.match_paths(books, inventory)
+    accepted, refused = merge.backfill_split(books, cut_lineage(merge.fresh_hashes(books, inventory, matched)))
     plan = [
         _plan(accepted, "backfill", c("id")),
         _plan(refused, "backfill_refused", c("id")),
@@ -247,16 +301,19 @@ def cleanup_run(
     if execute:
         books = keep(stripped.drop("description_changed"))
 
-    renames = keep(reconcile.rename_plan(books, inventory, roots))
+    renames = keep(reconcile.rename_plan(books, inventory, roots, matched=matched))
     plan.append(_plan(renames, "rename", c("id"), c("from_path"), c("to_path")))
     if execute:
         facts = inventory.select(c("path").alias("from_path"), "file_size", "file_mtime")
         moves = renames.join(facts, "from_path").select("id", c("to_path").alias("file_path"), "file_size", "file_mtime")
         books = keep(merge.repoint(books, moves, clear_flags=True))
         inventory = _moved_files(inventory, renames)
+        matched = reconcile.match_paths(books, inventory)
 
-    loose = reconcile.hashed_unindexed(books, inventory)
-    findings = reconcile.audit_report(books, inventory, covers, roots, loose)
+    loose = reconcile.hashed_unindexed(matched, inventory)
+    groups = cut_lineage(reconcile.content_groups(loose, matched))
+    findings = reconcile.audit_report(books, inventory, covers, roots, loose, matched, groups)
+    absent = matched.where(c("in_books") & ~c("in_files")).select("id")
     if validate:
         checked = integrity_job(books, inventory, covers, roots, cover_root, deep)
         removals = cut_lineage(checked.removals)
@@ -270,24 +327,26 @@ def cleanup_run(
             favorites, author_index = _without(favorites, purged), _without(author_index, purged)
             inventory = inventory.join(removed, "path", "left_anti")
             covers = covers.join(pictures, "path", "left_anti")
-            loose = loose.join(removed, "path", "left_anti")
-    dedupe = keep(reconcile.dedupe_plan(loose, books, inventory, roots))
-    fresh = keep(reconcile.new_files(loose, books))
+            # what is gone neither keeps a content nor is a copy of it
+            matched = reconcile.match_paths(books, inventory)
+            loose = cut_lineage(loose.join(removed, "path", "left_anti"))
+            groups = cut_lineage(reconcile.content_groups(loose, matched))
+            absent = matched.where(c("in_books") & ~c("in_files")).select("id")
+    dedupe = keep(reconcile.dedupe_plan(loose, groups, roots))
+    fresh = reconcile.new_files(groups)
     plan.append(dedupe)
     plan.append(_plan(fresh, "index", None, c("path")))
-    gone = reconcile.absent_rows(books, inventory)
     moved_ids = dedupe.where(c("op") == "repoint").select("book_id")
     if execute:
         facts = inventory.select(c("path").alias("to_path"), "file_size", "file_mtime")
         moves = dedupe.where(c("op") == "repoint").join(facts, "to_path").select(
             c("book_id").alias("id"), c("to_path").alias("file_path"), "file_size", "file_mtime"
         )
-        absent = keep(gone.select("id"))
         deleted = dedupe.where(c("op") == "delete").select(c("from_path").alias("path"))
         books = merge.repoint(books, moves, clear_flags=True)
         inventory = inventory.join(deleted, "path", "left_anti")
         arrivals = loose.join(fresh.select("path"), "path", "left_semi")
-        inspected = cut_lineage(packages.inspect_packages(_contents(fresh, inventory)))
+        inspected = cut_lineage(packages.inspect_packages(contents(arrivals, inventory)))
         books = keep(merge.upsert_by_path(books, incoming_rows(arrivals, inspected, now, validate), checked=validate))
     plan.append(_plan(reconcile.empty_dirs(dirs, inventory, roots), "prune", None, c("path")))
 

@@ -73,13 +73,15 @@ def test_keeper_and_groups(make_books, make_files):
         ("/lib/moved-file.epub", b"x"), ("/lib/here.epub", b"y"), ("/lib/here-too.epub", b"y"),
         ("/lib/n1.epub", b"z"), ("/lib/n1-long.epub", b"z"), ("/out/y.epub", b"y"), ("/lib/solo.epub", b"s"),
     )
-    loose = fs.with_content_hash(reconcile.unindexed_files(files, books)).select("path", "content_hash")
-    got = rows(reconcile.duplicate_groups(loose, books, files), "keeper", "n_remove", "book_id", "repoint_only")
+    matched = reconcile.match_paths(books, files)
+    loose = reconcile.hashed_unindexed(matched, files)
+    groups = reconcile.content_groups(loose, matched)
+    got = rows(reconcile.duplicate_groups(loose, matched), "keeper", "n_remove", "book_id", "repoint_only")
     assert got == [
         ("/lib/here-too.epub", 2, 2, False), ("/lib/moved-file.epub", 0, 1, True), ("/lib/n1-long.epub", 1, None, False),
     ]
     for hot in (1, 1_000_000):
-        plan = reconcile.dedupe_plan(loose, books, files, ["/lib"], hot)
+        plan = reconcile.dedupe_plan(loose, groups, ["/lib"], hot)
         assert rows(plan, "op", "book_id", "from_path", "to_path") == [
             ("delete", None, "/lib/here.epub", None),
             ("delete", None, "/lib/n1.epub", None),
@@ -87,7 +89,7 @@ def test_keeper_and_groups(make_books, make_files):
             ("repoint", 1, "/lib/gone.epub", "/lib/moved-file.epub"),
             ("repoint", 2, "/lib/here.epub", "/lib/here-too.epub"),
         ]
-    assert rows(reconcile.new_files(loose, books), "path") == [("/lib/n1-long.epub",), ("/lib/solo.epub",)]
+    assert rows(reconcile.new_files(groups), "path") == [("/lib/n1-long.epub",), ("/lib/solo.epub",)]
     tie = make_files(("/books/a/same.epub", b"1"), ("/books/longer/same.epub", b"1"))
     assert rows(reconcile.keeper_paths(fs.with_content_hash(tie)), "keeper") == [("/books/longer/same.epub",)]
 
@@ -257,10 +259,12 @@ def test_removal_plan_guards_roots(make_files, spark):
 
 
 def test_unreadable_files_are_no_copies_of_each_other(spark, make_books):
-    files = spark.createDataFrame([(f"/lib/{n}.epub", None) for n in "abc"] + [("/lib/d.epub", "h")], "path string, content_hash string")
+    table = [(f"/lib/{n}.epub", None, 1, None) for n in "abc"] + [("/lib/d.epub", "h", 1, None)]
+    files = spark.createDataFrame(table, "path string, content_hash string, file_size long, file_mtime timestamp")
     books = make_books({"id": 1, "file_path": "/lib/z.epub", "content_hash": "q"})
-    assert [r.path for r in reconcile.new_files(files, books).collect()] == ["/lib/d.epub"]
-    assert reconcile.duplicate_groups(files, books, files.select("path")).count() == 0
+    matched = reconcile.match_paths(books, files)
+    assert [r.path for r in reconcile.new_files(reconcile.content_groups(files, matched)).collect()] == ["/lib/d.epub"]
+    assert reconcile.duplicate_groups(files, matched).count() == 0
     assert {r.copies for r in reconcile.files_by_hash(files).collect()} == {None, 1}
 
 
@@ -273,3 +277,100 @@ def test_scan_leaves_files_outside_its_roots(spark, make_books, make_files):
     inside = reconcile.classify(files, books, roots=["/lib"]).first()
     assert (inside.status, inside.delete_path) == ("duplicate", None)
     assert reconcile.classify(files, books).first().status == "repointed"
+
+
+# --- plans -----------------------------------------------------------------------------------
+
+
+def plan_of(df):
+    df.sparkSession.conf.set("spark.sql.maxMetadataStringLength", "100000")
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+
+
+def exchanges(df):
+    import re
+
+    return len(re.findall(r"(?<!Broadcast)(?<!Reused)Exchange (?:hash|range|Single|RoundRobin)", plan_of(df)))
+
+
+def test_audit_reads_one_match(make_books, make_files, spark):
+    books = make_books(dict(id=1, file_path="/lib/gone.epub", content_hash=sha(b"x")), dict(id=2, file_path="/lib/here by now.epub"))
+    files = make_files(("/lib/moved-file.epub", b"x"), ("/lib/here by now.epub", b"y"))
+    covers = fs.with_cover_ids(spark.createDataFrame([("covers/1.jpg",)], "path string"))
+    report = reconcile.audit_report(books, files, covers, ["/lib"])
+    # covers against ids; the match and the grouping are written and read
+    assert exchanges(report) <= 2
+    listed = reconcile.match_paths(books, files)
+    assert exchanges(reconcile.content_groups(reconcile.hashed_unindexed(listed, files), listed)) <= 1
+    kinds = sorted((r.kind, r.book_id or 0) for r in report.collect())
+    assert kinds == [("absent", 1), ("duplicate_group", 1), ("null_hash", 2), ("unindexed", 0)]
+
+
+def test_bytes_are_never_exchanged(make_books, make_files, monkeypatch):
+    """No exchange of what is hashed holds file bytes, whether the paths are few or many."""
+    from pyspark.sql import functions as F
+
+    books = make_books(dict(id=1, file_path="/lib/a.epub", content_hash=sha(b"x")), dict(id=2, file_path="/lib/b.epub"))
+    files = make_files(("/lib/a.epub", b"x"), ("/lib/b.epub", b"y"), ("/lib/c.epub", b"x"))
+    paths = files.select("path", "file_size")
+    want = {"/lib/a.epub": sha(b"x"), "/lib/b.epub": sha(b"y"), "/lib/c.epub": sha(b"x")}
+    for few in (100_000, 1):
+        monkeypatch.setattr(fs, "FEW_PATHS", few)
+        got = fs.hashed(paths, files)
+        assert {r.path: r.content_hash for r in got.collect()} == want
+        plan = plan_of(got)
+        assert plan.count("sha1(") == 1
+        below = [line for line in plan.splitlines() if "Exchange" in line and "BroadcastExchange" not in line]
+        assert not any("content#" in line for line in below)
+        if few == 1:
+            # bytes end where they are hashed
+            assert "content_hash" in plan and plan.index("Exchange") < plan.index("sha1(")
+        assert {r.id for r in merge.fresh_hashes(books, files).collect()} == {2}
+        assert {r.status for r in reconcile.classify(files, books).collect()} >= {"to_index"}
+    assert fs.contents(paths.where("path like '%a.epub'"), files.withColumn("x", F.lit(1))).columns == ["path", "content"]
+
+
+def test_packs_hold_even_bytes(spark, monkeypatch):
+    import random
+    from pyspark.sql import functions as F
+
+    rng = random.Random(2)
+    sizes = [rng.randrange(1, 1000) for _ in range(400)] + [50_000, 70_000, 10_000, 0]
+    files = spark.createDataFrame([(f"/f/{i}", n) for i, n in enumerate(sizes)], "path string, file_size long")
+    dealt = fs.packed(files, 10_000).withColumn("task", F.spark_partition_id()).collect()
+    assert sorted((r.path, r.file_size) for r in dealt) == sorted((f"/f/{i}", n) for i, n in enumerate(sizes))
+    tasks = {}
+    for r in dealt:
+        tasks.setdefault(r.task, []).append(r.file_size)
+    assert all(len([n for n in held if n]) == 1 for held in tasks.values() if max(held) >= 10_000)
+    assert all(sum(held) <= 11_000 for held in tasks.values() if max(held) < 10_000) and len(tasks) >= 20
+    assert fs.packed(files.limit(0)).count() == 0 and fs.packed(files.where("file_size = 0")).count() == 1
+
+
+def test_names_are_ranked_only_where_contested(spark):
+    claims = spark.createDataFrame([(i, "/d", f"name {i}.epub") for i in range(50)] + [(90, "/d", "two.epub"), (91, "/d", "two.epub")], "id long, dir string, wanted string")
+    disk = spark.createDataFrame([("/d/name 7.epub",), ("/e/name 8.epub",)], "path string")
+    named = reconcile.unique_names(claims, disk)
+    got = {r.id: r.final_name for r in named.collect()}
+    assert got[7] == "name 7 (2).epub" and got[8] == "name 8.epub" and (got[90], got[91]) == ("two.epub", "two (2).epub")
+    assert exchanges(named) <= 5
+    free = reconcile.unique_names(claims.where("id < 5"), disk)
+    assert "Window" not in plan_of(free) and exchanges(free) == 0
+
+
+def test_stale_names_are_mended_where_they_are(make_books, make_files):
+    books = make_books(
+        dict(id=1, file_path="/lib/a long good name.epub", file_name="another name.epub", title="T"), dict(id=2, file_path="/lib/a sound long name.epub", title="S"),
+        dict(id=3, file_path="/lib/Kim.epub", title="Kim", authors="Rudyard Kipling", publisher="Penguin"),
+    )
+    files = make_files(("/lib/a long good name.epub", b"x"), ("/lib/a sound long name.epub", b"y"), ("/lib/Kim.epub", b"z"))
+    plan = reconcile.rename_plan(books, files, ["/lib"])
+    assert rows(plan, "id", "from_path", "to_path") == [
+        (1, "/lib/a long good name.epub", "/lib/a long good name.epub"), (3, "/lib/Kim.epub", "/lib/Kim - Rudyard Kipling-(Penguin).epub"),
+    ]
+    facts = files.select("path", "file_size", "file_mtime").withColumnRenamed("path", "from_path")
+    moves = plan.join(facts, "from_path").selectExpr("id", "to_path AS file_path", "file_size", "file_mtime")
+    after = merge.repoint(books, moves, clear_flags=True)
+    moved = files.join(plan.selectExpr("from_path AS path", "to_path"), "path", "left").selectExpr("coalesce(to_path, path) AS path", "file_size", "file_mtime")
+    matched = reconcile.match_paths(after, moved)
+    assert reconcile.filename_fixes(matched, ["/lib"]).count() == 0

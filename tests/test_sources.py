@@ -1,3 +1,4 @@
+import hashlib
 import io
 import os
 import zipfile
@@ -5,11 +6,11 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from shelfmark.operators import reconcile
+from shelfmark.operators import reconcile, stats
 from shelfmark.plans import jobs
 from shelfmark.plans.bindings import make_image, make_package, make_png
 from shelfmark.schema import BOOKS
-from shelfmark.sources import catalog, files as fs, images, packages
+from shelfmark.sources import catalog, files as fs, images, packages, shelves
 from shelfmark.streaming.arrivals import merge_arrivals, read_arrivals
 
 
@@ -165,6 +166,43 @@ def test_integrity_and_cleanup(lib, spark):
         jobs.cleanup_run(lib.books, lib.inventory, covers, lib.directories, ["/lib"], "t", force_clean=True)
 
 
+def test_validation_goes_on_where_it_stopped(spark, make_files, tmp_path, monkeypatch):
+    """Stopped after its first commit, a second run opens only the rest; a changed file is opened again."""
+    from shelfmark.sources import packages as pk
+
+    opened = tmp_path / "opened"
+    opened.mkdir()
+    real = pk.inspect_packages
+
+    def counting(files):
+        # the paths each call opens, as files of their own
+        paths = [r.path for r in files.select("path").collect()]
+        (opened / f"{len(list(opened.iterdir()))}").write_text("\n".join(paths))
+        if len(list(opened.iterdir())) == stop_at:
+            raise RuntimeError("stopped")
+        return real(files)
+
+    monkeypatch.setattr(jobs.packages, "inspect_packages", counting)
+    files = make_files(*[(f"/lib/{i}.epub", package(str(i)) if i % 3 else b"no zip") for i in range(30)])
+    due = files.drop("content")
+    progress = str(tmp_path / "progress")
+    stop_at = 3
+    with pytest.raises(RuntimeError):
+        jobs.checked_files(due, files, progress, 8)
+    stop_at = -1
+    got = {r.path: r.ok for r in jobs.checked_files(due, files, progress, 8).collect()}
+    assert got == {f"/lib/{i}.epub": i % 3 != 0 for i in range(30)}
+    calls = [p.read_text().split() for p in sorted(opened.iterdir(), key=lambda p: int(p.name))]
+    lost = calls.pop(2)
+    seen = [path for paths in calls for path in paths]
+    assert sorted(seen) == sorted(got) and len(lost) > 0
+    assert jobs.checked_files(due, files, progress, 8).count() == 30 and len(list(opened.iterdir())) == len(calls) + 1
+    changed = due.withColumn("file_size", F.when(F.col("path") == "/lib/4.epub", F.lit(1)).otherwise(F.col("file_size")))
+    assert jobs.checked_files(changed, files, progress, 8).count() == 30
+    assert (opened / str(len(calls) + 1)).read_text().split() == ["/lib/4.epub"]
+    assert jobs.checked_files(due.limit(0), files, str(tmp_path / "none"), 8).count() == 0
+
+
 def test_executed_cleanup_leaves_nothing_to_do(make_books, spark):
     from datetime import datetime
 
@@ -248,16 +286,79 @@ def test_scan_purge_takes_children_along(make_books, make_files, spark):
 
 def test_stream(spark, tree, tmp_path):
     root, progress = str(tmp_path / "catalog"), str(tmp_path / "progress")
-    catalog.write_catalog(spark.createDataFrame([], BOOKS), root, 0)
+    shelves.create(spark.createDataFrame([], BOOKS), root, 3, buckets=8)
 
-    def run():
-        merge_arrivals(read_arrivals(spark, str(tree), 2), root, progress, "now").awaitTermination()
-        return sorted(r.title for r in catalog.read_catalog(spark, root)[0].collect())
+    def run(checkpoint=progress):
+        merge_arrivals(read_arrivals(spark, str(tree), 2), root, checkpoint, "now").awaitTermination()
+        store = shelves.Shelves(spark, root)
+        return store.version, sorted(r.title for r in store.books().collect())
 
-    assert run() == ["One", "Two"]
+    # three files, two a batch
+    assert run() == (5, ["One", "Two"])
     (tree / "three.epub").write_bytes(package("Three"))
-    assert run() == ["One", "Three", "Two"]
-    assert run() == ["One", "Three", "Two"]
+    assert run() == (6, ["One", "Three", "Two"])
+    assert run() == (6, ["One", "Three", "Two"])
+    # the stream's last batch again, after a failure that lost the checkpoint's commit
+    commits = tmp_path / "progress" / "commits"
+    for name in ("2", ".2.crc"):
+        (commits / name).unlink(missing_ok=True)
+    assert run() == (6, ["One", "Three", "Two"])
+    ids = [r.id for r in shelves.Shelves(spark, root).books().collect()]
+    assert sorted(ids) == [1, 2, 3]
+
+
+def _files(folder):
+    return {p.name: p.stat().st_mtime_ns for p in folder.rglob("*.parquet")}
+
+
+def test_store_rewrites_only_touched_buckets(spark, make_books, tmp_path):
+    books = make_books(*[dict(id=i, title=f"Book {i}", language=["en", "fr", None][i % 3], is_missing=i % 5 == 0) for i in range(1, 41)])
+    first = shelves.create(books, str(tmp_path), 3, buckets=8)
+    old = _files(tmp_path / "rows")
+    # derived columns of rows that stay are carried over, whatever they hold
+    edited = books.where("id = 7").withColumn("title", F.lit("New")).withColumn("language", F.lit("de"))
+    second = first.change(books.where("id in (7, 8)"), edited)
+    bucket = second.stored().where("id = 7").first().bucket
+    gone = first.stored().where("id = 8").first().bucket
+    assert second.version == 4 and [b for b, entry in second.listed().items() if entry[0] == 4] == sorted({bucket, gone})
+    assert {k: v for k, v in _files(tmp_path / "rows").items() if k in old} == old
+    assert second.books().count() == 39 and first.books().count() == 40
+    row = second.stored().where("id = 7").first()
+    assert (row.tok_title, row.title_key) == (" new", "new")
+    for store in (first, second):
+        assert store.stats().collect() == stats.library_stats(store.books()).collect()
+        plan = store.stats()._jdf.queryExecution().executedPlan().toString()
+        assert "/rows/" not in plan and "file_path" not in plan
+    # nothing changed: no bucket is rewritten; the largest id stays known when its row goes
+    third = second.change(second.books().where("id = 40"), second.books().where("id = 40"))
+    assert third.version == 5 and all(entry[0] < 5 for entry in third.listed().values())
+    fourth = third.change(third.books().where("id = 40"), third.books().where("id < 0"))
+    assert max(entry[2] for entry in fourth.listed().values()) == 40
+    emptied = fourth.change(fourth.books(), fourth.books().where("id < 0"))
+    assert emptied.books().count() == 0 and emptied.stats().first().library_total == 0
+
+
+def test_partial_scan_equals_whole_scan(spark, make_books, make_files, tmp_path):
+    """Known, moved, changed, copied, broken and new files against a store and against the whole catalogue."""
+    a, b, d = package("A"), package("B"), package("D")
+    sha = lambda data: hashlib.sha1(data).hexdigest()
+    books = make_books(
+        dict(id=1, file_path="/lib/a.epub", content_hash=sha(a), file_size=1), dict(id=2, file_path="/lib/b.epub", content_hash=sha(b), is_missing=True),
+        dict(id=3, file_path="/lib/c.epub", content_hash="0" * 40), dict(id=5, file_path="/lib/e.epub", content_hash=sha(d)),
+        dict(id=9, file_path="/lib/other.epub", content_hash="1" * 40),
+    )
+    files = make_files(
+        ("/lib/a.epub", a), ("/lib/moved-to-a-longer-name.epub", b), ("/lib/c.epub", package("C2")), ("/lib/d-copy.epub", d),
+        ("/lib/new.epub", package("N")), ("/lib/new copy.epub", package("N")), ("/lib/bad.epub", b"no zip"), ("/lib/e.epub", b"broken now"),
+    )
+    store = shelves.create(books, str(tmp_path), 0, buckets=4)
+    before, part = jobs.scan_part(store, files, "t")
+    present = books.where("not is_missing").select(F.col("file_path").alias("path")).unionByName(files.select("path")).distinct()
+    whole = jobs.scan_job(books, files, [], "t", True, present=present)
+    after = store.change(before, part.books)
+    assert sorted(map(tuple, after.books().collect()), key=str) == sorted(map(tuple, whole.books.collect()), key=str)
+    assert sorted(map(tuple, part.actions.collect()), key=str) == sorted(map(tuple, whole.actions.collect()), key=str)
+    assert before.where("id = 9").count() == 0
 
 
 def test_paths_of_cluster_storage_are_split_by_hand():
