@@ -9,8 +9,10 @@ from __future__ import annotations
 import io
 import re
 import struct
+import uuid
 import zipfile
 import zlib
+from collections.abc import Callable
 from functools import cached_property
 from xml.sax.saxutils import escape
 
@@ -19,6 +21,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import BinaryType
 
 from shelfmark.schema import BOOKS
+from shelfmark.session import shared_folder
+from shelfmark.sources import catalog
 
 ROOTS = ["/lib"]
 NOW = "2024-06-01T00:00:00+00:00"
@@ -135,6 +139,12 @@ def _image_bytes(kind: pd.Series, width: pd.Series, height: pd.Series, text: pd.
 # --- tables ----------------------------------------------------------------------------------
 
 
+# Folders written in this session, by what they were made of.
+_WRITTEN: dict[tuple, str] = {}
+# Rows between two marks of these snapshots; pages lie between several marks even in small folders.
+STEP = 64
+
+
 class Library:
     """The bound tables of one data folder, each defined on first use."""
 
@@ -180,6 +190,31 @@ class Library:
     def books(self) -> DataFrame:
         return self.books_of(self.documents)
 
+    def stored(self, kind: str, write: Callable[[str], None]) -> str:
+        """A folder that ``write`` fills, once a session and state of the documents."""
+        spark = self.spark
+        path_of = spark._jvm.org.apache.hadoop.fs.Path
+        source = path_of(f"{self.folder}/documents.parquet")
+        state = source.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(source)
+        made_of = (kind, spark.sparkContext.applicationId, self.folder, state.getModificationTime(), state.getLen())
+        if made_of not in _WRITTEN:
+            root = f"{shared_folder(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+            write(root)
+            target = path_of(root)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+            _WRITTEN[made_of] = root
+        return _WRITTEN[made_of]
+
+    @cached_property
+    def snapshot(self) -> catalog.Snapshot:
+        """The books as a stored snapshot with its indexes."""
+
+        def write(root: str) -> None:
+            catalog.write_catalog(self.spread_books, root, 1)
+            catalog.write_indexes(self.spark, root, 1, ("title", "pages"), STEP)
+
+        return catalog.Snapshot(self.spark, self.stored("library", write), 1)
+
     @cached_property
     def spread_books(self) -> DataFrame:
         """The books for work on their whole texts."""

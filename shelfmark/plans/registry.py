@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shelfmark.functions import display, files as fn, metadata as md, text as tx
 from shelfmark.operators import browse, merge, quality, reconcile, search, stats
+from shelfmark.operators.postings import Term, books_with_terms, build_postings, phrases
 from shelfmark.operators.search import BrowseContext
 from shelfmark.plans import jobs
 from shelfmark.plans.bindings import NOW, ROOTS, Library
-from shelfmark.plans.oracle import LIB, ORDERS, author_words, clean_list, fold, key, sql, words
+from shelfmark.plans.oracle import LIB, ORDERS, author_words, base, clean_list, fold, key, sql, words
 from shelfmark.schema import LIST_COLUMNS
-from shelfmark.session import shared_folder
-from shelfmark.sources import catalog, files as fs, images, packages
+from shelfmark.session import cut_lineage, shared_folder
+from shelfmark.sources import catalog, files as fs, images, packages, shelves
+from shelfmark.sources.shelves import Shelves
+from shelfmark.streaming.arrivals import merge_arrivals
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -60,7 +64,7 @@ def _(lib):
 
 @query("book_lookup", f"SELECT {LISTED}, description FROM books WHERE id = 34")
 def _(lib):
-    return catalog.get_book(lib.books, 34, include_missing=True).select(*LIST_COLUMNS, "description")
+    return catalog.get_book(lib.snapshot.rows_of([34]), 34, include_missing=True).select(*LIST_COLUMNS, "description")
 
 
 @query("cover_inventory", "SELECT path, book_id FROM cover_ids")
@@ -74,8 +78,6 @@ def _(lib):
         FROM books""",
 )
 def _(lib):
-    import uuid
-
     root = f"{shared_folder(lib.spark).rstrip('/')}/catalog-{uuid.uuid4().hex}"
     catalog.write_catalog(lib.books, root, 1)
     stored, _ = catalog.read_catalog(lib.spark, root)
@@ -114,6 +116,13 @@ def _found(lib, **ctx):
     return search.browse_filter(lib.books, BrowseContext(**ctx)).select("id", "title", "publisher", "tags", "authors")
 
 
+def _found_stored(lib, favorites=None, **ctx):
+    """The same over a written snapshot, through its indexes."""
+    shelf = lib.snapshot.shelf
+    found = search.browse_filter(lib.snapshot.books, BrowseContext(**ctx), favorites, USER, shelf.indexes)
+    return found.select("id", "title", "publisher", "tags", "authors")
+
+
 def _found_sql(*tests: str) -> str:
     return "SELECT id, title, publisher, tags, authors FROM books WHERE NOT is_missing AND " + " AND ".join(tests)
 
@@ -127,7 +136,7 @@ TITLES = ("title", "sort_title", "file_name")
 
 @query("fts_title_search", _found_sql(_any_word(TITLES, "th"), _any_word(TITLES, "e"), _any_word(TITLES, "wor")))
 def _(lib):
-    return _found(lib, title='Th É* "wor')
+    return _found_stored(lib, title='Th É* "wor')
 
 
 @query(
@@ -135,7 +144,7 @@ def _(lib):
     _found_sql(_any_word(TITLES, "le"), _any_word(("publisher",), "editions"), _any_word(("tags",), "fr prose")),
 )
 def _(lib):
-    return _found(lib, title="le", publisher="éditions", genre="fr.Prose")
+    return _found_stored(lib, title="le", publisher="éditions", genre="fr.Prose")
 
 
 def _author_sql(*prefixes: str) -> str:
@@ -147,14 +156,14 @@ def _author_sql(*prefixes: str) -> str:
 
 @query("author_prefix_search", _author_sql("th", "an"))
 def _(lib):
-    return _found(lib, author="Án'TH")
+    return _found_stored(lib, author="Án'TH")
 
 
 @query("fts_author_search", _found_sql(_any_word(("authors",), "the"), _any_word(("authors",), "a")))
 def _(lib):
-    books = search.visible(lib.books)
-    hit = search.match_words(books, ("authors",), "the a")
-    return books.where(hit).select("id", "title", "publisher", "tags", "authors")
+    terms = [Term(("authors",), phrase) for phrase in phrases("the a")]
+    found = lib.snapshot.shelf.indexes.candidates(lib.snapshot.books, books_with_terms(lib.snapshot.postings, terms))
+    return search.visible(found).select("id", "title", "publisher", "tags", "authors")
 
 
 @query(
@@ -192,8 +201,9 @@ def _(lib):
 def _(lib):
     # favourites of anyone: the pairs are reduced to one user before the filter
     anyone = lib.favorites.select(F.lit(USER).alias("user_id"), "book_id").distinct()
-    ctx = BrowseContext(title="e", publisher="src", genre="prose", author="É", language="fr", favorites_only=True)
-    return search.browse_filter(lib.books, ctx, anyone, USER).select("id", "title", "publisher", "tags", "authors")
+    return _found_stored(
+        lib, anyone, title="e", publisher="src", genre="prose", author="É", language="fr", favorites_only=True
+    )
 
 
 @query(
@@ -202,9 +212,10 @@ def _(lib):
         AND NOT is_missing AND language = 'fr' AND {_any_word(('tags',), 'prose')}""",
 )
 def _(lib):
-    first = lib.books.where(~c("is_missing") & (c("language") == "fr")).agg(F.min("id")).scalar()
-    one = lib.books.where(c("id") == first)
-    return search.browse_filter(one, BrowseContext(language="fr", genre="prose")).select("id").limit(1)
+    first = lib.books.where(~c("is_missing") & (c("language") == "fr")).agg(F.min("id")).first()[0]
+    ctx = BrowseContext(language="fr", genre="prose")
+    # an id no book has, when none is French
+    return search.book_in_view(lib.snapshot.books, -1 if first is None else first, ctx, indexes=lib.snapshot.shelf.indexes)
 
 
 @query("under_roots", f"SELECT id, file_path FROM books WHERE {LIB}")
@@ -220,12 +231,12 @@ _QUEUE = """
 
 @query("validation_queue", _QUEUE.format(flag="epub_validated"))
 def _(lib):
-    return reconcile.validation_queue(lib.books, lib.files, ROOTS)
+    return reconcile.validation_queue(lib.books, lib.files, ROOTS).select("path", "book_id")
 
 
 @query("validation_queue_deep", _QUEUE.format(flag="epub_deep_validated"))
 def _(lib):
-    return reconcile.validation_queue(lib.books, lib.files, ROOTS, deep=True)
+    return reconcile.validation_queue(lib.books, lib.files, ROOTS, deep=True).select("path", "book_id")
 
 
 @query("validation_skipped", "SELECT count(*) AS skipped FROM books WHERE NOT is_missing AND epub_validated")
@@ -285,6 +296,32 @@ def _(lib):
     return indexed.select("id", *[n for n in indexed.columns if n.startswith("tok_")])
 
 
+_INDEXED = ("title", "sort_title", "authors", "publisher", "description", "isbn", "file_name", "series", "tags")
+
+
+@query(
+    "postings_build",
+    "SELECT token, field, book_id, array_to_string(list_sort(list(place)), ',') AS positions FROM ("
+    + " UNION ALL ".join(
+        f"SELECT id AS book_id, '{col}' AS field, unnest(string_split(trim({words(col)}), ' ')) AS token,"
+        f" generate_subscripts(string_split(trim({words(col)}), ' '), 1) - 1 AS place FROM books"
+        for col in _INDEXED
+    )
+    + ") WHERE token <> '' GROUP BY token, field, book_id",
+)
+def _(lib):
+    return build_postings(lib.spread_books).withColumn("positions", F.array_join("positions", ","))
+
+
+@query(
+    "phrase_search",
+    f"SELECT id, title FROM books WHERE contains({words('description')}, ' of the') AND NOT is_missing",
+)
+def _(lib):
+    hits = books_with_terms(lib.snapshot.postings, [Term(("description",), ("of", "the"))])
+    return search.visible(lib.snapshot.shelf.indexes.candidates(lib.snapshot.books, hits)).select("id", "title")
+
+
 @query(
     "token_prefix_counts",
     """SELECT count(*) AS books FROM (SELECT book_id FROM author_index GROUP BY book_id
@@ -299,8 +336,8 @@ def _(lib):
 
 @query("search_join", f"SELECT {LISTED} FROM books WHERE {_any_word(('title',), 'the')}")
 def _(lib):
-    index = lib.books.select("id", tx.token_string(c("title")).alias("tok_title"))
-    return browse.list_view(search.search_join(lib.books, index, ("title",), "the"))
+    hits = books_with_terms(lib.snapshot.postings, [Term(("title",), phrase) for phrase in phrases("the")])
+    return browse.list_view(search.join_hits(lib.books, hits))
 
 
 @query(
@@ -473,7 +510,7 @@ _MIDDLE = 40
         WHERE id = {_MIDDLE}""",
 )
 def _(lib):
-    return browse.neighbors(lib.books, _MIDDLE, BrowseContext(genre="prose"))
+    return browse.neighbors(lib.snapshot.books, _MIDDLE, BrowseContext(genre="prose"), shelf=lib.snapshot.shelf)
 
 
 def _positions_sql(sort: str) -> str:
@@ -550,6 +587,21 @@ def _(lib):
     return _page(browse.page_offset(search.visible(lib.books), "title", "", 2, 50), "title")
 
 
+@query("page_marks", _page_sql(ORDERS["title"], "LIMIT 25 OFFSET 475"))
+def _(lib):
+    """A page far down, between two stored marks."""
+    ctx = BrowseContext(sort="title", page=20, page_size=25)
+    rows, _ = browse.browse_rows(lib.snapshot.books, ctx, shelf=lib.snapshot.shelf)
+    return _page(rows, "title")
+
+
+@query("page_marks_desc", _page_sql(ORDERS["pages"], "LIMIT 50 OFFSET 100"))
+def _(lib):
+    ctx = BrowseContext(sort="pages", page=3, page_size=50)
+    rows, _ = browse.browse_rows(lib.snapshot.books, ctx, shelf=lib.snapshot.shelf)
+    return _page(rows, "pages")
+
+
 def _around_sql(anchor: int, after: bool, size: int) -> str:
     order = ORDERS["pages"]
     side = "r.n > a.n AND r.n <= a.n + {0}" if after else "r.n < a.n AND r.n >= a.n - {0}"
@@ -565,12 +617,14 @@ def _nested(text: str) -> str:
 
 @query("page_after", _nested(_around_sql(41, True, 25)))
 def _(lib):
-    return _page(browse.page_after(lib.books, search.visible(lib.books), 41, "pages", "", 25), "pages")
+    books = lib.snapshot.books
+    return _page(browse.page_after(lib.snapshot.rows_of([41]), search.visible(books), 41, "pages", "", 25), "pages")
 
 
 @query("page_before", _nested(_around_sql(41, False, 25)))
 def _(lib):
-    return _page(browse.page_before(lib.books, search.visible(lib.books), 41, "pages", "", 25), "pages")
+    books = lib.snapshot.books
+    return _page(browse.page_before(lib.snapshot.rows_of([41]), search.visible(books), 41, "pages", "", 25), "pages")
 
 
 @query("random_page")
@@ -578,13 +632,21 @@ def _(lib):
     return browse.list_view(browse.random_page(search.visible(lib.books), 25, seed=5))
 
 
+@query("random_page_members", "SELECT least(25, count(*)) AS shown, least(25, count(*)) AS visible, least(25, count(*)) AS distinct_ids FROM books WHERE NOT is_missing")
+def _(lib):
+    """A random page is full, holds visible books only, and none twice."""
+    page = browse.random_page(search.visible(lib.books), 25).select("id", "is_missing")
+    return page.agg(F.count(F.lit(1)).alias("shown"), F.count_if(~c("is_missing")).alias("visible"), F.count_distinct("id").alias("distinct_ids"))
+
+
 _BROWSED = BrowseContext(title="e", language="fr", sort="title", page=2, page_size=25)
 _BROWSED_SQL = f"language = 'fr' AND {_any_word(TITLES, 'e')}"
 
 
 @query("browse_page", _page_sql(ORDERS["title"], "LIMIT 25 OFFSET 25", _BROWSED_SQL))
 def _(lib):
-    rows, _ = browse.browse(lib.books, _BROWSED, stats.library_stats(lib.books))
+    snapshot = lib.snapshot
+    rows, _ = browse.browse(snapshot.books, _BROWSED, stats.library_stats(snapshot.books), shelf=snapshot.shelf)
     return _page(rows, "title")
 
 
@@ -596,7 +658,8 @@ def _(lib):
         ({_STATS})""",
 )
 def _(lib):
-    _, summary = browse.browse(lib.books, _BROWSED, stats.library_stats(lib.books))
+    snapshot = lib.snapshot
+    _, summary = browse.browse(snapshot.books, _BROWSED, stats.library_stats(snapshot.books), shelf=snapshot.shelf)
     return summary.withColumn("languages", F.array_join("languages", ","))
 
 
@@ -857,6 +920,36 @@ def _(lib):
     return merge.strip_descriptions(pages.unionByName(texts))
 
 
+# Texts without an entity or a tag, which SQL can squeeze; the others need an HTML parser.
+_UNMARKED = "NOT contains(description, '&') AND NOT regexp_matches(description, '<[a-zA-Z/!]')"
+_SQUEEZED = r"nullif(trim(regexp_replace(description, '[\s\x1c-\x1f\x85\p{Z}]+', ' ', 'g'), ' '), '')"
+
+
+def _unmarked(rows: DataFrame, text: str) -> DataFrame:
+    return rows.where(~c(text).contains("&") & ~c(text).rlike("<[a-zA-Z/!]"))
+
+
+@query(
+    "strip_unmarked",
+    f"""SELECT id, CASE WHEN description <> '' AND {_SQUEEZED} IS DISTINCT FROM description THEN {_SQUEEZED} ELSE description END AS description,
+          description <> '' AND {_SQUEEZED} IS DISTINCT FROM description AS description_changed
+        FROM books WHERE {_UNMARKED}""",
+)
+def _(lib):
+    texts = lib.spread_books.select("id", "description", c("description").alias("before"))
+    return _unmarked(merge.strip_descriptions(texts), "before").drop("before")
+
+
+@query(
+    "plain_text_unmarked",
+    f"SELECT id, {_SQUEEZED} AS plain, description IS DISTINCT FROM {_SQUEEZED} AS needed FROM books WHERE {_UNMARKED}",
+)
+def _(lib):
+    texts = lib.spread_books.select("id", "description", tx.plain_text(c("description")).alias("plain"))
+    needed = tx.needs_plain_text(c("description"), c("plain")).alias("needed")
+    return _unmarked(texts.select("id", "description", "plain", needed), "description").drop("description")
+
+
 @query(
     "rename_plan",
     "SELECT id, file_path AS from_path, to_path FROM renames",
@@ -949,20 +1042,26 @@ def _(lib):
     return reconcile.classify(lib.inventory, lib.books).select("path", "content_hash", "status", "book_id", "delete_path")
 
 
+def _loose(lib) -> tuple[DataFrame, DataFrame]:
+    """The match by path, and the hashed files no row has."""
+    matched = reconcile.match_paths(lib.books, lib.files)
+    return matched, reconcile.hashed_unindexed(matched, lib.inventory)
+
+
 @query(
     "duplicate_groups",
     """SELECT content_hash, keeper, n_remove::BIGINT AS n_remove, book_id, book_id IS NOT NULL AND n_remove = 0 AND NOT there AS repoint_only
        FROM listed_groups""",
 )
 def _(lib):
-    loose = fs.with_content_hash(reconcile.unindexed_files(lib.inventory, lib.books))
-    return reconcile.duplicate_groups(loose, lib.books, lib.files).withColumn("n_remove", _long("n_remove"))
+    matched, loose = _loose(lib)
+    return reconcile.duplicate_groups(loose, matched).withColumn("n_remove", _long("n_remove"))
 
 
 @query("duplicate_members", "SELECT content_hash, path, keeper FROM copy_members")
 def _(lib):
-    loose = fs.with_content_hash(reconcile.unindexed_files(lib.inventory, lib.books))
-    return reconcile.duplicate_members(loose, lib.books, lib.files)
+    matched, loose = _loose(lib)
+    return reconcile.duplicate_members(loose, matched)
 
 
 _NEW_FILES = f"""SELECT content_hash, arg_max(path, {key('path')}) AS path FROM unindexed
@@ -971,8 +1070,8 @@ _NEW_FILES = f"""SELECT content_hash, arg_max(path, {key('path')}) AS path FROM
 
 @query("new_files", _NEW_FILES)
 def _(lib):
-    loose = fs.with_content_hash(reconcile.unindexed_files(lib.inventory, lib.books))
-    return reconcile.new_files(loose, lib.books)
+    matched, loose = _loose(lib)
+    return reconcile.new_files(reconcile.content_groups(loose, matched))
 
 
 _DEDUPE = """SELECT 'repoint' AS op, book_id, canon_path AS from_path, keeper AS to_path FROM copy_groups
@@ -982,8 +1081,8 @@ _DEDUPE = """SELECT 'repoint' AS op, book_id, canon_path AS from_path, keeper AS
 
 @query("dedupe_plan", _DEDUPE)
 def _(lib):
-    loose = fs.with_content_hash(reconcile.unindexed_files(lib.inventory, lib.books))
-    return reconcile.dedupe_plan(loose, lib.books, lib.files, ROOTS)
+    matched, loose = _loose(lib)
+    return reconcile.dedupe_plan(loose, cut_lineage(reconcile.content_groups(loose, matched)), ROOTS)
 
 
 @query(
@@ -1095,18 +1194,66 @@ def _(lib):
 # --- jobs ------------------------------------------------------------------------------------
 
 
-@query("scan_job")
+# Packages differ from their rows in time, so all are read. Equal bytes (empty files, text that is no archive)
+# are one content, indexed by the lowest row; of these the broken lose their row, the sound are read anew.
+_SCANNED = f"""
+    SELECT *, doc_id = min(doc_id) OVER (PARTITION BY CASE doc_id % 12 WHEN 7 THEN 'empty' WHEN 1 THEN 'none ' || text ELSE doc_id::VARCHAR END) AS first,
+      doc_id % 12 IN ({', '.join(map(str, _FAULTS))}) AS broken
+    FROM docs"""
+
+
+@query(
+    "scan_job",
+    f"""SELECT b.id, b.file_path, CASE WHEN first THEN n_chars ELSE file_size END AS file_size,
+          CASE WHEN first THEN (doc_id + 1700000001) * 1000000 ELSE file_mtime END AS file_mtime, false AS is_missing,
+          first OR epub_validated AS epub_validated, NOT first AND epub_deep_validated AS epub_deep_validated, NOT first AND epub_version2 AS epub_version2,
+          CASE WHEN NOT first THEN b.title WHEN {_READ} THEN coalesce(trim(first_line), regexp_replace(name, '\\.epub$', ''))
+            ELSE regexp_replace(name, '\\.epub$', '') END AS title,
+          CASE WHEN NOT first THEN b.authors WHEN {_READ} THEN source || '; Second Hand' END AS authors,
+          CASE WHEN first THEN '{NOW}' ELSE last_scanned_at END AS last_scanned_at
+        FROM books b JOIN ({_SCANNED}) d ON d.doc_id = b.id WHERE NOT (first AND broken)""",
+)
 def _(lib):
     result = jobs.scan_job(lib.books, lib.packages, ROOTS, NOW, validate=True)
-    return _state(result.books, "title", "authors", "last_scanned_at")
+    return _state(result.books, "title", "authors", "last_scanned_at").drop("content_hash")
+
+
+_BROKEN = f"""SELECT i.path, b.id AS book_id FROM (SELECT book_path AS path FROM docs WHERE doc_id % 12 IN ({', '.join(map(str, _FAULTS))})) i
+    LEFT JOIN books b ON b.file_path = i.path
+    WHERE starts_with(i.path, '/lib/') AND NOT coalesce(b.epub_validated AND NOT b.is_missing, false)"""
+_REMOVED = f"""SELECT 'delete' AS op, book_id, path FROM ({_BROKEN}) UNION ALL SELECT 'purge', book_id, path FROM ({_BROKEN})
+    UNION ALL SELECT 'remove_cover', c.book_id, c.path FROM cover_ids c JOIN ({_BROKEN}) b USING (book_id)
+    WHERE regexp_matches(c.path, '^covers/([0-9][0-9]/)?[0-9]+[.](jpg|jpeg|png|gif|webp)$')"""
 
 
-@query("integrity_job")
+@query("integrity_job", _REMOVED)
 def _(lib):
-    result = jobs.integrity_job(lib.books, lib.packages, fs.with_cover_ids(lib.covers), ROOTS)
+    """In batches whose results are stored; the second run finds them and opens nothing."""
+    progress = f"{shared_folder(lib.spark).rstrip('/')}/progress-{uuid.uuid4().hex}"
+    covers = fs.with_cover_ids(lib.covers)
+    for _ in range(2):
+        result = jobs.integrity_job(lib.books, lib.packages, covers, ROOTS, progress=progress, batch_files=max(1, lib.table("documents").count() // 3))
     return result.removals
 
 
+@query(
+    "integrity_state",
+    f"""SELECT id, is_missing, epub_validated OR (NOT is_missing AND starts_with(file_path, '/lib/') AND id NOT IN (SELECT book_id FROM ({_BROKEN})))
+          OR (is_missing AND starts_with(file_path, '/lib/') AND id NOT IN (SELECT book_id FROM ({_BROKEN}))) AS epub_validated,
+          favorites, tokens
+        FROM books b LEFT JOIN (SELECT book_id AS id, count(*) AS favorites FROM favorites GROUP BY book_id) f USING (id)
+        LEFT JOIN (SELECT book_id AS id, count(*) AS tokens FROM author_index GROUP BY book_id) t USING (id)
+        WHERE id NOT IN (SELECT book_id FROM ({_BROKEN}))""",
+)
+def _(lib):
+    """What is left when the removals are carried out: rows, their marks, favourites and author words."""
+    result = jobs.integrity_job(lib.books, lib.packages, fs.with_cover_ids(lib.covers), ROOTS)
+    purged = result.removals.where("op = 'purge'").select(c("book_id").alias("id")).distinct()
+    books, favorites, tokens = merge.purge_rows(result.books, lib.favorites, search.author_index(lib.books), purged)
+    counts = [df.groupBy(c("book_id").alias("id")).agg(F.count(F.lit(1)).alias(name)) for df, name in ((favorites, "favorites"), (tokens, "tokens"))]
+    return books.select("id", "is_missing", "epub_validated").join(counts[0], "id", "left").join(counts[1], "id", "left")
+
+
 def _cleanup(lib, **how) -> jobs.CleanupResult:
     return jobs.cleanup_run(lib.books, lib.inventory, fs.with_cover_ids(lib.covers), lib.directories, ROOTS, NOW, **how)
 
@@ -1131,48 +1278,104 @@ def _(lib):
     return _cleanup(lib, execute=True, force_clean=True).plan
 
 
-_COUNTED = {
-    "files_deleted": "delete", "rows_updated": "repoint", "rows_indexed": "index", "rows_purged": "purge",
-    "covers_removed": "remove_cover", "hashes_backfilled": "backfill", "filenames_sanitized": "rename",
-    "invalid_epubs": "invalid", "dirs_pruned": "prune",
-}
+# Over packages, whose faults are known: equal bytes are one content, every row has its file and no file is unindexed.
+_BACKFILLED = """SELECT id, id = min(id) OVER (PARTITION BY CASE id % 12 WHEN 7 THEN 'empty' WHEN 1 THEN 'none ' || description ELSE id::VARCHAR END) AS accepted
+    FROM books WHERE content_hash IS NULL"""
 
 
 @query(
     "cleanup_summary",
-    "SELECT "
-    + ", ".join(f"count(*) FILTER (op = '{op}') AS {name}" for name, op in _COUNTED.items())
-    + f", count(*) FILTER (op IN ('refuse', 'backfill_refused')) AS errors FROM ({_PLAN})",
+    f"""SELECT count(*) FILTER (op = 'delete') AS files_deleted, 0::BIGINT AS rows_updated, 0::BIGINT AS rows_indexed,
+          count(*) FILTER (op = 'purge') AS rows_purged, count(*) FILTER (op = 'remove_cover') AS covers_removed,
+          (SELECT count(*) FROM ({_BACKFILLED}) WHERE accepted) AS hashes_backfilled,
+          (SELECT count(*) FROM wanted_names WHERE wanted <> {base('file_path')} AND {LIB} AND id IN (SELECT id FROM books WHERE NOT is_missing)) AS filenames_sanitized,
+          (SELECT count(*) FROM ({_BROKEN})) AS invalid_epubs,
+          (SELECT count(*) FROM dir_parts WHERE starts_with(path, '/lib/') AND path NOT IN (
+            SELECT array_to_string(p[1:n], '/') FROM (SELECT p, unnest(range(2, len(p))) AS n FROM (SELECT string_split(book_path, '/') AS p FROM docs)))) AS dirs_pruned,
+          (SELECT count(*) FROM ({_BACKFILLED}) WHERE NOT accepted) AS errors
+        FROM ({_REMOVED})""",
 )
 def _(lib):
-    return _cleanup(lib).summary.drop("descriptions_stripped")
+    run = jobs.cleanup_run(lib.books, lib.packages, fs.with_cover_ids(lib.covers), lib.directories, ROOTS, NOW, validate=True)
+    return run.summary.drop("descriptions_stripped")
 
 
 @query(
     "cleanup_validated",
-    f"""SELECT i.path, b.id AS book_id FROM (SELECT book_path AS path FROM docs WHERE doc_id % 12 IN ({', '.join(map(str, _FAULTS))})) i
-    LEFT JOIN books b ON b.file_path = i.path
-    WHERE starts_with(i.path, '/lib/') AND NOT coalesce(b.epub_validated AND NOT b.is_missing, false)""",
+    f"""SELECT 'invalid' AS op, book_id, path FROM ({_BROKEN}) UNION ALL {_REMOVED}""",
 )
 def _(lib):
     run = jobs.cleanup_run(lib.books, lib.packages, fs.with_cover_ids(lib.covers), lib.directories, ROOTS, NOW, validate=True)
-    return run.plan.where(c("op") == "invalid").select(c("from_path").alias("path"), "book_id")
+    ops = ("invalid", "delete", "purge", "remove_cover", "refuse")
+    return run.plan.where(c("op").isin(*ops)).select("op", "book_id", c("from_path").alias("path"))
+
+
+_LANDED = f"""
+    SELECT doc_id, doc_id % 2 AS batch, '/lib/arrivals/' || doc_id || '.epub' AS path, n_chars,
+      CASE WHEN {_READ} THEN coalesce(trim(first_line), doc_id::VARCHAR) ELSE doc_id::VARCHAR END AS title,
+      CASE WHEN {_READ} THEN source || '; Second Hand' END AS authors, CASE WHEN {_READ} THEN lang END AS lang
+    FROM docs WHERE doc_id % 12 NOT IN ({', '.join(map(str, _FAULTS))})"""
 
 
-@query("stream_arrivals")
+# Hashes of packages are left out: SQL cannot make a package. Sound packages get the next ids, batch after batch.
+@query(
+    "stream_arrivals",
+    f"""SELECT id, file_path, file_size, file_mtime, {_FLAGS}, title, authors FROM books
+        UNION ALL
+        SELECT (SELECT max(id) FROM books) + row_number() OVER (ORDER BY batch, md5(path)), path, n_chars, (doc_id + 1700000001) * 1000000,
+          false, true, false, false, title, authors
+        FROM ({_LANDED})""",
+)
 def _(lib):
-    import uuid
+    store, _ = _streamed(lib)
+    return _state(store.books(), "title", "authors").drop("content_hash")
+
+
+@query(
+    "stream_stats",
+    f"""SELECT (SELECT count(*) FROM books WHERE NOT is_missing) + (SELECT count(*) FROM ({_LANDED})) AS library_total,
+        (SELECT string_agg(language, ',' ORDER BY {fold('language')}, language) FROM (
+          SELECT language FROM books WHERE NOT is_missing AND trim(language) <> ''
+          UNION SELECT lang FROM ({_LANDED}) WHERE trim(lang) <> '')) AS languages""",
+)
+def _(lib):
+    """The statistics of the streamed catalogue, added up from the counts of its buckets."""
+    store, _ = _streamed(lib)
+    return store.stats().withColumn("languages", F.array_join("languages", ","))
+
+
+@query(
+    "stream_rewrites",
+    f"""SELECT 2::BIGINT AS versions, count(*) FILTER (batch = 0) AS first_rows, count(*) FILTER (batch = 1) AS second_rows, 0::BIGINT AS repeated
+        FROM ({_LANDED})""",
+)
+def _(lib):
+    """What each batch of the stream added, from the versions it left; the stream run again adds nothing."""
+    store, again = _streamed(lib)
+    rows = [Shelves(lib.spark, store.root, v).stored().agg(F.count(F.lit(1))).first()[0] for v in (3, 4, 5)]
+    figures = (store.version - 3, rows[1] - rows[0], rows[2] - rows[1], again().version - store.version)
+    return lib.spark.createDataFrame([figures], "versions long, first_rows long, second_rows long, repeated long")
+
+
+def _streamed(lib):
+    """A store at version 3 after a stream of two batches of arrivals, and what runs the stream again."""
+
+    def run(base: str) -> Shelves:
+        landed = lib.spark.readStream.schema(lib.table("documents").schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/landed")
+        stream = lib.packages_of(_as_new(lib, landed))
+        merge_arrivals(stream, f"{base}/catalog", f"{base}/progress", NOW).awaitTermination()
+        return Shelves(lib.spark, f"{base}/catalog")
 
-    from shelfmark.streaming.arrivals import merge_arrivals
+    def write(base: str) -> None:
+        shelves.create(lib.spread_books, f"{base}/catalog", 3, 16)
+        documents = lib.table("documents")
+        # two files, the even documents first, one file a batch
+        for half in (0, 1):
+            documents.where(F.pmod("doc_id", F.lit(2)) == half).coalesce(1).write.mode("append").parquet(f"{base}/landed")
+        run(base)
 
-    base_folder = f"{shared_folder(lib.spark).rstrip('/')}/arrivals-{uuid.uuid4().hex}"
-    catalog.write_catalog(lib.books, f"{base_folder}/catalog", 0)
-    schema = lib.table("documents").schema
-    landed = lib.spark.readStream.schema(schema).parquet(f"{lib.folder}/documents.parquet*")
-    stream = lib.packages_of(_as_new(lib, landed))
-    merge_arrivals(stream, f"{base_folder}/catalog", f"{base_folder}/progress", NOW).awaitTermination()
-    books, _ = catalog.read_catalog(lib.spark, f"{base_folder}/catalog")
-    return _state(catalog.plain(books), "title", "authors")
+    base = lib.stored("arrivals", write)
+    return Shelves(lib.spark, f"{base}/catalog"), lambda: run(base)
 
 
 def _as_new(lib, documents: DataFrame) -> DataFrame:
