@@ -11,6 +11,7 @@ from shelfmark.functions import text as tx
 from shelfmark.operators.postings import Term, books_with_terms, match_terms, phrases, search_name
 from shelfmark.operators.skew import all_of, any_of
 from shelfmark.schema import SEARCH_COLUMNS
+from shelfmark.session import cut_lineage
 
 # Page sizes on offer, sort keys and the direction each starts with.
 PAGE_SIZES = (10, 25, 50, 100, 200)
@@ -174,8 +175,9 @@ def filter_condition(books: DataFrame, ctx: BrowseContext) -> Column:
     return all_of(tests)
 
 
-# Ids a request takes to the driver at most; more are joined.
-KEPT_IDS = 10_000
+# Ids a request takes to the driver and reads by key, at most; more are joined, by a broadcast up to the second bound.
+KEPT_IDS = 2_000
+BROADCAST_IDS = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -201,7 +203,8 @@ class Indexes:
         ids = [row.book_id for row in hits.limit(KEPT_IDS + 1).collect()]
         if len(ids) <= KEPT_IDS:
             return self.rows_of(ids)
-        return books.join(hits.select(F.col("book_id").alias("id")), "id", "left_semi")
+        many = cut_lineage(hits.select(F.col("book_id").alias("id")))
+        return books.join(F.broadcast(many) if many.count() <= BROADCAST_IDS else many, "id", "left_semi")
 
 
 def browse_filter(
