@@ -38,6 +38,8 @@ FREQUENT = 24
 FREQUENT_LIMIT = 1 << 20
 # Shingles of all points together that one task handles as a region.
 REGION = 1_500_000
+# Texts whose sets are held together, in bytes: a few whole-length arrays of 8 bytes a word stand beside them.
+POINT_BLOCK = 4 << 20
 # Shingles of the points that are measured against one copy of a pivot.
 PART = 400_000
 
@@ -97,7 +99,7 @@ def _unpacked(batch: pa.RecordBatch) -> list[bytes]:
 def _point_batches(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, texts in blocks(bytes_of(batch.column("text")), 16 << 20):
+            for first, texts in blocks(bytes_of(batch.column("text")), POINT_BLOCK):
                 sets = [s for _, some in blocks(texts) for s in shingle_sets(some, size)]
                 keys = [key_of(s) for s in sets]
                 points = np.array([point_of(k) for k in keys], np.int64)
@@ -131,7 +133,7 @@ def _prefix_batches(size: int, frequent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, pivots = frequent.value
         for batch in batches:
-            for _, texts in blocks(bytes_of(batch.column("text")), 16 << 20):
+            for _, texts in blocks(bytes_of(batch.column("text")), POINT_BLOCK):
                 rows: list[list[np.ndarray]] = [[], [], [], []]
                 seen = set()
                 for _, some in blocks(texts):
