@@ -8,7 +8,6 @@ odds of about 1e-13). The Jaccard distance is a metric; two documents link at di
   so the list of frequent shingles only has to be the same for all, and it is bounded (``FREQUENT``).
 * Each prefix shingle that several points have leads them into one region. A linked pair meets in some
   region. Points with fewer shared prefix shingles than a link takes drop out before texts move.
-* Small regions that overlap are merged, so that a text is sent to fewer of them.
 * In a region all points are measured against a central pivot. Points within 1/4 are linked to it, so
   they need no comparison among themselves. The points outside, with those inside that the
   triangle inequality lets reach them (``d >= nearest outside - 1/4``), form the next region
@@ -39,9 +38,6 @@ FREQUENT = 24
 FREQUENT_LIMIT = 1 << 20
 # Shingles of all points together that one task handles as a region.
 REGION = 1_500_000
-# Overlapping regions become one up to so many shingles, so that a text is sent fewer times; in so many rounds.
-MERGED = 200_000
-MERGES = 2
 # Texts whose sets are held together, in bytes: a few whole-length arrays of 8 bytes a word stand beside them.
 POINT_BLOCK = 4 << 20
 # Shingles of the points that are measured against one copy of a pivot.
@@ -343,32 +339,11 @@ def _met(docs: DataFrame, points: DataFrame, size: int) -> tuple[DataFrame, Data
     return written(regions), info
 
 
-def _merged(regions: DataFrame) -> DataFrame:
-    """Small regions that share points, as one region; the links found stay the same, as a region is searched exactly.
-
-    Every point names the least region it is in, every region the least that its points name.
-    """
-    alone = regions.groupBy("region").agg(F.count(F.lit(1)).alias("m")).where("m = 1").select("region")
-    regions = written(regions.join(written(alone), "region", "left_anti"))
-    for _ in range(MERGES):
-        least = regions.groupBy("point").agg(F.min("region").alias("least"))
-        label = written(regions.join(least, "point").groupBy("region").agg(F.min("least").alias("label")))
-        named = written(regions.join(label, "region"))
-        members = written(named.groupBy("label", "point").agg(F.max("n").alias("n"), F.max("central").alias("central")))
-        fits = written(members.groupBy("label").agg(F.sum("n").alias("weight")).where(F.col("weight") <= MERGED).select("label"))
-        regions = written(
-            members.join(fits, "label").select(F.col("label").alias("region"), "point", "n", "central")
-            .union(named.join(fits, "label", "left_anti").select("region", "point", "n", "central"))
-        )
-    return regions
-
-
 def jaccard_points(docs: DataFrame, size: int = WORDS) -> tuple[DataFrame, DataFrame]:
     """(points, links): a row per document with its set's key, and links between keys."""
     keyed = docs.select("doc_id", "text", text_id().alias("text_key"))
     points = written(keyed.mapInArrow(_point_batches(size), _POINTS))
     regions, info = _met(docs, points, size)
-    regions = _merged(regions.select("region", "point", "n", "central"))
     wanted = checked(info.select("point", "doc_id", "text_key"))
     texts = written(keyed.join(wanted, same(keyed, wanted, ["doc_id", "text_key"])).select("point", "text").mapInArrow(_pack_batches, "point long, text binary, bytes long"))
     if not texts.groupBy("point").count().where("count > 1").isEmpty():
