@@ -7,7 +7,8 @@ odds of about 1e-13). The Jaccard distance is a metric; two documents link at di
   prefix shares at least ``shared_at_least`` shingles, frequent shingles last; that order may be any,
   so the list of frequent shingles only has to be the same for all, and it is bounded (``FREQUENT``).
 * Each prefix shingle that several points have leads them into one region. A linked pair meets in some
-  region. Points with fewer shared prefix shingles than a link takes drop out before texts move.
+  region. Points with fewer shared prefix shingles than a link takes drop out before texts move, and a
+  point leaves the regions where it shares least, as long as these are less than half of what a link takes.
 * In a region all points are measured against a central pivot. Points within 1/4 are linked to it, so
   they need no comparison among themselves. The points outside, with those inside that the
   triangle inequality lets reach them (``d >= nearest outside - 1/4``), form the next region
@@ -26,7 +27,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from shelfmark.llm.common import (
     Words, blocks, bytes_of, checked, components, documents, same, signed, text_id, written,
@@ -335,8 +336,19 @@ def _met(docs: DataFrame, points: DataFrame, size: int) -> tuple[DataFrame, Data
     )
     info = chosen.join(shared, "point").where(F.col("shared") >= shared_at_least(F.col("n")))
     info = written(info.select("point", "n", "central", "first.doc_id", "first.text_key"))
-    regions = pairs.select("region", "point").join(checked(info.select("point", "n", "central")), "point")
-    return written(regions), info
+    regions = pairs.join(checked(info.select("point", "n", "central")), "point")
+    return written(_telling(regions)), info
+
+
+def _telling(regions: DataFrame) -> DataFrame:
+    """``regions`` (region, point, n, central, times) without those in which a point shares too little to be missed.
+
+    A pair that links has S prefix shingles in common, or more, where S is ``shared_at_least`` of either. If each side
+    leaves regions in which it shares fewer than S / 2 in all, fewer than S common ones go, so the pair still meets.
+    """
+    rising = Window.partitionBy("point").orderBy("times", "region").rowsBetween(Window.unboundedPreceding, 0)
+    summed = regions.withColumn("sum", F.sum("times").over(rising))
+    return summed.where(2 * F.col("sum") >= shared_at_least(F.col("n"))).select("region", "point", "n", "central")
 
 
 def jaccard_points(docs: DataFrame, size: int = WORDS) -> tuple[DataFrame, DataFrame]:
