@@ -14,7 +14,8 @@ odds of about 1e-13). The Jaccard distance is a metric; two documents link at di
   triangle inequality lets reach them (``d >= nearest outside - 1/4``), form the next region
   with a pivot of their own, until no point is outside. This is exact.
 * Regions of at most ``REGION`` shingles recurse inside one task, which streams over regions. Larger
-  ones are measured in parts, each with a copy of the pivot, and recurse as Spark rounds.
+  ones are measured in parts against many pivots at once, which each part has a copy of, and recurse as Spark
+  rounds: a point of a ball (that of its nearest pivot) stays only if the window lets it reach a point outside.
 
 Null and empty texts have an empty set and link with nothing. Repeated rows link like other equal
 texts. Null ids take part in links but never become a ``component_id`` while another id is there.
@@ -39,6 +40,9 @@ FREQUENT = 24
 FREQUENT_LIMIT = 1 << 20
 # Shingles of all points together that one task handles as a region.
 REGION = 1_500_000
+# Pivots of a large region in one round, and their shingles.
+PIVOTS = 512
+PIVOT_WEIGHT = 800_000
 # Texts whose sets are held together, in bytes: a few whole-length arrays of 8 bytes a word stand beside them.
 POINT_BLOCK = 4 << 20
 # Shingles of the points that are measured against one copy of a pivot.
@@ -260,23 +264,111 @@ def _region_batches(size: int):
     return run
 
 
+def shared_counts(pivots: list[np.ndarray], sets: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each pivot (rows) has in common with each set (columns)."""
+    tokens = np.unique(np.concatenate(pivots))
+    every = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    at = np.searchsorted(tokens, every)
+    at[at == len(tokens)] = 0
+    known = tokens[at] == every
+    at, owner = at[known], owner[known]
+    in_pivot = np.zeros(len(tokens), bool)
+    out = np.empty((len(pivots), len(sets)), np.int64)
+    for i, pivot in enumerate(pivots):
+        own = np.searchsorted(tokens, pivot)
+        in_pivot[own] = True
+        out[i] = np.bincount(owner[in_pivot[at]], minlength=len(sets))
+        in_pivot[own] = False
+    return out
+
+
+class _Part:
+    """The pivots of one part of a region: what they are linked with, and how near the points outside their balls come."""
+
+    def __init__(self, region: int) -> None:
+        self.region = region
+        self.points: list[int] = []
+        self.sets: list[np.ndarray] = []
+        self.keys: list[bytes] = []
+
+    def add(self, point: int, shingles: np.ndarray) -> None:
+        self.points.append(point)
+        self.sets.append(shingles)
+        self.keys.append(key_of(shingles))
+        self.group = list(range(len(self.points)))
+        self.outside = np.full(len(self.points), np.inf)
+
+    def _root(self, i: int) -> int:
+        while self.group[i] != i:
+            self.group[i] = i = self.group[self.group[i]]
+        return i
+
+    def measure(self, points: list[int], centrals: list[float], sets: list[np.ndarray]) -> list[tuple]:
+        """Rows (kind, region, point, central, pivot, distance, a, b): links (0) and measured points (1)."""
+        shared = shared_counts(self.sets, sets)
+        sizes, own = np.array([len(x) for x in sets]), np.array([len(x) for x in self.sets])[:, None]
+        together = own + sizes - shared
+        near = 100 * shared >= 75 * together
+        distance = 1 - shared / np.maximum(together, 1)
+        self.outside = np.minimum(self.outside, np.where(near, np.inf, distance).min(axis=1))
+        nearest = distance.argmin(axis=0)
+        out = []
+        for j, (point, central) in enumerate(zip(points, centrals)):
+            close = np.flatnonzero(near[:, j]).tolist()
+            pivot = self.points[nearest[j]] if close else None
+            out.append((1, self.region, point, central, pivot, float(distance[nearest[j], j]), None, None))
+            key = key_of(sets[j]) if close else None
+            for i in close:
+                # one link to the first, and to those that no other point has connected with it
+                first = i == close[0]
+                if (first or self._root(i) != self._root(close[0])) and self.keys[i] != key:
+                    out.append((0, self.region, None, None, None, None, self.keys[i], key))
+                self.group[self._root(i)] = self._root(close[0])
+        return out
+
+    def ends(self) -> list[tuple]:
+        """Rows of kind 2: how near points outside a pivot's ball come."""
+        return [(2, self.region, None, None, p, float(d), None, None) for p, d in zip(self.points, self.outside) if d < np.inf]
+
+
+_MEASURED = "kind int, region long, point long, central double, pivot long, distance double, a binary, b binary"
+_MEASURED_TYPES = (pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.binary(), pa.binary())
+
+
 def _measure_batches(size: int):
+    names = [field.split()[0] for field in _MEASURED.split(", ")]
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(_MEASURED_TYPES)], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = chosen = key = None
+        place, part = None, None
         for batch in batches:
-            out = []
-            sets = [s for _, some in blocks(_unpacked(batch)) for s in shingle_sets(some, size)]
-            rows = zip(batch.column("region").to_pylist(), batch.column("part").to_pylist(), batch.column("point").to_pylist(), batch.column("central").to_pylist(), sets)
-            for region, part, point, central, shingles in rows:
-                if (region, part) != place:
-                    # the pivot's own row is the first of each part
-                    place, chosen, key = (region, part), shingles, key_of(shingles)
-                    continue
-                shared = len(np.intersect1d(chosen, shingles, assume_unique=True))
-                out.append((region, point, central, key, key_of(shingles), shared, len(chosen) + len(shingles) - shared))
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
-            names = ["region", "point", "central", "a", "b", "shared", "together"]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], names=names)
+            places = list(zip(batch.column("region").to_pylist(), batch.column("part").to_pylist(), batch.column("role").to_pylist()))
+            points, centrals = batch.column("point").to_pylist(), batch.column("central").to_pylist()
+            for first, texts in blocks(_unpacked(batch)):
+                sets = shingle_sets(texts, size)
+                start = first
+                while start < first + len(texts):
+                    end = start
+                    while end < first + len(texts) and places[end] == places[start]:
+                        end += 1
+                    region, number, role = places[start]
+                    if (region, number) != place:
+                        if part is not None:
+                            yield batch_of(part.ends())
+                        place, part = (region, number), _Part(region)
+                    some = sets[start - first : end - first]
+                    if role == 0:
+                        # the pivots come first in each part
+                        for point, shingles in zip(points[start:end], some):
+                            part.add(point, shingles)
+                    else:
+                        yield batch_of(part.measure(points[start:end], centrals[start:end], some))
+                    start = end
+        if part is not None:
+            yield batch_of(part.ends())
 
     return run
 
@@ -299,24 +391,30 @@ def _frequent(points: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return rows.column("token").to_numpy(), rows.column("pivot").to_numpy()
 
 
-def _measured(regions: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-    """Distances of all points of large regions to their pivots, in parts of bounded size."""
-    heads = regions.groupBy("region").agg(
-        F.max(F.struct("central", "point"))["point"].alias("pivot"), F.ceil(F.sum("n") / PART).cast("int").alias("parts")
+def _measured(regions: DataFrame, texts: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """(measures, pivots (region, point)) of large regions: all points against many pivots, in parts of bounded size.
+
+    The most central point and some even in the hash order are pivots, as many as ``PIVOTS`` or ``PIVOT_WEIGHT`` allows.
+    """
+    heads = written(
+        regions.groupBy("region").agg(
+            F.max(F.struct("central", "point"))["point"].alias("best"), F.ceil(F.sum("n") / PART).cast("int").alias("parts"),
+            F.greatest(F.ceil(F.count(F.lit(1)) / PIVOTS), F.ceil(F.sum("n") / PIVOT_WEIGHT)).cast("bigint").alias("every"), F.count(F.lit(1)).alias("m"),
+        )
     )
-    heads = written(heads)
-    members = regions.join(heads, "region").where("pivot <> point").select(
+    joined = written(regions.join(heads, "region"))
+    # the number of points salts the choice, as it falls in every round
+    chosen = (F.col("point") == F.col("best")) | (F.pmod(F.xxhash64("point", "m"), F.col("every")) == 0)
+    pivots = written(joined.where(chosen).select("region", "point", "parts"))
+    members = joined.select(
         "region", F.pmod(F.xxhash64("point"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("role"), "point", "central"
     )
-    pivots = heads.select(
-        "region", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), F.col("pivot").alias("point"), F.lit(0.0).alias("central")
-    )
-    rows = members.union(pivots).join(texts, "point").select("region", "part", "role", "point", "central", "text", "bytes")
-    return written(
-        rows.repartition("region", "part")
-        .sortWithinPartitions("region", "part", "role")
-        .mapInArrow(_measure_batches(size), "region long, point long, central double, a binary, b binary, shared long, together long")
+    copies = pivots.select("region", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), "point", F.lit(0.0).alias("central"))
+    rows = members.union(copies).join(texts, "point").select("region", "part", "role", "point", "central", "text", "bytes")
+    measures = written(
+        rows.repartition("region", "part").sortWithinPartitions("region", "part", "role").mapInArrow(_measure_batches(size), _MEASURED)
     )
+    return measures, pivots.select("region", "point")
 
 
 def _met(docs: DataFrame, points: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
@@ -368,15 +466,13 @@ def jaccard_points(docs: DataFrame, size: int = WORDS) -> tuple[DataFrame, DataF
         large = weights.where(F.col("weight") > REGION).select("region")
         if large.isEmpty():
             break
-        found = _measured(regions.join(large, "region", "left_semi"), texts, size)
-        is_link = 100 * F.col("shared") >= 75 * F.col("together")
-        distance = 1 - F.col("shared") / F.col("together")
-        links.append(found.where(is_link).select("a", "b"))
-        reach = written(found.groupBy("region").agg(F.min(F.when(~is_link, distance)).alias("nearest")))
-        # who is outside, and who inside may reach it; the pivot is done
-        left = found.join(reach, "region").where(
-            F.col("nearest").isNotNull() & (~is_link | (distance >= F.col("nearest") - 0.25 - 1e-9))
-        )
+        found, pivots = _measured(regions.join(large, "region", "left_semi"), texts, size)
+        links.append(found.where("kind = 0").select("a", "b"))
+        reach = written(found.where("kind = 2").groupBy("region", "pivot").agg(F.min("distance").alias("outside")))
+        # a point stays if it is in no ball, or may reach a point outside of its pivot's; pivots are done
+        measured = found.where("kind = 1").select("region", "point", "pivot", "distance").join(pivots, ["region", "point"], "left_anti")
+        held = measured.join(reach, ["region", "pivot"], "left")
+        left = held.where(F.col("pivot").isNull() | (F.col("distance") >= F.col("outside") - 0.25 - 1e-9))
         regions = written(left.select("region", "point").join(info.select("point", "n", "central"), "point"))
     every = small[0]
     for more in small[1:]:

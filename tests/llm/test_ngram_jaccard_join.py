@@ -96,3 +96,30 @@ def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7), (300, 200)]
     found = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert all(found[i] == 0 for i in range(41)) and all(found[i] == 100 for i in range(100, 160)) and found[300] == 200
+
+def test_template_texts_end_in_few_rounds(spark, monkeypatch):
+    """Texts that share a template and stay below the threshold leave a region many pivots at a time."""
+    rng = random.Random(8)
+    vocabulary = [f"v{i}" for i in range(5000)]
+    template = rng.choices(vocabulary, k=68)
+    rows = [(i, " ".join(template + rng.choices(vocabulary, k=14))) for i in range(300)]
+    rows += [(1000 + i, rows[7][1] + " more" * i) for i in range(4)]
+    rounds = []
+    real = join._measured
+
+    def counted(*args):
+        rounds.append(1)
+        return real(*args)
+
+    monkeypatch.setattr(join, "_measured", counted)
+    for name, value in (("REGION", 2000), ("PART", 4000), ("PIVOTS", 64)):
+        monkeypatch.setattr(join, name, value)
+    assert run(spark, rows) == sorted(brute.jaccard(rows))
+    assert 2 <= len(rounds) < 10
+
+
+def test_shared_counts():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 90, rng.integers(1, 40)).astype(np.uint64)) for _ in range(30)]
+    got = join.shared_counts(sets[:7], sets)
+    assert got.tolist() == [[len(np.intersect1d(p, s)) for s in sets] for p in sets[:7]]
