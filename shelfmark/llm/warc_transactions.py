@@ -170,11 +170,15 @@ def assemble(records: DataFrame) -> DataFrame:
     )
     main = records.where(F.col("type").isin("response", "revisit", "resource"))
     captures = main.join(attached, F.col("record_id") == F.col("main_id"), "left").drop("main_id", "concurrent_to", "block")
-    known = records.where(F.col("type").isin("response", "resource") & F.col("record_id").isNotNull())
-    known = known.join(small.where("type = 'metadata'").select(F.col("concurrent_to").alias("main_id"), F.col("block").alias("fields")), F.col("record_id") == F.col("main_id"), "left")
-    found = F.struct("payload_digest", "payload_bytes", "fields")
     wanted = main.where("type = 'revisit'").select(F.col("refers_to").alias("record_id")).distinct()
-    originals = checked(written(known.join(wanted, "record_id", "left_semi").groupBy(F.col("record_id").alias("original_id")).agg(F.min(found).alias("original"))))
+    # one row per record id on either side, so that repeated records meet once
+    known = records.where(F.col("type").isin("response", "resource") & F.col("record_id").isNotNull()).join(wanted, "record_id", "left_semi")
+    known = known.groupBy(F.col("record_id").alias("original_id")).agg(F.min(F.struct("payload_digest", "payload_bytes")).alias("found"))
+    fields = attached.select("main_id", F.col("metadata.block").alias("fields"))
+    originals = known.join(fields, F.col("original_id") == F.col("main_id"), "left").select(
+        "original_id", F.struct("found.payload_digest", "found.payload_bytes", "fields").alias("original")
+    )
+    originals = checked(written(originals))
     revisits = captures.where("type = 'revisit'").join(originals, F.col("refers_to") == F.col("original_id"), "left").drop("original_id")
     others = captures.where("type <> 'revisit'").withColumn("original", F.lit(None).cast(originals.schema["original"].dataType))
     return revisits.unionByName(others).withColumnRenamed("type", "record_type")

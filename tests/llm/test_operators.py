@@ -83,6 +83,23 @@ def test_warc_captures(spark, tmp_path):
     assert warc.assemble(warc.read_archives(spark, str(tmp_path / "w")).limit(0)).count() == 0
 
 
+def test_repeated_pages_meet_once(spark, tmp_path):
+    """Equal rows give equal records: each comes back, and none meets all others."""
+    from pyspark.sql import functions as F
+
+    from shelfmark.llm import warc_transactions as warc
+
+    big = "x" * 1500
+    pages = spark.range(2000).select(F.lit(5).cast("long").alias("page_id"), F.lit("http://a").alias("url"), F.lit(big).alias("html"))
+    pages = pages.unionByName(spark.createDataFrame([(3, "http://b", big), (4, "http://b", "small")], "page_id long, url string, html string"))
+    warc.write_archives(pages, str(tmp_path / "w"))
+    got = warc.assemble(warc.read_archives(spark, str(tmp_path / "w")).drop("payload"))
+    assert {(r.record_type, r["count"]) for r in got.groupBy("record_type").count().collect()} == {("response", 2001), ("revisit", 1)}
+    one = got.where("record_type = 'revisit'").first()
+    assert one.original.payload_bytes == 1500 and "pageId: 5" in one.original.fields
+    assert warc.assemble(warc.read_archives(spark, str(tmp_path / "w")).limit(0)).count() == 0
+
+
 def test_maximal_conversations(spark):
     from shelfmark.llm.chat_formatting import render
 
