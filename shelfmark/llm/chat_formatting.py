@@ -5,8 +5,9 @@ rolling hash after turn i is the exclusive or of two 64-bit hashes of (j, role,
 conversation goes when its last hash is the hash of a proper prefix of a longer one; of equal
 conversations the smallest id stays. Anti-joins do both, on keys made distinct before.
 
-Numbers and hashes are taken in blocks of ``BLOCK`` turns and shifted by the blocks before, and what is
-rendered is one row per block, so that one conversation may hold any share of all turns.
+Turns are numbered by their place in a range-partitioned sort. Hashes are taken in blocks of ``BLOCK`` turns and
+shifted by the blocks before, and what is rendered is one row per block, so that one conversation, its turns numbered
+or not, may hold any share of all turns.
 Repeated rows of one conversation count once; turns without a number come first; rows without a
 conversation id are one conversation. Null role and text differ from empty ones in the hash and are
 rendered as ``unknown`` and empty. Marker strings inside a text are broken up.
@@ -16,7 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from shelfmark.llm.common import written
+from shelfmark.llm.common import place, sorted_runs, written
 
 BLOCK = 256
 START = "<|im_start|>"
@@ -29,13 +30,9 @@ def numbered(turns: DataFrame) -> DataFrame:
     rows = turns.select(
         F.coalesce(F.col("conv_id").cast("bigint"), F.lit(_LEAST)).alias("conv"),
         F.coalesce(F.col("turn").cast("bigint"), F.lit(_LEAST)).alias("turn"), "role", "text",
-    ).distinct().withColumn("block", F.floor(F.col("turn") / BLOCK))
-    order = Window.partitionBy("conv", "block").orderBy("turn", "role", "text")
-    rows = written(rows.withColumn("n", F.row_number().over(order)))
-    before = Window.partitionBy("conv").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = written(rows.groupBy("conv", "block").agg(F.count(F.lit(1)).alias("rows")))
-    shifts = written(blocks.select("conv", "block", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("shift")))
-    rows = rows.join(shifts, ["conv", "block"]).withColumn("i", (F.col("n") + F.col("shift")).cast("bigint"))
+    )
+    at, runs = sorted_runs(written(rows.distinct()), ["conv"], ["turn", "role", "text"])
+    rows = place(at, runs, ["conv"], "place").withColumn("i", F.col("place") + 1)
     turn = ["i", F.col("role").isNull(), "role", F.col("text").isNull(), "text"]
     rows = rows.select("conv", "i", "role", "text", F.floor((F.col("i") - 1) / BLOCK).alias("part"), F.xxhash64(*turn).alias("h1"), F.xxhash64(F.lit(7), *turn).alias("h2"))
     rows = written(rows)

@@ -83,6 +83,20 @@ def test_warc_captures(spark, tmp_path):
     assert warc.assemble(warc.read_archives(spark, str(tmp_path / "w")).limit(0)).count() == 0
 
 
+def test_turns_without_numbers_are_not_one_block(spark):
+    """5,000 turns of one conversation, none numbered: in the order of role and text, spread over parts of the sort."""
+    from shelfmark.llm import chat_formatting as chat
+    from shelfmark.llm.common import sorted_runs, written
+
+    turns = spark.range(5000).selectExpr("CAST(1 AS bigint) AS conv_id", "CAST(null AS bigint) AS turn", "'u' AS role", "lpad(CAST(id AS string), 5, '0') AS text")
+    got = {r.i: (r.text, r.part) for r in chat.numbered(turns.unionByName(turns)).collect()}
+    assert len(got) == 5000 and all(got[i + 1] == (f"{i:05d}", i // chat.BLOCK) for i in range(5000))
+    rows = written(turns.selectExpr("conv_id AS conv", "-1 AS turn", "role", "text"))
+    _, runs = sorted_runs(rows, ["conv"], ["turn", "role", "text"])
+    assert runs.where("_n > 0").count() > 1
+    assert chat.render(turns.limit(0)).count() == 0
+
+
 def test_repeated_pages_meet_once(spark, tmp_path):
     """Equal rows give equal records: each comes back, and none meets all others."""
     from pyspark.sql import functions as F
