@@ -123,13 +123,17 @@ def match_paths(books: DataFrame, inventory: DataFrame) -> DataFrame:
 def files_by_hash(files: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Every file with the size of its group of equal contents: one row per file, no lists.
 
-    A file that could not be read has no hash, no group and no size.
+    A file that could not be read has no hash, no group and no size. The hashes are written, as they are
+    counted and joined; the largest group tells whether groups must be cut.
     """
-    readable = files.where(F.col("content_hash").isNotNull())
-    sizes = readable.groupBy("content_hash").agg(F.count(F.lit(1)).alias("copies"))
-    return join_hot(
-        files.select("path", "content_hash"), sizes, "content_hash", "left", ["path"], hot_rows
-    ).select("content_hash", "path", "copies")
+    c = F.col
+    rows = cut_lineage(files.select("path", "content_hash"))
+    readable = rows.where(c("content_hash").isNotNull())
+    sizes = cut_lineage(readable.groupBy("content_hash").agg(F.count(F.lit(1)).alias("copies")))
+    crowded = sizes.agg(F.coalesce(F.max("copies"), F.lit(0))).first()[0] > hot_rows
+    sized = join_hot(readable, sizes, "content_hash", "inner", ["path"], hot_rows) if crowded else readable.join(sizes, "content_hash")
+    unread = rows.where(c("content_hash").isNull()).withColumn("copies", F.lit(None).cast("bigint"))
+    return sized.select("content_hash", "path", "copies").unionByName(unread)
 
 
 def keeper_paths(files: DataFrame) -> DataFrame:

@@ -44,11 +44,27 @@ def _long(name: str):
 # --- sources and sinks -----------------------------------------------------------------------
 
 
-@query("inventory_scan")
+_TABLES = (
+    "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
+).split()
+_TABLE_ROWS = " UNION ALL ".join(f"SELECT '{t}.parquet' AS name, count(*) AS table_rows FROM {t}" for t in _TABLES)
+
+
+def _rows_of_files(lib, found: DataFrame) -> DataFrame:
+    """(name, table_rows) of listed table files, their rows counted by the file they come from."""
+    paths = [lib.table(t).select(fs.plain_path(c("_metadata.file_path")).alias("path")) for t in _TABLES]
+    rows = paths[0]
+    for more in paths[1:]:
+        rows = rows.unionByName(more)
+    counts = rows.groupBy("path").agg(F.count(F.lit(1)).alias("table_rows"))
+    return found.join(counts, "path", "left").select(fn.base_name(c("path")).alias("name"), F.coalesce("table_rows", F.lit(0)).alias("table_rows"))
+
+
+@query("inventory_scan", f"SELECT name, table_rows, NULL AS error FROM ({_TABLE_ROWS}) UNION ALL SELECT 'absent', NULL, 'path not found'")
 def _(lib):
     found, errors = fs.inventory(lib.spark, [lib.folder, lib.folder + "/absent"], (".parquet",))
-    return found.select(fn.base_name(c("path")).alias("name"), "file_size", F.lit(None).cast("string").alias("error")).unionByName(
-        errors.select(fn.base_name(c("path")).alias("name"), F.lit(None).cast("bigint").alias("file_size"), c("detail").alias("error"))
+    return _rows_of_files(lib, found).withColumn("error", F.lit(None).cast("string")).unionByName(
+        errors.select(fn.base_name(c("path")).alias("name"), F.lit(None).cast("bigint").alias("table_rows"), c("detail").alias("error"))
     )
 
 
@@ -693,10 +709,11 @@ def _(lib):
     return lib.files.select("path").join(done, "path", "left_anti")
 
 
-@query("multi_root_union")
+@query("multi_root_union", _TABLE_ROWS)
 def _(lib):
+    """Roots that overlap list a file once."""
     found, _ = fs.inventory(lib.spark, [lib.folder, lib.folder + "/documents.parquet", lib.folder], (".parquet",))
-    return found.select(fn.base_name(c("path")).alias("name"), "file_size")
+    return _rows_of_files(lib, found)
 
 
 # --- merges ----------------------------------------------------------------------------------

@@ -38,9 +38,12 @@ def write_catalog(books: DataFrame, root: str, version: int) -> str:
 
     Books are clustered by title order and the index by token, so that row-group statistics
     prune title ranges and token prefixes. A version is complete once both tables carry their
-    success marker; readers pick the newest complete one.
+    success marker; readers pick the newest complete one. A complete version is never written again, as readers may
+    hold it; what an attempt that failed left is.
     """
     target = f"{root}/v={version:08d}"
+    if _exists(books.sparkSession, f"{target}/authors/_SUCCESS"):
+        raise FileExistsError(f"version {version} below {root} is complete")
     # the search columns are worked out after the exchange: range sampling reads its input twice
     rows = conform(books).withColumn(TITLE_KEY, title_key())
     rows = rows.repartitionByRange(TITLE_KEY, "id").sortWithinPartitions(TITLE_KEY, "id")
@@ -53,6 +56,11 @@ def write_catalog(books: DataFrame, root: str, version: int) -> str:
     return target
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
 def latest_version(spark: SparkSession, root: str) -> int | None:
     """The newest version whose last table is complete."""
     pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/v=*/authors/_SUCCESS")
@@ -135,9 +143,7 @@ class Snapshot:
     def marks(self, sort: str, sort_dir: str = "") -> DataFrame | None:
         """The marks of an order, None if they were not written."""
         path = f"{self.folder}/marks/{sort}-{direction(sort, sort_dir)}"
-        target = self.spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-        found = target.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(target)
-        return self.spark.read.parquet(path) if found else None
+        return self.spark.read.parquet(path) if _exists(self.spark, f"{path}/_SUCCESS") else None
 
     @property
     def shelf(self) -> Shelf:

@@ -20,7 +20,7 @@ def _any_case(suffix: str) -> str:
     return "".join(f"[{ch.lower()}{ch.upper()}]" if ch.isalpha() else ch for ch in suffix)
 
 
-def _plain_path(path: Column) -> Column:
+def plain_path(path: Column) -> Column:
     return F.regexp_replace(path, r"\Afile:/+", "/")
 
 
@@ -50,7 +50,7 @@ def inventory(
     absent = [(root, "path not found") for root in roots if root not in present]
     errors = spark.createDataFrame(absent, "path string, detail string")
     columns = [
-        _plain_path(F.col("path")).alias("path"),
+        plain_path(F.col("path")).alias("path"),
         F.col("length").alias("file_size"),
         F.col("modificationTime").alias("file_mtime"),
     ]

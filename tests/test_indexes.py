@@ -171,6 +171,18 @@ def test_browse_over_a_snapshot(spark, stored):
     assert tuple(near) == (whole[19], whole[21])
 
 
+def test_complete_versions_are_never_written_again(spark, make_books, tmp_path):
+    root, books = str(tmp_path), make_books(dict(id=1, title="One"))
+    target = catalog.write_catalog(books, root, 2)
+    with pytest.raises(FileExistsError):
+        catalog.write_catalog(books.limit(0), root, 2)
+    assert catalog.read_catalog(spark, root)[0].count() == 1
+    # what a failed attempt left is replaced
+    (tmp_path / "v=00000002" / "authors" / "_SUCCESS").unlink()
+    assert catalog.latest_version(spark, root) is None
+    assert catalog.write_catalog(books, root, 2) == target and catalog.latest_version(spark, root) == 2
+
+
 def test_empty_library(spark, make_books, tmp_path):
     catalog.write_catalog(make_books(dict(id=1)).limit(0), str(tmp_path), 0)
     catalog.write_indexes(spark, str(tmp_path), sorts=("title",))

@@ -401,3 +401,34 @@ def test_jpeg_size_skips_segments_and_fill_bytes():
     assert jpeg_size(b"\xff\xd8\xff\xe0\x00\x06\xff\xc0ab\xff" + frame) == (200, 300)
     assert jpeg_size(b"\xff\xd8\xff\xda" + frame) is None
     assert jpeg_size(b"\xff\xd8") is None
+
+
+def test_png_filters_equal_the_rule_by_bytes():
+    import random
+
+    import numpy as np
+
+    from shelfmark.sources.images import _unfilter
+
+    def plain(kind, line, above, step):
+        out = list(line)
+        for i, value in enumerate(out):
+            left, corner = (out[i - step], above[i - step]) if i >= step else (0, 0)
+            aim = left + above[i] - corner
+            guess = [0, left, above[i], (left + above[i]) // 2, min((left, above[i], corner), key=lambda v: abs(aim - v))][kind]
+            out[i] = (value + guess) & 0xFF
+        return out
+
+    rng = random.Random(4)
+    for channels in (1, 3, 4):
+        for width, height, allowed in ((7, 5, range(5)), (1, 6, range(5)), (9, 1, (3, 4)), (5, 4, (0, 1, 2))):
+            kinds = [rng.choice(list(allowed)) for _ in range(height)]
+            lines = [[rng.randrange(256) for _ in range(width * channels)] for _ in range(height)]
+            above = first = [rng.randrange(256) for _ in range(width * channels)]
+            want = []
+            for kind, line in zip(kinds, lines):
+                above = plain(kind, line, above, channels)
+                want.append(above)
+            shape = lambda rows: np.array(rows, np.uint8).reshape(-1, width, channels)
+            got = _unfilter(np.array(kinds, np.uint8), shape(lines), shape([first])[0])
+            assert got.reshape(height, -1).tolist() == want
