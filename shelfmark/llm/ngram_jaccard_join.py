@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from shelfmark.llm.common import (
-    Words, blocks, bytes_of, checked, components, documents, same, signed, text_id, written,
+    Words, blocks, bytes_of, checked, components, documents, same, signed, text_id, tidy, written,
 )
 
 WORDS = 5
@@ -412,7 +412,7 @@ def _measured(regions: DataFrame, texts: DataFrame, size: int) -> tuple[DataFram
     copies = pivots.select("region", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), "point", F.lit(0.0).alias("central"))
     rows = members.union(copies).join(texts, "point").select("region", "part", "role", "point", "central", "text", "bytes")
     measures = written(
-        rows.repartition("region", "part").sortWithinPartitions("region", "part", "role").mapInArrow(_measure_batches(size), _MEASURED)
+        rows.repartition("region", "part").sortWithinPartitions("region", "part", "role").mapInArrow(tidy(_measure_batches(size)), _MEASURED)
     )
     return measures, pivots.select("region", "point")
 
@@ -421,10 +421,10 @@ def _met(docs: DataFrame, points: DataFrame, size: int) -> tuple[DataFrame, Data
     """(regions, the points in them): (region, point, n, central) and (point, n, central, doc_id, text_key)."""
     frequent = docs.sparkSession.sparkContext.broadcast(_frequent(points))
     met = (
-        docs.select("text").mapInArrow(_prefix_batches(size, frequent), _PREFIX)
+        docs.select("text").mapInArrow(tidy(_prefix_batches(size, frequent)), _PREFIX)
         .repartition(F.when(F.col("frequent"), F.xxhash64("meet", "point")).otherwise(F.col("meet")))
         .sortWithinPartitions("frequent", "meet", "point")
-        .mapInArrow(_meeting_batches, "region long, point long, times int")
+        .mapInArrow(tidy(_meeting_batches), "region long, point long, times int")
     )
     # equal sets in several tasks are counted several times, which only lets more points stay
     pairs = written(met.groupBy("region", "point").agg(F.sum("times").alias("times")))
@@ -452,10 +452,10 @@ def _telling(regions: DataFrame) -> DataFrame:
 def jaccard_points(docs: DataFrame, size: int = WORDS) -> tuple[DataFrame, DataFrame]:
     """(points, links): a row per document with its set's key, and links between keys."""
     keyed = docs.select("doc_id", "text", text_id().alias("text_key"))
-    points = written(keyed.mapInArrow(_point_batches(size), _POINTS))
+    points = written(keyed.mapInArrow(tidy(_point_batches(size)), _POINTS))
     regions, info = _met(docs, points, size)
     wanted = checked(info.select("point", "doc_id", "text_key"))
-    texts = written(keyed.join(wanted, same(keyed, wanted, ["doc_id", "text_key"])).select("point", "text").mapInArrow(_pack_batches, "point long, text binary, bytes long"))
+    texts = written(keyed.join(wanted, same(keyed, wanted, ["doc_id", "text_key"])).select("point", "text").mapInArrow(tidy(_pack_batches), "point long, text binary, bytes long"))
     if not texts.groupBy("point").count().where("count > 1").isEmpty():
         texts = written(texts.dropDuplicates(["point"]))
     small, links = [], []
@@ -480,7 +480,7 @@ def jaccard_points(docs: DataFrame, size: int = WORDS) -> tuple[DataFrame, DataF
     links.append(
         every.join(texts, "point").select("region", "central", "text", "bytes")
         .repartition("region").sortWithinPartitions("region")
-        .mapInArrow(_region_batches(size), "a binary, b binary")
+        .mapInArrow(tidy(_region_batches(size)), "a binary, b binary")
     )
     out = links[0]
     for more in links[1:]:

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelfmark.llm.common import SPACES, Words, blocks, bytes_of, checked, documents, mix, written
+from shelfmark.llm.common import SPACES, Words, blocks, bytes_of, checked, documents, mix, tidy, written
 
 MIN_WORDS = 20
 MAX_REPEATED = 30
@@ -75,7 +75,7 @@ def judged(docs: DataFrame, host: str = "source", limit: float = HOST_LIMIT) ->
     """(doc_id, counts, base_failed, host, host_rate, kept, text_key) for each row of ``docs``."""
     narrow = docs.select("doc_id", F.col(host).cast("string").alias("host"), F.xxhash64("text").alias("text_key"), "text")
     counts = ", ".join(f"{c} long" for c in COUNTS)
-    rows = narrow.mapInArrow(_count_batches, f"doc_id long, host string, text_key long, {counts}")
+    rows = narrow.mapInArrow(tidy(_count_batches), f"doc_id long, host string, text_key long, {counts}")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     rows = written(rows.withColumn("base_failed", failed))
     hosts = written(
