@@ -191,3 +191,24 @@ def test_empty_library(spark, make_books, tmp_path):
     assert ids(snapshot.rows_of([1])) == []
     assert ids(browse.browse_rows(snapshot.books, BrowseContext(page=2), shelf=snapshot.shelf)[0]) == []
     assert snapshot.marks("size") is None
+
+
+def test_postings_of_repeated_and_null_ids(spark):
+    from shelfmark.operators import postings
+
+    rows = [(1, " a b a", " x"), (1, " a", None), (2, " b", " "), (None, " a", " x y"), (None, " c a", " x"), (3, " ", " z")]
+    books = spark.createDataFrame(rows, "id long, tok_title string, tok_tags string")
+    want = sorted([
+        ("a", "title", 1, [0, 0, 2]), ("b", "title", 1, [1]), ("x", "tags", 1, [0]), ("b", "title", 2, [0]), ("z", "tags", 3, [0]),
+        ("a", "title", None, [0, 1]), ("c", "title", None, [0]), ("x", "tags", None, [0, 0]), ("y", "tags", None, [1]),
+    ], key=str)
+    columns = ("title", "tags")
+    for found in (postings.build_postings(books, columns), postings.postings_of(postings.posting_blocks(books, columns))):
+        assert sorted([tuple(r) for r in found.select("token", "field", "book_id", "positions").collect()], key=str) == want
+
+
+def test_postings_are_not_regrouped(stored):
+    """Words are gathered where their book is, and stored by blocks: fewer rows than postings."""
+    assert "Exchange" not in _plan(build_postings(stored.books))
+    blocks = stored.spark.read.parquet(f"{stored.folder}/postings")
+    assert blocks.count() < stored.postings.count() == blocks.agg(F.sum(F.size("ids"))).first()[0]
