@@ -432,3 +432,17 @@ def test_png_filters_equal_the_rule_by_bytes():
             shape = lambda rows: np.array(rows, np.uint8).reshape(-1, width, channels)
             got = _unfilter(np.array(kinds, np.uint8), shape(lines), shape([first])[0])
             assert got.reshape(height, -1).tolist() == want
+
+
+def test_file_contents_reach_python_in_small_batches(spark):
+    """Whatever the session allows, the bytes of a batch are bounded when packages are opened or covers measured."""
+    from shelfmark.session import BATCH_BYTES
+    from shelfmark.sources import images, packages
+
+    files = spark.range(30, numPartitions=1).selectExpr("cast(id as string) AS path", "cast(repeat('x', 1048576) as binary) AS content")
+    for opened in (packages.inspect_packages, images.screen_covers):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "1g")
+        opened(files)
+        sizes = files.mapInPandas(lambda batches: (b.assign(n=b["content"].map(len).sum())[["n"]][:1] for b in batches), "n long").collect()
+        assert sum(r.n for r in sizes) == 30 << 20
+        assert max(r.n for r in sizes) <= int(BATCH_BYTES) + (1 << 20)
