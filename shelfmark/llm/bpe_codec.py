@@ -2,7 +2,9 @@
 
 A text is cut at the vocabulary's special strings, the rest by the byte-level pattern into pieces.
 The tree over a piece holds (rank, position) of every adjacent pair; its root is the leftmost pair of
-the lowest rank. Merging it updates three leaves and their paths, until no pair can be merged.
+the lowest rank. Merging it updates three leaves and their paths, until no pair can be merged. The new pieces
+of some texts go through this together: one array holds the trees of all pieces of like size, and a round
+merges the root's pair of each; pieces of more than ``WIDEST`` bytes are merged alone.
 Decoding joins the bytes of the ids and reads them as UTF-8, with replacement characters for what is
 not. Null is an empty text and has no ids. Rows are independent: nothing is shuffled, and a task holds
 one batch of texts. The vocabulary has a fixed size and is broadcast; each Python worker remembers
@@ -14,7 +16,7 @@ from __future__ import annotations
 import hashlib
 import json
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +26,15 @@ from pyspark.sql import DataFrame, SparkSession
 from shelfmark.llm.common import documents
 
 REMEMBERED = 200_000
+# Bytes of a piece that is merged together with others.
+WIDEST = 64
+# Texts whose new pieces are merged together, in characters, and pieces in one array of trees.
+TOGETHER = 1 << 20
+PIECES_TOGETHER = 1 << 14
 # Fixed value: the pattern that cuts text before the merges.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _NONE = 1 << 62
+_NO_PAIR = np.int64(_NONE)
 
 
 def byte_letters() -> list[str]:
@@ -67,6 +75,10 @@ class Codec:
         longest_first = sorted(self.special, key=len, reverse=True)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, longest_first)) + ")").split if longest_first else None
         self.seen: dict[str, bytes] = {}
+        order = sorted(self.pairs)
+        self.pair_keys = np.array(order, np.int64)
+        self.pair_ranks = np.array([self.pairs[x][0] for x in order], np.int64)
+        self.pair_ids = np.array([self.pairs[x][1] for x in order], np.int64)
 
     def merge(self, symbols: list[int]) -> list[int]:
         """The ids of one piece, from the ids of its bytes."""
@@ -110,27 +122,122 @@ class Codec:
                     node >>= 1
         return [s for s in symbols if s >= 0]
 
-    def piece(self, text: str) -> bytes:
-        found = self.seen.get(text)
-        if found is None:
-            to_id = self.bytes_to_ids
-            found = array("I", self.merge([to_id[b] for b in text.encode()])).tobytes()
-            if len(self.seen) >= REMEMBERED:
-                self.seen.clear()
-            if len(text) <= 64:
-                self.seen[text] = found
-        return found
+    def _pairs_at(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The number of each pair of ids among the merges, -1 where it is none."""
+        wanted = left << 32 | right
+        at = np.searchsorted(self.pair_keys, wanted)
+        at[at == len(self.pair_keys)] = 0
+        return np.where(self.pair_keys[at] == wanted, at, -1) if len(self.pair_keys) else np.full(len(wanted), -1)
+
+    def merge_rows(self, symbols: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """``merge`` of many pieces, one a row of ``symbols`` (a power of two wide); -1 where no id is left."""
+        n, width = symbols.shape
+        place = np.arange(width)
+        flat = symbols.reshape(-1)
+        after = np.tile(place + 1, (n, 1)).reshape(-1)
+        before = np.tile(place - 1, (n, 1)).reshape(-1)
+        tree = np.full((n, 2 * width), _NO_PAIR)
+        row, i = np.nonzero(place[None, :] < sizes[:, None] - 1)
+        found = self._pairs_at(symbols[row, i], symbols[row, i + 1])
+        some = found >= 0
+        tree[row[some], width + i[some]] = self.pair_ranks[found[some]] << 32 | i[some]
+        level = width
+        while level > 1:
+            tree[:, level // 2 : level] = np.minimum(tree[:, level : 2 * level : 2], tree[:, level + 1 : 2 * level : 2])
+            level //= 2
+        nodes = tree.reshape(-1)
+        rows = np.flatnonzero(tree[:, 1] != _NO_PAIR)
+        while len(rows):
+            first, root = rows * width, rows * 2 * width
+            i = nodes[root + 1] & 0xFFFFFFFF
+            j = after[first + i]
+            flat[first + i] = self.pair_ids[self._pairs_at(flat[first + i], flat[first + j])]
+            flat[first + j] = -1
+            end = after[first + j]
+            after[first + i] = end
+            inner = end < sizes[rows]
+            before[(first + end)[inner]] = i[inner]
+            back = before[first + i]
+            # the pairs that begin at the merged symbol and at the one before it; the one at j is gone
+            nodes[root + width + j] = _NO_PAIR
+            for there, left, right in ((inner, i, end), (back >= 0, back, i)):
+                here, leaf = first[there], left[there]
+                found = self._pairs_at(flat[here + leaf], flat[here + right[there]])
+                key = np.where(found >= 0, self.pair_ranks[found] << 32 | leaf, _NO_PAIR)
+                nodes[root[there] + width + leaf] = key
+            nodes[(root + width + i)[~inner]] = _NO_PAIR
+            node = np.concatenate((width + i, width + j, width + np.maximum(back, 0))) >> 1
+            root = np.tile(root, 3)
+            while node[0]:
+                nodes[root + node] = np.minimum(nodes[root + 2 * node], nodes[root + 2 * node + 1])
+                node >>= 1
+            rows = rows[nodes[rows * 2 * width + 1] != _NO_PAIR]
+        return symbols
+
+    def merge_all(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of many pieces, as bytes."""
+        out: list[bytes] = [b""] * len(pieces)
+        to_id = np.array(self.bytes_to_ids, np.int64)
+        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        wide, least = 2, 0
+        while least < WIDEST:
+            like = np.flatnonzero((lengths > least) & (lengths <= wide))
+            for start in range(0, len(like), PIECES_TOGETHER):
+                some = like[start : start + PIECES_TOGETHER]
+                sizes = lengths[some]
+                symbols = np.full((len(some), wide), -1, np.int64)
+                symbols[np.arange(wide) < sizes[:, None]] = to_id[np.frombuffer(b"".join([pieces[i] for i in some.tolist()]), np.uint8)]
+                symbols = self.merge_rows(symbols, sizes)
+                left = symbols >= 0
+                ids = symbols[left].astype(np.uint32).tobytes()
+                ends = np.cumsum(left.sum(axis=1)) * 4
+                a = 0
+                for i, b in zip(some.tolist(), ends.tolist()):
+                    out[i] = ids[a:b]
+                    a = b
+            wide, least = 2 * wide, wide
+        for i in np.flatnonzero(lengths > least).tolist():
+            out[i] = array("I", self.merge([self.bytes_to_ids[x] for x in pieces[i]])).tobytes()
+        return out
+
+    def _encode_together(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of a few texts; what they have of pieces not seen before is merged together."""
+        cut, special, find = self.cut, self.special, self.find
+        found: list[list[str]] = []
+        for text in texts:
+            if cut and any(s in text for s in special):
+                pieces: list[str] = []
+                for part in cut(text):
+                    pieces += (part,) if part in special else find(part)
+                found.append(pieces)
+            else:
+                found.append(find(text))
+        if len(self.seen) >= REMEMBERED:
+            self.seen.clear()
+        seen = self.seen
+        new = list({p for pieces in found for p in pieces if p not in seen})
+        plain = [p for p in new if p not in special]
+        seen.update(zip(plain, self.merge_all([p.encode() for p in plain])))
+        seen.update((p, array("I", [special[p]]).tobytes()) for p in new if p in special)
+        out = [np.frombuffer(b"".join([seen[p] for p in pieces]), np.uint32) for pieces in found]
+        for p in new:
+            if len(p) > 64:
+                del seen[p]
+        return out
+
+    def encode_all(self, texts: Iterable[str]) -> Iterator[list[int]]:
+        """The ids of each text, in their order."""
+        held, size = [], 0
+        for text in texts:
+            if held and size + len(text) > TOGETHER:
+                yield from (ids.tolist() for ids in self._encode_together(held))
+                held, size = [], 0
+            held.append(text)
+            size += len(text)
+        yield from (ids.tolist() for ids in self._encode_together(held))
 
     def encode(self, text: str) -> list[int]:
-        parts = self.cut(text) if self.cut and any(s in text for s in self.special) else (text,)
-        out: list[bytes] = []
-        for part in parts:
-            if part in self.special:
-                out.append(array("I", [self.special[part]]).tobytes())
-            else:
-                get, piece = self.seen.get, self.piece
-                out += [get(p) or piece(p) for p in self.find(part)]
-        return np.frombuffer(b"".join(out), np.uint32).tolist()
+        return next(self.encode_all([text]))
 
     def decode(self, ids: list[int]) -> str:
         pieces = self.pieces
@@ -149,7 +256,7 @@ def _encode_batches(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared)
         for batch in batches:
-            ids = pa.array([codec.encode(t or "") for t in batch.column("text").to_pylist()], pa.list_(pa.int32()))
+            ids = pa.array(codec.encode_all([t or "" for t in batch.column("text").to_pylist()]), pa.list_(pa.int32()))
             keep = [i for i, name in enumerate(batch.schema.names) if name != "text"]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(i) for i in keep] + [ids], names=[batch.schema.names[i] for i in keep] + ["ids"]
@@ -177,8 +284,7 @@ def _digest_batches(shared):
         sha = hashlib.sha256
         for batch in batches:
             rows = []
-            for text in batch.column("text"):
-                ids = codec.encode(text.as_py() or "")
+            for ids in codec.encode_all(t.as_py() or "" for t in batch.column("text")):
                 listed = ",".join([codec.numbers[i] for i in ids])
                 rows.append((len(ids), sha(listed.encode()).hexdigest(), sha(codec.decode(ids).encode()).hexdigest()))
             kinds = (pa.int64(), pa.string(), pa.string())
