@@ -1,8 +1,8 @@
 """LM scoring: a causal self-attention model over subword ids, and a smoothed unigram base.
 
-Counts come from all learning texts: words (white-space words, A-Z lower-cased, and one end per text)
-are counted, combined per task before the exchange; each distinct word is cut into subword ids once,
-which gives the counts of all ids. The ids fall into ``CLASSES`` classes: the commonest ids alone, the
+Each text is cut into subword ids once, and these are written beside it: counts, rounds of training and scores
+read them there. Counts come from all learning texts: words (white-space words, A-Z lower-cased, and one end per
+text) are counted, combined per task before the exchange. The ids fall into ``CLASSES`` classes: the commonest ids alone, the
 others by their first byte. The model gives P(class | ids before), an id has its share of its class's
 smoothed count after the class of the id before, so every text over the vocabulary has a probability.
 
@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelfmark.llm.common import Words, blocks, bytes_of, documents, held_back, signed, written
+from shelfmark.llm.common import Words, blocks, bytes_of, documents, held_back, signed, tidy, written
 
 CLASSES = 128
 SHARED_CLASSES = 40
@@ -38,6 +38,12 @@ TABLES = ("q", "k", "v", "own")
 STEPS = 6
 BATCH = 256
 RATE = 0.1
+# Rows of class scores, and windows of a text that is scored, held at a time.
+ROWS = 768
+WINDOWS = 128
+# Words whose ids a task remembers, and texts that train together, in bytes.
+REMEMBERED = 100_000
+TRAIN_BLOCK = 2 << 20
 # Parts of the id tables that are added up apart.
 PARTS = 16
 FREQUENT = 1 << 20
@@ -63,46 +69,123 @@ def ids_of_words(words: list[bytes], encode) -> list[list[int]]:
     return [encode(" " + w.decode("utf-8", "replace")) for w in words]
 
 
+def _id_bytes(names: list[bytes], encode, length_of: np.ndarray, kind: type) -> Iterator[bytes]:
+    """``ids_of_words`` as bytes; words without odd white space are cut in one go, as no piece goes on behind a space."""
+    texts = [" " + w.decode("utf-8", "replace") for w in names]
+    plain = [t[1:].isprintable() for t in texts]
+    ids = np.array(encode("".join([t for t, x in zip(texts, plain) if x])), np.int64)
+    ends = np.cumsum([len(t.encode()) for t, x in zip(texts, plain) if x], dtype=np.int64)
+    edges = iter((np.searchsorted(np.cumsum(length_of[ids]), ends) + 1).tolist())
+    flat, size, a = ids.astype(kind).tobytes(), np.dtype(kind).itemsize, 0
+    for text, x in zip(texts, plain):
+        if x:
+            b = next(edges) * size
+            yield flat[a:b]
+            a = b
+        else:
+            yield np.array(encode(text), kind).tobytes()
+
+
 # ---- counts --------------------------------------------------------------------------------
 
 
 def _word_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(hash, word, n); the end of a text is the empty word."""
+    """(hash, n) of words; the end of a text is code 0."""
     for batch in batches:
         for _, big in blocks(bytes_of(batch.column("text")), 8 << 20):
-            codes, firsts, names, rows = [], [], [], 0
+            codes, times, rows = [], [], 0
             for _, texts in blocks(big):
-                words = Words(texts)
-                unique, first, times = np.unique(words.hash, return_index=True, return_counts=True)
+                unique, n = np.unique(Words(texts).hash, return_counts=True)
                 codes.append(unique)
-                firsts.append(times)
-                names += [words.joined[a:b] for a, b in zip(words.starts[first].tolist(), words.ends[first].tolist())]
+                times.append(n)
                 rows += len(texts)
-            code, place, inverse = np.unique(np.concatenate(codes), return_index=True, return_inverse=True)
-            n = np.bincount(inverse, np.concatenate(firsts), len(code)).astype(np.int64)
-            picked = [names[i] for i in place.tolist()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.append(signed(code), 0)), pa.array([*picked, b""], pa.binary()), pa.array(np.append(n, rows))], names=["code", "word", "n"]
-            )
+            code, inverse = np.unique(np.concatenate(codes), return_inverse=True)
+            n = np.bincount(inverse, np.concatenate(times), len(code)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(signed(code), 0)), pa.array(np.append(n, rows))], names=["code", "n"])
 
 
 def word_counts(learning: DataFrame) -> DataFrame:
-    """(code, word, n) of every distinct word of ``learning`` (text), the end as code 0."""
-    counted = learning.select("text").mapInArrow(_word_batches, "code long, word binary, n long")
-    return written(counted.groupBy("code").agg(F.first("word").alias("word"), F.sum("n").alias("n")))
+    """(code, n) of every distinct word of ``learning`` (text), the end as code 0."""
+    counted = learning.select("text").mapInArrow(tidy(_word_batches), "code long, n long")
+    return written(counted.groupBy("code").agg(F.sum("n").alias("n")))
 
 
-def _id_batches(shared):
+def _id_type(end: int) -> type:
+    return np.uint16 if end < 1 << 16 else np.int32
+
+
+def _encode_batches(shared):
+    """``_llm_ids``, the ids of each text as bytes, and ``_llm_size``, the bytes of the text, behind the other columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, kind = _encoder(shared), _id_type(shared.value["end"])
+        known: dict[int, bytes] = {}
+        length_of = np.zeros(shared.value["end"] + 1, np.int64)
+        for piece, i in shared.value["ranks"].items():
+            length_of[i] = len(piece)
+        for batch in batches:
+            for first, texts in blocks(bytes_of(batch.column("text"))):
+                words = Words(texts)
+                hashes = words.hash.tolist()
+                if len(known) >= REMEMBERED:
+                    known.clear()
+                new = {h: i for i, h in enumerate(hashes) if h not in known}
+                at = np.fromiter(new.values(), np.int64, len(new))
+                names = [words.joined[a:b] for a, b in zip(words.starts[at].tolist(), words.ends[at].tolist())]
+                known.update(zip(new, _id_bytes(names, encode, length_of, kind)))
+                parts = [known[h] for h in hashes]
+                edges = np.concatenate(([0], np.cumsum(words.count)))
+                ids = [b"".join(parts[a:b]) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
+                own = batch.slice(first, len(texts))
+                yield pa.RecordBatch.from_arrays(
+                    [*own.columns, pa.array(ids, pa.binary()), pa.array([len(x) for x in texts], pa.int64())], names=[*batch.schema.names, "_llm_ids", "_llm_size"]
+                )
+
+    return run
+
+
+def encoded(docs: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+    """``docs`` with the subword ids of ``text``, written; as it is where it has them."""
+    if "_llm_ids" in docs.columns:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast({"ranks": ranks, "end": len(ranks)})
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema)
+    return written(docs.mapInArrow(tidy(_encode_batches(shared)), fields + "_llm_ids binary, _llm_size long"))
+
+
+def _stream(ids: bytes, end: int) -> np.ndarray:
+    """End id, the ids, end id."""
+    own = np.frombuffer(ids, _id_type(end))
+    out = np.empty(len(own) + 2, np.int32)
+    out[0] = out[-1] = end
+    out[1:-1] = own
+    return out
+
+
+def _stream_blocks(batch: pa.RecordBatch, end: int, size: int = TRAIN_BLOCK) -> Iterator[list[np.ndarray]]:
+    """The streams of consecutive texts of about ``size`` bytes together."""
+    streams, held = [], 0
+    for ids, n in zip(batch.column("_llm_ids").to_pylist(), batch.column("_llm_size").to_pylist()):
+        if held and held + n > size:
+            yield streams
+            streams, held = [], 0
+        streams.append(_stream(ids, end))
+        held += n + 1
+    if streams:
+        yield streams
+
+
+def _id_batches(end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(shared)
-        end = shared.value["end"]
         total = np.zeros(end + 1, np.int64)
         for batch in batches:
-            words, times = batch.column("word").to_pylist(), batch.column("n").to_numpy()
-            ids = [x if w else [end] for w, x in zip(words, ids_of_words(words, encode))]
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter((i for x in ids for i in x), np.int64, int(sizes.sum()))
-            total += np.bincount(flat, np.repeat(times, sizes), len(total)).astype(np.int64)
+            for ids in batch.column("_llm_ids").to_pylist():
+                own = np.frombuffer(ids, _id_type(end))
+                if len(own) > end:
+                    total += np.bincount(own, minlength=len(total))
+                else:
+                    np.add.at(total, own, 1)
+            total[end] += batch.num_rows
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["id", "n"])
 
@@ -113,12 +196,10 @@ def _pair_batches(shared):
     """(class of the id before, id, n) of the learning texts, added up in the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        value = shared.value
-        encode, end, kind = _encoder(shared), value["end"], value["kind"]
+        end, kind = shared.value["end"], shared.value["kind"]
         keys, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
-            for _, texts in blocks(bytes_of(batch.column("text")), 2 << 20):
-                streams = streams_of(Words(texts), len(texts), encode, end)
+            for streams in _stream_blocks(batch, end, 8 << 20):
                 before = kind[np.concatenate([s[:-1] for s in streams])]
                 pairs, n = np.unique(before * (end + 1) + np.concatenate([s[1:] for s in streams]), return_counts=True)
                 keys, place = np.unique(np.concatenate((keys, pairs)), return_inverse=True)
@@ -178,17 +259,41 @@ _LAG = np.subtract.outer(np.arange(CONTEXT), np.arange(CONTEXT)).clip(0)
 _MASK = np.where(np.tril(np.ones((CONTEXT, CONTEXT), bool)), 0, -1e9).astype(np.float32)
 
 
-def attended(model: dict, ids: np.ndarray) -> tuple[np.ndarray, tuple]:
-    """Hidden states (window, place, HIDDEN) of windows of ids; places after a text's end are masked by order."""
-    q, k, v = (model[name][ids] for name in ("q", "k", "v"))
+_ONES = np.ones(max(CONTEXT, CLASSES, WIDTH), np.float32)
+# Columns of the id tables laid side by side, and which table each is of.
+_EDGES = (0, WIDTH, 2 * WIDTH, 3 * WIDTH, 3 * WIDTH + HIDDEN)
+_TABLE_OF = np.repeat(np.eye(len(TABLES), dtype=np.float32), np.diff(_EDGES), axis=1)
+
+
+def side_by_side(model: dict) -> np.ndarray:
+    """The id tables as one, so that an id is looked up once."""
+    return np.concatenate([model[name] for name in TABLES], axis=1)
+
+
+def _softmax(close: np.ndarray) -> np.ndarray:
+    """In place, over the last axis of (window, place, place before); the diagonal is never masked."""
+    top = close.max()
+    # far from the highest number, a row is measured from its own
+    if top - close.diagonal(axis1=1, axis2=2).min() > 60:
+        top = close.max(axis=2, keepdims=True)
+    close -= top
+    np.exp(close, out=close)
+    close /= (close.reshape(-1, CONTEXT) @ _ONES[:CONTEXT]).reshape(-1, CONTEXT, 1)
+    return close
+
+
+def attended(model: dict, wide: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, tuple]:
+    """Hidden states (window and place, HIDDEN) of windows of ids; places after a text's end are masked by order."""
+    rows = wide.take(ids, axis=0)
+    q, k, v, own = (rows[..., a:b] for a, b in zip(_EDGES[:-1], _EDGES[1:]))
     close = np.matmul(q, k.transpose(0, 2, 1))
     close *= np.float32(WIDTH**-0.5)
     close += model["near"] + _MASK
-    close -= close.max(axis=2, keepdims=True)
-    weight = np.exp(close)
-    weight /= weight.sum(axis=2, keepdims=True)
+    weight = _softmax(close)
     mixed = np.matmul(weight, v)
-    return mixed @ model["mix"] + model["own"][ids], (q, k, v, weight, mixed)
+    hidden = mixed.reshape(-1, WIDTH) @ model["mix"]
+    hidden += own.reshape(-1, HIDDEN)
+    return hidden, (q, k, v, weight, mixed)
 
 
 def new_model(size: int, start: np.ndarray, seed: int = 7) -> dict:
@@ -210,32 +315,49 @@ def new_state(model: dict) -> dict:
     return {**model, **sums}
 
 
-def _slopes(state: dict, kind_of: np.ndarray, ids: np.ndarray, goal: np.ndarray, scored: np.ndarray) -> tuple[dict, dict]:
-    """Mean slopes of the cross entropy of one batch of windows: of the dense weights, and at each place of the id tables."""
-    hidden, (q, k, v, weight, mixed) = attended(state, ids)
-    used = hidden[scored]
-    p = used @ state["out"]
-    p += state["bias"]
-    np.exp(p, out=p)
-    p *= np.float32(1 / len(p)) / p.sum(axis=1, keepdims=True)
-    p[np.arange(len(p)), kind_of[goal[scored]]] -= np.float32(1 / len(p))
-    dense = {"out": used.T @ p, "bias": p.sum(axis=0)}
+def _with_bias(model: dict) -> np.ndarray:
+    return np.concatenate((model["out"], model["bias"][None, :]))
+
+
+def _slopes(state: dict, wide: np.ndarray, ids: np.ndarray, scored: np.ndarray, goal: np.ndarray) -> tuple[dict, np.ndarray]:
+    """Mean slopes of the cross entropy of one batch of windows: of the dense weights, and at each place of the id tables.
+
+    ``scored`` are numbers of places, ``goal`` the classes that follow there.
+    """
+    hidden, (q, k, v, weight, mixed) = attended(state, wide, ids)
     d_hidden = np.zeros_like(hidden)
-    d_hidden[scored] = p @ state["out"].T
-    dense["mix"] = mixed.reshape(-1, WIDTH).T @ d_hidden.reshape(-1, HIDDEN)
-    d_mixed = d_hidden @ state["mix"].T
-    d_weight = np.matmul(d_mixed, v.transpose(0, 2, 1))
-    d_weight -= (d_weight * weight).sum(axis=2, keepdims=True)
-    d_close = weight * d_weight
+    # the bias is the weight of a last number that is always 1
+    forth, back = _with_bias(state), np.ascontiguousarray(state["out"].T)
+    d_forth = np.zeros_like(forth)
+    scores, used = np.empty((ROWS, CLASSES), np.float32), np.empty((ROWS, HIDDEN + 1), np.float32)
+    for a in range(0, len(scored), ROWS):
+        at, some = scored[a : a + ROWS], goal[a : a + ROWS]
+        p, h = scores[: len(at)], used[: len(at)]
+        h[:, :HIDDEN], h[:, HIDDEN] = hidden[at], 1
+        np.matmul(h, forth, out=p)
+        np.exp(p, out=p)
+        total = p @ _ONES[:CLASSES]
+        p[np.arange(len(p)), some] -= total
+        share = (1 / (total * np.float32(len(scored))))[:, None]
+        d_hidden[at] = (p @ back) * share
+        h *= share
+        d_forth += h.T @ p
+    dense = {"out": d_forth[:HIDDEN], "bias": d_forth[HIDDEN]}
+    dense["mix"] = mixed.reshape(-1, WIDTH).T @ d_hidden
+    d_mixed = (d_hidden @ state["mix"].T).reshape(mixed.shape)
+    d_close = np.matmul(d_mixed, v.transpose(0, 2, 1))
+    d_close -= ((d_mixed * mixed).reshape(-1, WIDTH) @ _ONES[:WIDTH]).reshape(-1, CONTEXT, 1)
+    d_close *= weight
     # a lag has one number wherever it stands in the window
-    by_lag = np.bincount(_LAG.ravel(), np.tril(d_close.sum(axis=0)).ravel(), CONTEXT)
+    summed = (np.ones(len(ids), np.float32) @ d_close.reshape(len(ids), -1)).reshape(CONTEXT, CONTEXT)
+    by_lag = np.bincount(_LAG.ravel(), np.tril(summed).ravel(), CONTEXT)
     dense["near"] = np.tril(by_lag[_LAG]).astype(np.float32)
     d_close *= np.float32(WIDTH**-0.5)
-    places = {
-        "q": np.matmul(d_close, k), "k": np.matmul(d_close.transpose(0, 2, 1), q),
-        "v": np.matmul(weight.transpose(0, 2, 1), d_mixed), "own": d_hidden,
-    }
-    return dense, places
+    places = np.empty((*ids.shape, _EDGES[-1]), np.float32)
+    found = (np.matmul(d_close, k), np.matmul(d_close.transpose(0, 2, 1), q), np.matmul(weight.transpose(0, 2, 1), d_mixed), d_hidden.reshape(*ids.shape, HIDDEN))
+    for a, b, slope in zip(_EDGES[:-1], _EDGES[1:], found):
+        places[..., a:b] = slope
+    return dense, places.reshape(-1, _EDGES[-1])
 
 
 def train(state: dict, streams: list[np.ndarray], kind: np.ndarray, seen: np.ndarray, rate: float, passes: int = 1, seed: int = 11) -> int:
@@ -244,29 +366,38 @@ def train(state: dict, streams: list[np.ndarray], kind: np.ndarray, seen: np.nda
     ``seen`` counts the batches that moved each row of the id tables; returns the number of batches.
     """
     random = np.random.default_rng(seed)
-    inputs, goals = np.concatenate([s[:-1] for s in streams]), np.concatenate([s[1:] for s in streams])
     place, fresh = windows_of(np.array([len(s) - 1 for s in streams]))
+    np.maximum(place, 0, out=place)
+    inputs = np.concatenate([s[:-1] for s in streams])[place]
+    goals = kind[np.concatenate([s[1:] for s in streams])][place]
+    narrow = np.uint16 if len(kind) <= 1 << 16 else np.int64
+    wide, sums = side_by_side(state), np.concatenate([state[f"sum_{name}"] for name in TABLES], axis=1)
+    mean_of = np.ascontiguousarray((_TABLE_OF / np.diff(_EDGES)[:, None]).T.astype(np.float32))
+    rate, least = np.float32(rate), np.float32(1e-6)
     batches = 0
     for _ in range(passes):
         order = random.permutation(len(place))
         for i in range(0, len(order), BATCH):
-            at, scored = place[order[i : i + BATCH]], fresh[order[i : i + BATCH]]
-            ids, goal = inputs[np.maximum(at, 0)], goals[np.maximum(at, 0)]
-            dense, places = _slopes(state, kind, ids, goal, scored)
+            some = order[i : i + BATCH]
+            ids, scored = inputs[some], np.flatnonzero(fresh[some])
+            dense, places = _slopes(state, wide, ids, scored, goals[some].ravel()[scored])
             for name, g in dense.items():
                 state[f"sum_{name}"] += g * g
-                state[name] -= np.float32(rate) * g / (np.sqrt(state[f"sum_{name}"]) + np.float32(1e-6))
-            by_id = np.argsort(ids, axis=None, kind="stable")
+                state[name] -= rate * g / (np.sqrt(state[f"sum_{name}"]) + least)
+            # 16 bits are sorted by counting
+            by_id = np.argsort(ids.ravel().astype(narrow), kind="stable")
             sorted_ids = ids.ravel()[by_id]
             edge = np.flatnonzero(np.concatenate(([True], sorted_ids[1:] != sorted_ids[:-1])))
             rows = sorted_ids[edge]
             seen[rows] += 1
-            wide = np.concatenate([places[name] for name in TABLES], axis=2)
-            wide = np.add.reduceat(wide.reshape(len(by_id), -1)[by_id], edge, axis=0)
-            for name, g in zip(TABLES, np.split(wide, (WIDTH, 2 * WIDTH, 3 * WIDTH), axis=1)):
-                state[f"sum_{name}"][rows] += (g * g).mean(axis=1, keepdims=True)
-                state[name][rows] -= np.float32(rate) * g / (np.sqrt(state[f"sum_{name}"][rows]) + np.float32(1e-6))
+            g = np.add.reduceat(places.take(by_id, axis=0), edge, axis=0)
+            total = sums[rows] + (g * g) @ mean_of
+            sums[rows] = total
+            g *= (rate / (np.sqrt(total) + least)) @ _TABLE_OF
+            wide[rows] -= g
             batches += 1
+    for name, table, total in zip(TABLES, np.split(wide, _EDGES[1:-1], axis=1), np.split(sums, len(TABLES), axis=1)):
+        state[name][:], state[f"sum_{name}"][:] = table, total
     return batches
 
 
@@ -275,12 +406,11 @@ def _round_batches(shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         value = shared.value
-        encode, end, kind = _encoder(shared), value["end"], value["kind"]
+        end, kind = value["end"], value["kind"]
         state = {name: x.copy() for name, x in value["state"].items()}
         seen, steps = np.zeros(end + 1, np.int64), 0
         for batch in batches:
-            for _, texts in blocks(bytes_of(batch.column("text")), 2 << 20):
-                streams = streams_of(Words(texts), len(texts), encode, end)
+            for streams in _stream_blocks(batch, end):
                 steps += train(state, streams, kind, seen, value["rate"])
         if not steps:
             return
@@ -327,18 +457,20 @@ def _sum_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def trained(learning: DataFrame, model: dict, value: dict) -> dict:
-    """The model after ``STEPS`` rounds over disjoint parts of all learning rows (text, pick).
+    """The model after ``STEPS`` rounds over disjoint parts of all learning rows (text, pick, and ids where there).
 
     In a round every task goes on from the same model with its own texts; each row of weights then moves by the
     mean of the tasks' changes, weighted by the batches that moved it. A text trains in one round, once, whatever the
     size of the input. The size of a model is fixed.
     """
     context = learning.sparkSession.sparkContext
+    learning = encoded(learning, value["ranks"])
+    coded = {name: value[name] for name in ("end", "kind")}
     state = new_state(model)
     for step in range(STEPS):
-        shared = context.broadcast({**value, "state": state, "rate": RATE * (1 - 0.8 * step / STEPS)})
-        some = learning.where(F.pmod("pick", F.lit(STEPS)) == step).select("text")
-        changes = some.mapInArrow(_round_batches(shared), "name string, part int, at binary, weight binary, change binary")
+        shared = context.broadcast({**coded, "state": state, "rate": RATE * (1 - 0.8 * step / STEPS)})
+        some = learning.where(F.pmod("pick", F.lit(STEPS)) == step).select("_llm_ids", "_llm_size")
+        changes = some.mapInArrow(tidy(_round_batches(shared)), "name string, part int, at binary, weight binary, change binary")
         for row in changes.repartition(PARTS, "name", "part").mapInArrow(_sum_batches, "name string, at binary, mean binary").collect():
             at = np.frombuffer(row["at"], np.int64)
             np.atleast_2d(state[row["name"]])[at] += np.frombuffer(row["mean"], np.float32).reshape(len(at), -1)
@@ -346,22 +478,26 @@ def trained(learning: DataFrame, model: dict, value: dict) -> dict:
     return {name: state[name] for name in model}
 
 
-def log_probabilities(model: dict, kind: np.ndarray, inside: np.ndarray, streams: list[np.ndarray]) -> np.ndarray:
-    """log10 P of each stream's ids after the first."""
+def log_probabilities(model: dict, kind: np.ndarray, inside: np.ndarray, streams: list[np.ndarray], wide: np.ndarray | None = None) -> np.ndarray:
+    """log10 P of each stream's ids after the first; ``wide``: the model's tables ``side_by_side``."""
     inputs, goals = np.concatenate([s[:-1] for s in streams]), np.concatenate([s[1:] for s in streams])
     sizes = np.array([len(s) - 1 for s in streams])
     place, fresh = windows_of(sizes)
-    out = np.empty(len(inputs))
-    for i in range(0, len(place), 512):
-        at, scored = place[i : i + 512], fresh[i : i + 512]
-        hidden, _ = attended(model, inputs[np.maximum(at, 0)])
-        use = at[scored]
-        logits = hidden[scored] @ model["out"]
-        logits += model["bias"]
-        goal = goals[use]
-        top = logits[np.arange(len(use)), kind[goal]]
+    wide = side_by_side(model) if wide is None else wide
+    goal_kinds = kind[goals]
+    out = (inside[goals] if inside.ndim == 1 else inside[kind[inputs], goals]).astype(np.float64)
+    forth = _with_bias(model)
+    scores, used = np.empty((WINDOWS * CONTEXT, CLASSES), np.float32), np.ones((WINDOWS * CONTEXT, HIDDEN + 1), np.float32)
+    for i in range(0, len(place), WINDOWS):
+        at, scored = place[i : i + WINDOWS], np.flatnonzero(fresh[i : i + WINDOWS])
+        hidden, _ = attended(model, wide, inputs[np.maximum(at, 0)])
+        use = at.ravel()[scored]
+        logits, h = scores[: len(use)], used[: len(use)]
+        h[:, :HIDDEN] = hidden[scored]
+        np.matmul(h, forth, out=logits)
+        top = logits[np.arange(len(use)), goal_kinds[use]]
         np.exp(logits, out=logits)
-        out[use] = top - np.log(logits.sum(axis=1)) + (inside[goal] if inside.ndim == 1 else inside[kind[inputs[use]], goal])
+        out[use] += top - np.log(logits @ _ONES[:CLASSES])
     return np.bincount(np.repeat(np.arange(len(sizes)), sizes), out, len(sizes)) / np.log(10)
 
 
@@ -387,24 +523,25 @@ def streams_of(words: Words, n: int, encode, end: int) -> list[np.ndarray]:
 def _score_batches(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         value = shared.value
-        encode, end = _encoder(shared), value["end"]
+        end, wide = value["end"], side_by_side(value["model"])
         codes, counts = value["codes"], value["counts"]
         base = value["total"] + 0.1 * (value["distinct"] + 1)
         end_part = np.log10((value["ends"] + 0.1) / base)
         for batch in batches:
             columns: list[list] = [[] for _ in range(6)]
-            for _, texts in blocks(bytes_of(batch.column("text")), 2 << 20):
+            ids = batch.column("_llm_ids").to_pylist()
+            for first, texts in blocks(bytes_of(batch.column("text")), 2 << 20):
                 words = Words(texts)
                 n = len(texts)
                 at = np.searchsorted(codes, signed(words.hash))
                 at[at == len(codes)] = 0
                 known = codes[at] == signed(words.hash) if len(codes) else np.zeros(len(at), bool)
                 part = np.where(known, np.log10((counts[at] if len(counts) else 0) + 0.1) - np.log10(base), 0.0)
-                streams = streams_of(words, n, encode, end)
+                streams = [_stream(x, end) for x in ids[first : first + n]]
                 columns[0] += (words.count + 1).tolist()
                 columns[1] += (np.bincount(words.text, known, n).astype(np.int64) + (value["ends"] > 0)).tolist()
                 columns[2] += (np.bincount(words.text, part, n) + end_part).tolist()
-                columns[3] += log_probabilities(value["model"], value["kind"], value["inside"], streams).tolist()
+                columns[3] += log_probabilities(value["model"], value["kind"], value["inside"], streams, wide).tolist()
                 rare = np.flatnonzero(~known)
                 edges = np.searchsorted(words.text[rare], np.arange(n + 1)).tolist()
                 left = signed(words.hash[rare])
@@ -413,7 +550,7 @@ def _score_batches(shared):
                     columns[4].append(code)
                     columns[5].append(times)
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-            keep = [i for i, name in enumerate(batch.schema.names) if name != "text"]
+            keep = [i for i, name in enumerate(batch.schema.names) if name not in ("text", "_llm_ids")]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(i) for i in keep] + [pa.array(c, k) for c, k in zip(columns, kinds)],
                 names=[batch.schema.names[i] for i in keep] + ["n_tokens", "n_frequent", "part", "score", "rare", "times"],
@@ -423,15 +560,15 @@ def _score_batches(shared):
 
 
 def fit(learning: DataFrame, path: str, frequent: int = FREQUENT) -> tuple[DataFrame, dict]:
-    """(word counts, model) from learning rows (text, pick); pick deals the texts to the rounds of training."""
+    """(word counts, model) from learning rows (text, pick, and ids where ``encoded``); pick deals the texts to the rounds of training."""
     context = learning.sparkSession.sparkContext
     ranks = read_ranks(path)
     end = len(ranks)
+    learning = encoded(learning, ranks)
     counts = word_counts(learning)
     sums = counts.agg(F.sum("n"), F.count(F.lit(1)), F.sum(F.when(F.col("code") == 0, F.col("n")))).first()
     total, distinct, ends = (int(x or 0) for x in sums)
-    shared = context.broadcast({"ranks": ranks, "end": end})
-    by_id = counts.select("word", "n").mapInArrow(_id_batches(shared), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    by_id = learning.select("_llm_ids").mapInArrow(tidy(_id_batches(end)), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     of_id = np.zeros(end + 1)
     for row in by_id:
         of_id[row["id"]] = row["n"]
@@ -446,7 +583,8 @@ def fit(learning: DataFrame, path: str, frequent: int = FREQUENT) -> tuple[DataF
     common = counts.where((F.col("code") != 0) & (F.least("n", F.lit(4096)) >= least)).select("code", "n").orderBy("code").toArrow()
     by_class = np.bincount(kind, of_id + 0.1, CLASSES)
     coded = {"ranks": ranks, "end": end, "kind": kind}
-    pairs = learning.select("text").mapInArrow(_pair_batches(context.broadcast(coded)), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).orderBy("pair").toArrow()
+    in_order = learning.select("_llm_ids", "_llm_size")
+    pairs = in_order.mapInArrow(tidy(_pair_batches(context.broadcast({"end": end, "kind": kind}))), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).orderBy("pair").toArrow()
     inside = shares_after(kind, inside, pairs.column("pair").to_numpy(), pairs.column("n").to_numpy())
     model = trained(learning, new_model(end + 1, np.log(by_class / by_class.sum())), coded)
     value = {
@@ -458,12 +596,13 @@ def fit(learning: DataFrame, path: str, frequent: int = FREQUENT) -> tuple[DataF
 
 def score(docs: DataFrame, counts: DataFrame, model: dict) -> DataFrame:
     """n_tokens, n_known, train_tokens, base_score, score in place of ``text``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    keys = [f for f in docs.schema if f.name != "text"]
+    docs = encoded(docs, model["ranks"])
+    shared = docs.sparkSession.sparkContext.broadcast({name: x for name, x in model.items() if name != "ranks"})
+    keys = [f for f in docs.schema if f.name not in ("text", "_llm_ids", "_llm_size")]
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in keys)
-    rows = docs.withColumn("_llm_row", F.monotonically_increasing_id()).select(*[f.name for f in keys], "_llm_row", "text")
+    rows = docs.withColumn("_llm_row", F.monotonically_increasing_id()).select(*[f.name for f in keys], "_llm_row", "text", "_llm_ids")
     # written once: the number of a row is kept with it
-    scored = written(rows.mapInArrow(_score_batches(shared), fields + "_llm_row long, n_tokens long, n_frequent long, part double, score double, rare array<long>, times array<long>"))
+    scored = written(rows.mapInArrow(tidy(_score_batches(shared)), fields + "_llm_row long, n_tokens long, n_frequent long, part double, score double, rare array<long>, times array<long>"))
     rare = scored.where(F.size("rare") > 0).select("_llm_row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("_llm_row", F.col("r.rare").alias("code"), F.col("r.times").alias("times"))
     left = counts.where((F.col("code") != 0) & (F.least("n", F.lit(4096)) < model["least"])).select("code", "n")
     base = model["total"] + 0.1 * (model["distinct"] + 1)
@@ -481,8 +620,9 @@ def score(docs: DataFrame, counts: DataFrame, model: dict) -> DataFrame:
 def op5_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
-    docs = documents(spark, folder).select("doc_id", "text")
-    held_out = held_back(10, 0)
-    learning = docs.where(~held_out).select("text", F.xxhash64("doc_id", "text").alias("pick"))
-    counts, model = fit(learning, public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    return score(docs.select("doc_id", held_out.alias("held_out"), "text"), counts, model)
+    docs = documents(spark, folder).select("doc_id", held_back(10, 0).alias("held_out"), "text", F.xxhash64("doc_id", "text").alias("pick"))
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    docs = encoded(docs, read_ranks(path))
+    learning = docs.where("not held_out").select("text", "pick", "_llm_ids", "_llm_size")
+    counts, model = fit(learning, path)
+    return score(docs.select("doc_id", "held_out", "text", "_llm_ids"), counts, model)

@@ -1,5 +1,6 @@
 import random
 
+import brute
 import numpy as np
 import public_tokenizers
 
@@ -27,3 +28,56 @@ def test_new_pieces_are_merged_together(monkeypatch):
     pieces = [bytes(dice.choices(b"abcest ", k=dice.randint(1, 40))) for _ in range(500)]
     got = [np.frombuffer(x, np.uint32).tolist() for x in codec.merge_all(pieces)]
     assert got == [merge([codec.bytes_to_ids[b] for b in p]) for p in pieces]
+
+
+def test_lm_cuts_each_text_into_ids_once(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from shelfmark.llm import lm_scoring as lm
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ranks = lm.read_ranks(path)
+    texts = ["The quick brown fox", "a  b c 　d\x85e don't l'été 日本 😀 \x1cq", "", None, "Zero ~~ line\nthe quick"] * 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("pick", F.col("doc_id"))
+    cuts = []
+    cut = lm._encode_batches
+    monkeypatch.setattr(lm, "_encode_batches", lambda shared: cuts.append(1) or cut(shared))
+    with_ids = lm.encoded(docs, ranks)
+    encode = lm._encoder(type("", (), {"value": {"ranks": ranks}}))
+    for row in with_ids.collect():
+        words = [w.encode() for w in brute.words(row.text)]
+        assert lm._stream(row["_llm_ids"], len(ranks)).tolist() == [len(ranks), *(i for x in lm.ids_of_words(words, encode) for i in x), len(ranks)]
+    counts, model = lm.fit(with_ids, path)
+    out = lm.score(with_ids.drop("pick"), counts, model).collect()
+    # counts, rounds of training and scores all read the ids that were written
+    assert len(cuts) == 1 and len(out) == len(texts) and all(r.score < 0 for r in out)
+
+
+def test_lm_slopes_are_those_of_the_cross_entropy():
+    from shelfmark.llm import lm_scoring as lm
+
+    size = 60
+    dice = np.random.default_rng(3)
+    state = lm.new_state(lm.new_model(size, np.zeros(lm.CLASSES)))
+    kind = dice.integers(0, lm.CLASSES, size)
+    ids = dice.integers(0, size, (5, lm.CONTEXT))
+    scored, goal = np.arange(0, ids.size, 2), kind[dice.integers(0, size, -(-ids.size // 2))]
+
+    def loss() -> float:
+        hidden, _ = lm.attended(state, lm.side_by_side(state), ids)
+        logits = (hidden[scored] @ state["out"] + state["bias"]).astype(float)
+        return float((np.log(np.exp(logits).sum(axis=1)) - logits[np.arange(len(goal)), goal]).mean())
+
+    dense, places = lm._slopes(state, lm.side_by_side(state), ids, scored, goal)
+    by_id = np.zeros((size, places.shape[1]))
+    np.add.at(by_id, ids.ravel(), places)
+    found = {**dense, **dict(zip(lm.TABLES, np.split(by_id, lm._EDGES[1:-1], axis=1)))}
+    for name in ("q", "k", "v", "own", "mix", "out", "bias"):
+        at = np.unravel_index(np.abs(found[name]).argmax(), found[name].shape)
+        kept, step = state[name][at], np.float32(0.05)
+        state[name][at] = kept + step
+        more = loss()
+        state[name][at] = kept - step
+        less = loss()
+        state[name][at] = kept
+        assert abs((more - less) / (2 * step) - found[name][at]) < 0.05 * abs(found[name][at]) + 1e-5
