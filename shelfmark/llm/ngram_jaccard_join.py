@@ -38,6 +38,8 @@ WORDS = 5
 # A shingle is frequent from so many documents on; at most FREQUENT_LIMIT of them are told apart.
 FREQUENT = 24
 FREQUENT_LIMIT = 1 << 20
+# Bits of a rare shingle by which points meet: shingles that fall together only bring more points into a region.
+MEET_BITS = (1 << 48) - 1
 # Shingles of all points together that one task handles as a region.
 REGION = 1_500_000
 # Pivots of a large region in one round, and their shingles.
@@ -160,7 +162,7 @@ def _prefix_batches(size: int, frequent):
                         meet = rare[:length]
                         near, times = np.unique(pivots[at[common][: length - len(meet)]], return_counts=True)
                         rows[0].append(np.repeat([False, True], [len(meet), len(near)]))
-                        rows[1].append(np.concatenate((meet, near)))
+                        rows[1].append(np.concatenate((meet & MEET_BITS, near)))
                         rows[2].append(np.full(len(meet) + len(near), point, np.int64))
                         rows[3].append(np.concatenate((np.ones(len(meet), np.int32), times.astype(np.int32))))
                 if rows[0]:

@@ -81,3 +81,44 @@ def test_lm_slopes_are_those_of_the_cross_entropy():
         less = loss()
         state[name][at] = kept
         assert abs((more - less) / (2 * step) - found[name][at]) < 0.05 * abs(found[name][at]) + 1e-5
+
+
+def test_texts_cross_the_exchange_packed():
+    import pyarrow as pa
+
+    from shelfmark.llm import suffix_array_dedup as sa
+
+    texts = ["one two three four five six seven " * 20, "é" * 300, "plain text that no one else has, " * 12]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, None, 3]), pa.array([11, 12, 13]), pa.array(texts)], names=["doc_id", "text_key", "text"])
+    (packed,) = sa._pack_batches([batch])
+    assert sum(map(len, packed.column("packed").to_pylist())) < sum(len(t.encode()) for t in texts) / 2
+    owner, rank, begin, end, data, begins = sa.window_anchors([t.encode() for t in texts])
+    lists = pa.array([sa.signed(rank[owner == i]).tolist() for i in range(3)], pa.list_(pa.int64()))
+    (out,) = sa._context_batches(sa.LENGTH, sa.ANCHOR)([packed.append_column("ranks", lists)])
+    whole = [texts[i].encode()[b - begins[i] : e - begins[i] + sa.LENGTH] for i, b, e in zip(owner.tolist(), begin.tolist(), end.tolist())]
+    assert out.column("bytes").to_pylist() == whole
+    assert out.column("rank").to_pylist() == sa.signed(rank).tolist()
+    assert set(zip(out.column("doc_id").to_pylist(), out.column("text_key").to_pylist())) == {(1, 11), (None, 12), (3, 13)}
+
+
+def test_rare_shingles_meet_by_48_bits_and_lose_no_link(spark, monkeypatch):
+    import pyarrow as pa
+
+    from shelfmark.llm import ngram_jaccard_join as join
+
+    dice = random.Random(9)
+    words = [f"word{i}" for i in range(400)]
+    rows = []
+    for i in range(60):
+        text = dice.choices(words, k=40)
+        rows += [(3 * i, " ".join(text)), (3 * i + 1, " ".join([*text, "end"])), (3 * i + 2, " ".join(dice.choices(words, k=30)))]
+    empty = type("", (), {"value": (np.zeros(0, np.int64), np.zeros(0, np.int64))})
+    batch = pa.RecordBatch.from_arrays([pa.array([t for _, t in rows])], names=["text"])
+    meets = np.concatenate([b.column("meet").to_numpy() for b in join._prefix_batches(join.WORDS, empty)([batch])])
+    assert len(meets) and meets.min() >= 0 and meets.max() < 1 << 48
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = sorted((r.doc_id, r.n_shingles, r.component_id) for r in join.jaccard_components(docs).collect())
+    assert sum(d != c for d, _, c in expected) >= 60
+    # very few bits: nearly all shingles fall together, which only makes regions larger
+    monkeypatch.setattr(join, "MEET_BITS", 3)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in join.jaccard_components(docs).collect()) == expected
