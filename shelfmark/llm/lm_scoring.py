@@ -23,9 +23,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelfmark.llm.common import Words, blocks, bytes_of, documents, held_back, signed, tidy, written
+from shelfmark.llm.common import BLOCK_BYTES, Words, blocks, bytes_of, documents, held_back, signed, tidy, written
 
 CLASSES = 128
 SHARED_CLASSES = 40
@@ -42,8 +43,10 @@ RATE = 0.1
 ROWS = 768
 WINDOWS = 128
 # Words whose ids a task remembers, and texts that train together, in bytes.
-REMEMBERED = 100_000
+REMEMBERED = 300_000
 TRAIN_BLOCK = 2 << 20
+# Bytes of the batches in which texts go to the cutting into ids and to the scores.
+TEXT_BATCH = 4 << 20
 # Parts of the id tables that are added up apart.
 PARTS = 16
 FREQUENT = 1 << 20
@@ -69,21 +72,96 @@ def ids_of_words(words: list[bytes], encode) -> list[list[int]]:
     return [encode(" " + w.decode("utf-8", "replace")) for w in words]
 
 
-def _id_bytes(names: list[bytes], encode, length_of: np.ndarray, kind: type) -> Iterator[bytes]:
-    """``ids_of_words`` as bytes; words without odd white space are cut in one go, as no piece goes on behind a space."""
-    texts = [" " + w.decode("utf-8", "replace") for w in names]
-    plain = [t[1:].isprintable() for t in texts]
-    ids = np.array(encode("".join([t for t, x in zip(texts, plain) if x])), np.int64)
-    ends = np.cumsum([len(t.encode()) for t, x in zip(texts, plain) if x], dtype=np.int64)
-    edges = iter((np.searchsorted(np.cumsum(length_of[ids]), ends) + 1).tolist())
-    flat, size, a = ids.astype(kind).tobytes(), np.dtype(kind).itemsize, 0
-    for text, x in zip(texts, plain):
-        if x:
-            b = next(edges) * size
-            yield flat[a:b]
-            a = b
-        else:
-            yield np.array(encode(text), kind).tobytes()
+def ragged(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Places ``begin``, ``begin + 1`` and so on, ``size`` of each, end to end."""
+    ends = np.cumsum(size)
+    out = np.repeat(begin - ends + size, size)
+    out += np.arange(len(out))
+    return out
+
+
+def _flat_ids(words: Words, place: np.ndarray, encode, length_of: np.ndarray, kind: type) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``ids_of_words`` of the words at ``place`` end to end, and where each one's ids begin and how many they are.
+
+    Words without odd white space are cut in one go, as no piece goes on behind a space.
+    """
+    starts, ends = words.starts[place], words.ends[place]
+    strange = np.concatenate(([0], np.cumsum((words.data < 0x21) | (words.data > 0x7E), dtype=np.int64)))
+    ascii = strange[ends] == strange[starts]
+    # in the joined text a space or a line end goes before each word, but for the first
+    taken = words.data.take(ragged(starts[ascii] - 1, ends[ascii] - starts[ascii] + 1), mode="clip")
+    heads = np.cumsum(ends[ascii] - starts[ascii] + 1)
+    taken[np.concatenate(([0], heads[:-1]))[: len(heads)]] = 0x20
+    others = [" " + words.joined[a:b].decode("utf-8", "replace") for a, b in zip(starts[~ascii].tolist(), ends[~ascii].tolist())]
+    plain = np.fromiter((t[1:].isprintable() for t in others), bool, len(others))
+    ids = np.array(encode(taken.tobytes().decode("ascii") + "".join([t for t, x in zip(others, plain) if x])), np.int64)
+    odd = [encode(t) for t, x in zip(others, plain) if not x]
+    lengths = np.concatenate((ends[ascii] - starts[ascii] + 1, np.array([len(t.encode()) for t, x in zip(others, plain) if x], np.int64)))
+    edge = np.concatenate(([0], np.searchsorted(np.cumsum(length_of[ids]), np.cumsum(lengths)) + 1, len(ids) + np.cumsum([len(x) for x in odd], dtype=np.int64)))
+    foreign = np.flatnonzero(~ascii)
+    order = np.concatenate((np.flatnonzero(ascii), foreign[plain], foreign[~plain]))
+    begin, size = np.empty(len(place), np.int64), np.empty(len(place), np.int64)
+    begin[order], size[order] = edge[:-1], np.diff(edge)
+    return np.concatenate([ids.astype(kind), *(np.array(x, kind) for x in odd)]), begin, size
+
+
+def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different hashes in order, a place of each, and the number of the hash at every place."""
+    order = np.argsort(hashes)
+    ordered = hashes[order]
+    new = np.ones(len(hashes), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    number = np.empty(len(hashes), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return ordered[new], order[new], number
+
+
+class CutWords:
+    """The subword ids of the words a task has met, by hash; forgets them all when they are too many."""
+
+    def __init__(self, ranks: dict[bytes, int], end: int, encode) -> None:
+        self.encode, self.kind = encode, _id_type(end)
+        self.length_of = np.zeros(end + 1, np.int64)
+        for piece, i in ranks.items():
+            self.length_of[i] = len(piece)
+        self.forget()
+
+    def forget(self) -> None:
+        self.hashes, self.flat = np.zeros(0, np.uint64), np.zeros(0, self.kind)
+        self.begin, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _missing(self, hashes: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.hashes, hashes)
+        have = at < len(self.hashes)
+        have[have] = self.hashes[at[have]] == hashes[have]
+        return np.flatnonzero(~have)
+
+    def ids(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words of the texts end to end, and the edges of each text's ids."""
+        unique, place, number = distinct(words.hash)
+        if len(self.hashes) >= REMEMBERED:
+            self.forget()
+        new = self._missing(unique)
+        if len(new):
+            flat, begin, size = _flat_ids(words, place[new], self.encode, self.length_of, self.kind)
+            to = np.searchsorted(self.hashes, unique[new])
+            self.begin, self.size = np.insert(self.begin, to, begin + len(self.flat)), np.insert(self.size, to, size)
+            self.hashes, self.flat = np.insert(self.hashes, to, unique[new]), np.concatenate((self.flat, flat))
+        at = np.searchsorted(self.hashes, unique)
+        own = self.size[at][number]
+        edges = np.concatenate(([0], np.cumsum(own)))
+        return self.flat.take(ragged(self.begin[at][number], own)), edges[np.concatenate(([0], np.cumsum(words.count)))]
+
+
+def slices(batch: pa.RecordBatch, size: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows whose texts have about ``size`` bytes together."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    first = 0
+    while first < len(ends):
+        held = ends[first - 1] if first else 0
+        last = max(int(np.searchsorted(ends, held + size, side="right")), first + 1)
+        yield batch.slice(first, last - first)
+        first = last
 
 
 # ---- counts --------------------------------------------------------------------------------
@@ -118,27 +196,15 @@ def _encode_batches(shared):
     """``_llm_ids``, the ids of each text as bytes, and ``_llm_size``, the bytes of the text, behind the other columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, kind = _encoder(shared), _id_type(shared.value["end"])
-        known: dict[int, bytes] = {}
-        length_of = np.zeros(shared.value["end"] + 1, np.int64)
-        for piece, i in shared.value["ranks"].items():
-            length_of[i] = len(piece)
+        cut = CutWords(shared.value["ranks"], shared.value["end"], _encoder(shared))
         for batch in batches:
-            for first, texts in blocks(bytes_of(batch.column("text"))):
-                words = Words(texts)
-                hashes = words.hash.tolist()
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                new = {h: i for i, h in enumerate(hashes) if h not in known}
-                at = np.fromiter(new.values(), np.int64, len(new))
-                names = [words.joined[a:b] for a, b in zip(words.starts[at].tolist(), words.ends[at].tolist())]
-                known.update(zip(new, _id_bytes(names, encode, length_of, kind)))
-                parts = [known[h] for h in hashes]
-                edges = np.concatenate(([0], np.cumsum(words.count)))
-                ids = [b"".join(parts[a:b]) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
-                own = batch.slice(first, len(texts))
+            for own in slices(batch):
+                texts = bytes_of(own.column("text"))
+                ids, edges = cut.ids(Words(texts))
+                edges = (edges * ids.itemsize).astype(np.int32)
+                coded = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(edges), pa.py_buffer(ids)])
                 yield pa.RecordBatch.from_arrays(
-                    [*own.columns, pa.array(ids, pa.binary()), pa.array([len(x) for x in texts], pa.int64())], names=[*batch.schema.names, "_llm_ids", "_llm_size"]
+                    [*own.columns, coded, pa.array([len(x) for x in texts], pa.int64())], names=[*batch.schema.names, "_llm_ids", "_llm_size"]
                 )
 
     return run
@@ -150,7 +216,7 @@ def encoded(docs: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
         return docs
     shared = docs.sparkSession.sparkContext.broadcast({"ranks": ranks, "end": len(ranks)})
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema)
-    return written(docs.mapInArrow(tidy(_encode_batches(shared)), fields + "_llm_ids binary, _llm_size long"))
+    return written(docs.mapInArrow(tidy(_encode_batches(shared)), fields + "_llm_ids binary, _llm_size long"), TEXT_BATCH)
 
 
 def _stream(ids: bytes, end: int) -> np.ndarray:
@@ -274,26 +340,33 @@ def _softmax(close: np.ndarray) -> np.ndarray:
     """In place, over the last axis of (window, place, place before); the diagonal is never masked."""
     top = close.max()
     # far from the highest number, a row is measured from its own
-    if top - close.diagonal(axis1=1, axis2=2).min() > 60:
+    if top - close.diagonal(CONTEXT - close.shape[1], axis1=1, axis2=2).min() > 60:
         top = close.max(axis=2, keepdims=True)
     close -= top
     np.exp(close, out=close)
-    close /= (close.reshape(-1, CONTEXT) @ _ONES[:CONTEXT]).reshape(-1, CONTEXT, 1)
+    close *= np.repeat(1 / (close.reshape(-1, CONTEXT) @ _ONES[:CONTEXT]), CONTEXT).reshape(close.shape)
     return close
 
 
-def attended(model: dict, wide: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, tuple]:
-    """Hidden states (window and place, HIDDEN) of windows of ids; places after a text's end are masked by order."""
+def attended(model: dict, wide: np.ndarray, ids: np.ndarray, skip: int = 0) -> tuple[np.ndarray, tuple]:
+    """Hidden states (window and place, HIDDEN) of windows of ids; places after a text's end are masked by order.
+
+    The first ``skip`` places of each window are only looked back at: they get no state.
+    """
     rows = wide.take(ids, axis=0)
     q, k, v, own = (rows[..., a:b] for a, b in zip(_EDGES[:-1], _EDGES[1:]))
+    q = q[:, skip:]
     close = np.matmul(q, k.transpose(0, 2, 1))
     close *= np.float32(WIDTH**-0.5)
-    close += model["near"] + _MASK
+    close += (model["near"] + _MASK)[skip:]
     weight = _softmax(close)
     mixed = np.matmul(weight, v)
-    hidden = mixed.reshape(-1, WIDTH) @ model["mix"]
-    hidden += own.reshape(-1, HIDDEN)
-    return hidden, (q, k, v, weight, mixed)
+    # the bias is the weight of a last number that is always 1
+    hidden = np.ones((*q.shape[:2], HIDDEN + 1), np.float32)
+    flat = hidden.reshape(-1, HIDDEN + 1)
+    np.matmul(mixed.reshape(-1, WIDTH), model["mix"], out=flat[:, :HIDDEN])
+    hidden[..., :HIDDEN] += own[:, skip:]
+    return flat[:, :HIDDEN], (q, k, v, weight, mixed, flat)
 
 
 def new_model(size: int, start: np.ndarray, seed: int = 7) -> dict:
@@ -324,16 +397,17 @@ def _slopes(state: dict, wide: np.ndarray, ids: np.ndarray, scored: np.ndarray,
 
     ``scored`` are numbers of places, ``goal`` the classes that follow there.
     """
-    hidden, (q, k, v, weight, mixed) = attended(state, wide, ids)
-    d_hidden = np.zeros_like(hidden)
-    # the bias is the weight of a last number that is always 1
+    _, (q, k, v, weight, mixed, hidden) = attended(state, wide, ids)
+    places = np.empty((*ids.shape, _EDGES[-1]), np.float32)
+    d_q, d_k, d_v = (places[..., a:b] for a, b in zip(_EDGES[:-2], _EDGES[1:-1]))
+    d_hidden = places.reshape(-1, _EDGES[-1])[:, _EDGES[-2] :]
+    d_hidden[:] = 0
     forth, back = _with_bias(state), np.ascontiguousarray(state["out"].T)
     d_forth = np.zeros_like(forth)
-    scores, used = np.empty((ROWS, CLASSES), np.float32), np.empty((ROWS, HIDDEN + 1), np.float32)
+    scores = np.empty((ROWS, CLASSES), np.float32)
     for a in range(0, len(scored), ROWS):
         at, some = scored[a : a + ROWS], goal[a : a + ROWS]
-        p, h = scores[: len(at)], used[: len(at)]
-        h[:, :HIDDEN], h[:, HIDDEN] = hidden[at], 1
+        p, h = scores[: len(at)], hidden.take(at, axis=0)
         np.matmul(h, forth, out=p)
         np.exp(p, out=p)
         total = p @ _ONES[:CLASSES]
@@ -341,22 +415,22 @@ def _slopes(state: dict, wide: np.ndarray, ids: np.ndarray, scored: np.ndarray,
         share = (1 / (total * np.float32(len(scored))))[:, None]
         d_hidden[at] = (p @ back) * share
         h *= share
-        d_forth += h.T @ p
+        for b in range(0, len(at), ROWS // 2):
+            d_forth += h[b : b + ROWS // 2].T @ p[b : b + ROWS // 2]
     dense = {"out": d_forth[:HIDDEN], "bias": d_forth[HIDDEN]}
     dense["mix"] = mixed.reshape(-1, WIDTH).T @ d_hidden
     d_mixed = (d_hidden @ state["mix"].T).reshape(mixed.shape)
     d_close = np.matmul(d_mixed, v.transpose(0, 2, 1))
-    d_close -= ((d_mixed * mixed).reshape(-1, WIDTH) @ _ONES[:WIDTH]).reshape(-1, CONTEXT, 1)
+    d_close -= np.repeat((d_mixed * mixed).reshape(-1, WIDTH) @ _ONES[:WIDTH], CONTEXT).reshape(d_close.shape)
     d_close *= weight
     # a lag has one number wherever it stands in the window
     summed = (np.ones(len(ids), np.float32) @ d_close.reshape(len(ids), -1)).reshape(CONTEXT, CONTEXT)
     by_lag = np.bincount(_LAG.ravel(), np.tril(summed).ravel(), CONTEXT)
     dense["near"] = np.tril(by_lag[_LAG]).astype(np.float32)
     d_close *= np.float32(WIDTH**-0.5)
-    places = np.empty((*ids.shape, _EDGES[-1]), np.float32)
-    found = (np.matmul(d_close, k), np.matmul(d_close.transpose(0, 2, 1), q), np.matmul(weight.transpose(0, 2, 1), d_mixed), d_hidden.reshape(*ids.shape, HIDDEN))
-    for a, b, slope in zip(_EDGES[:-1], _EDGES[1:], found):
-        places[..., a:b] = slope
+    np.matmul(d_close, k, out=d_q)
+    np.matmul(d_close.transpose(0, 2, 1), q, out=d_k)
+    np.matmul(weight.transpose(0, 2, 1), d_mixed, out=d_v)
     return dense, places.reshape(-1, _EDGES[-1])
 
 
@@ -390,7 +464,8 @@ def train(state: dict, streams: list[np.ndarray], kind: np.ndarray, seen: np.nda
             edge = np.flatnonzero(np.concatenate(([True], sorted_ids[1:] != sorted_ids[:-1])))
             rows = sorted_ids[edge]
             seen[rows] += 1
-            g = np.add.reduceat(places.take(by_id, axis=0), edge, axis=0)
+            # two numbers are added at a time, as the parts of a complex one
+            g = np.add.reduceat(places.take(by_id, axis=0).view(np.complex64), edge, axis=0).view(np.float32)
             total = sums[rows] + (g * g) @ mean_of
             sums[rows] = total
             g *= (rate / (np.sqrt(total) + least)) @ _TABLE_OF
@@ -487,17 +562,20 @@ def log_probabilities(model: dict, kind: np.ndarray, inside: np.ndarray, streams
     goal_kinds = kind[goals]
     out = (inside[goals] if inside.ndim == 1 else inside[kind[inputs], goals]).astype(np.float64)
     forth = _with_bias(model)
-    scores, used = np.empty((WINDOWS * CONTEXT, CLASSES), np.float32), np.ones((WINDOWS * CONTEXT, HIDDEN + 1), np.float32)
-    for i in range(0, len(place), WINDOWS):
-        at, scored = place[i : i + WINDOWS], np.flatnonzero(fresh[i : i + WINDOWS])
-        hidden, _ = attended(model, wide, inputs[np.maximum(at, 0)])
-        use = at.ravel()[scored]
-        logits, h = scores[: len(use)], used[: len(use)]
-        h[:, :HIDDEN] = hidden[scored]
-        np.matmul(h, forth, out=logits)
-        top = logits[np.arange(len(use)), goal_kinds[use]]
-        np.exp(logits, out=logits)
-        out[use] += top - np.log(logits @ _ONES[:CLASSES])
+    scores = np.empty((WINDOWS * CONTEXT, CLASSES), np.float32)
+    for skip, windows in ((OVERLAP, np.flatnonzero(~fresh[:, 0])), (0, np.flatnonzero(fresh[:, 0]))):
+        for i in range(0, len(windows), WINDOWS):
+            at = place[windows[i : i + WINDOWS]]
+            _, (*_, hidden) = attended(model, wide, inputs[np.maximum(at, 0)], skip)
+            use = at[:, skip:].ravel()
+            logits = scores[: len(use)]
+            np.matmul(hidden, forth, out=logits)
+            top = logits[np.arange(len(use)), goal_kinds[use]]
+            np.exp(logits, out=logits)
+            top -= np.log(logits @ _ONES[:CLASSES])
+            # places after a text's end are -1
+            inside_text = use >= 0
+            out[use[inside_text]] += top[inside_text]
     return np.bincount(np.repeat(np.arange(len(sizes)), sizes), out, len(sizes)) / np.log(10)
 
 
@@ -527,32 +605,33 @@ def _score_batches(shared):
         codes, counts = value["codes"], value["counts"]
         base = value["total"] + 0.1 * (value["distinct"] + 1)
         end_part = np.log10((value["ends"] + 0.1) / base)
-        for batch in batches:
-            columns: list[list] = [[] for _ in range(6)]
-            ids = batch.column("_llm_ids").to_pylist()
-            for first, texts in blocks(bytes_of(batch.column("text")), 2 << 20):
-                words = Words(texts)
-                n = len(texts)
-                at = np.searchsorted(codes, signed(words.hash))
-                at[at == len(codes)] = 0
-                known = codes[at] == signed(words.hash) if len(codes) else np.zeros(len(at), bool)
-                part = np.where(known, np.log10((counts[at] if len(counts) else 0) + 0.1) - np.log10(base), 0.0)
-                streams = [_stream(x, end) for x in ids[first : first + n]]
-                columns[0] += (words.count + 1).tolist()
-                columns[1] += (np.bincount(words.text, known, n).astype(np.int64) + (value["ends"] > 0)).tolist()
-                columns[2] += (np.bincount(words.text, part, n) + end_part).tolist()
-                columns[3] += log_probabilities(value["model"], value["kind"], value["inside"], streams, wide).tolist()
-                rare = np.flatnonzero(~known)
-                edges = np.searchsorted(words.text[rare], np.arange(n + 1)).tolist()
-                left = signed(words.hash[rare])
-                for a, b in zip(edges[:-1], edges[1:]):
-                    code, times = np.unique(left[a:b], return_counts=True)
-                    columns[4].append(code)
-                    columns[5].append(times)
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+        for batch in (part for whole in batches for part in slices(whole)):
+            words = Words(bytes_of(batch.column("text")))
+            n = batch.num_rows
+            unique, _, number = distinct(words.hash)
+            unique = signed(unique)
+            at = np.searchsorted(codes, unique)
+            at[at == len(codes)] = 0
+            met = codes[at] == unique if len(codes) else np.zeros(len(at), bool)
+            part = np.where(met, np.log10((counts[at] if len(counts) else 0) + 0.1) - np.log10(base), 0.0)
+            known = met[number]
+            streams = [_stream(x, end) for x in batch.column("_llm_ids").to_pylist()]
+            # the rare words of each text, each once
+            rare = np.flatnonzero(~known)
+            pairs, times = np.unique(words.text[rare] * len(unique) + number[rare], return_counts=True)
+            owner, code = np.divmod(pairs, max(len(unique), 1))
+            edges = pa.array(np.searchsorted(owner, np.arange(n + 1)), pa.int32())
+            columns = [
+                pa.array(words.count + 1, pa.int64()),
+                pa.array(np.bincount(words.text, known, n).astype(np.int64) + (value["ends"] > 0), pa.int64()),
+                pa.array(np.bincount(words.text, part[number], n) + end_part, pa.float64()),
+                pa.array(log_probabilities(value["model"], value["kind"], value["inside"], streams, wide), pa.float64()),
+                pa.ListArray.from_arrays(edges, pa.array(unique[code], pa.int64())),
+                pa.ListArray.from_arrays(edges, pa.array(times, pa.int64())),
+            ]
             keep = [i for i, name in enumerate(batch.schema.names) if name not in ("text", "_llm_ids")]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(i) for i in keep] + [pa.array(c, k) for c, k in zip(columns, kinds)],
+                [batch.column(i) for i in keep] + columns,
                 names=[batch.schema.names[i] for i in keep] + ["n_tokens", "n_frequent", "part", "score", "rare", "times"],
             )
 
@@ -602,7 +681,7 @@ def score(docs: DataFrame, counts: DataFrame, model: dict) -> DataFrame:
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in keys)
     rows = docs.withColumn("_llm_row", F.monotonically_increasing_id()).select(*[f.name for f in keys], "_llm_row", "text", "_llm_ids")
     # written once: the number of a row is kept with it
-    scored = written(rows.mapInArrow(tidy(_score_batches(shared)), fields + "_llm_row long, n_tokens long, n_frequent long, part double, score double, rare array<long>, times array<long>"))
+    scored = written(rows.mapInArrow(tidy(_score_batches(shared)), fields + "_llm_row long, n_tokens long, n_frequent long, part double, score double, rare array<long>, times array<long>"), TEXT_BATCH)
     rare = scored.where(F.size("rare") > 0).select("_llm_row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("_llm_row", F.col("r.rare").alias("code"), F.col("r.times").alias("times"))
     left = counts.where((F.col("code") != 0) & (F.least("n", F.lit(4096)) < model["least"])).select("code", "n")
     base = model["total"] + 0.1 * (model["distinct"] + 1)
