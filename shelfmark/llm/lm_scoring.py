@@ -42,9 +42,10 @@ RATE = 0.1
 # Rows of class scores, and windows of a text that is scored, held at a time.
 ROWS = 768
 WINDOWS = 128
-# Words whose ids a task remembers, and texts that train together, in bytes.
+# Words whose ids a task remembers, and texts that train or are scored together, in bytes.
 REMEMBERED = 300_000
 TRAIN_BLOCK = 2 << 20
+SCORE_BLOCK = 2 << 20
 # Bytes of the batches in which texts go to the cutting into ids and to the scores.
 TEXT_BATCH = 4 << 20
 # Parts of the id tables that are added up apart.
@@ -159,7 +160,7 @@ def slices(batch: pa.RecordBatch, size: int = BLOCK_BYTES) -> Iterator[pa.Record
     first = 0
     while first < len(ends):
         held = ends[first - 1] if first else 0
-        last = max(int(np.searchsorted(ends, held + size, side="right")), first + 1)
+        last = max(int(np.searchsorted(ends, held + size + 1, side="right")), first + 1)
         yield batch.slice(first, last - first)
         first = last
 
@@ -340,33 +341,26 @@ def _softmax(close: np.ndarray) -> np.ndarray:
     """In place, over the last axis of (window, place, place before); the diagonal is never masked."""
     top = close.max()
     # far from the highest number, a row is measured from its own
-    if top - close.diagonal(CONTEXT - close.shape[1], axis1=1, axis2=2).min() > 60:
+    if top - close.diagonal(axis1=1, axis2=2).min() > 60:
         top = close.max(axis=2, keepdims=True)
     close -= top
     np.exp(close, out=close)
-    close *= np.repeat(1 / (close.reshape(-1, CONTEXT) @ _ONES[:CONTEXT]), CONTEXT).reshape(close.shape)
+    close /= np.repeat(close.reshape(-1, CONTEXT) @ _ONES[:CONTEXT], CONTEXT).reshape(close.shape)
     return close
 
 
-def attended(model: dict, wide: np.ndarray, ids: np.ndarray, skip: int = 0) -> tuple[np.ndarray, tuple]:
-    """Hidden states (window and place, HIDDEN) of windows of ids; places after a text's end are masked by order.
-
-    The first ``skip`` places of each window are only looked back at: they get no state.
-    """
+def attended(model: dict, wide: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, tuple]:
+    """Hidden states (window and place, HIDDEN) of windows of ids; places after a text's end are masked by order."""
     rows = wide.take(ids, axis=0)
     q, k, v, own = (rows[..., a:b] for a, b in zip(_EDGES[:-1], _EDGES[1:]))
-    q = q[:, skip:]
     close = np.matmul(q, k.transpose(0, 2, 1))
     close *= np.float32(WIDTH**-0.5)
-    close += (model["near"] + _MASK)[skip:]
+    close += model["near"] + _MASK
     weight = _softmax(close)
     mixed = np.matmul(weight, v)
-    # the bias is the weight of a last number that is always 1
-    hidden = np.ones((*q.shape[:2], HIDDEN + 1), np.float32)
-    flat = hidden.reshape(-1, HIDDEN + 1)
-    np.matmul(mixed.reshape(-1, WIDTH), model["mix"], out=flat[:, :HIDDEN])
-    hidden[..., :HIDDEN] += own[:, skip:]
-    return flat[:, :HIDDEN], (q, k, v, weight, mixed, flat)
+    hidden = mixed.reshape(-1, WIDTH) @ model["mix"]
+    hidden += own.reshape(-1, HIDDEN)
+    return hidden, (q, k, v, weight, mixed)
 
 
 def new_model(size: int, start: np.ndarray, seed: int = 7) -> dict:
@@ -397,17 +391,16 @@ def _slopes(state: dict, wide: np.ndarray, ids: np.ndarray, scored: np.ndarray,
 
     ``scored`` are numbers of places, ``goal`` the classes that follow there.
     """
-    _, (q, k, v, weight, mixed, hidden) = attended(state, wide, ids)
-    places = np.empty((*ids.shape, _EDGES[-1]), np.float32)
-    d_q, d_k, d_v = (places[..., a:b] for a, b in zip(_EDGES[:-2], _EDGES[1:-1]))
-    d_hidden = places.reshape(-1, _EDGES[-1])[:, _EDGES[-2] :]
-    d_hidden[:] = 0
+    hidden, (q, k, v, weight, mixed) = attended(state, wide, ids)
+    d_hidden = np.zeros_like(hidden)
+    # the bias is the weight of a last number that is always 1
     forth, back = _with_bias(state), np.ascontiguousarray(state["out"].T)
     d_forth = np.zeros_like(forth)
-    scores = np.empty((ROWS, CLASSES), np.float32)
+    scores, used = np.empty((ROWS, CLASSES), np.float32), np.empty((ROWS, HIDDEN + 1), np.float32)
     for a in range(0, len(scored), ROWS):
         at, some = scored[a : a + ROWS], goal[a : a + ROWS]
-        p, h = scores[: len(at)], hidden.take(at, axis=0)
+        p, h = scores[: len(at)], used[: len(at)]
+        h[:, :HIDDEN], h[:, HIDDEN] = hidden.take(at, axis=0), 1
         np.matmul(h, forth, out=p)
         np.exp(p, out=p)
         total = p @ _ONES[:CLASSES]
@@ -415,8 +408,7 @@ def _slopes(state: dict, wide: np.ndarray, ids: np.ndarray, scored: np.ndarray,
         share = (1 / (total * np.float32(len(scored))))[:, None]
         d_hidden[at] = (p @ back) * share
         h *= share
-        for b in range(0, len(at), ROWS // 2):
-            d_forth += h[b : b + ROWS // 2].T @ p[b : b + ROWS // 2]
+        d_forth += h.T @ p
     dense = {"out": d_forth[:HIDDEN], "bias": d_forth[HIDDEN]}
     dense["mix"] = mixed.reshape(-1, WIDTH).T @ d_hidden
     d_mixed = (d_hidden @ state["mix"].T).reshape(mixed.shape)
@@ -428,9 +420,12 @@ def _slopes(state: dict, wide: np.ndarray, ids: np.ndarray, scored: np.ndarray,
     by_lag = np.bincount(_LAG.ravel(), np.tril(summed).ravel(), CONTEXT)
     dense["near"] = np.tril(by_lag[_LAG]).astype(np.float32)
     d_close *= np.float32(WIDTH**-0.5)
+    places = np.empty((*ids.shape, _EDGES[-1]), np.float32)
+    d_q, d_k, d_v, d_own = (places[..., a:b] for a, b in zip(_EDGES[:-1], _EDGES[1:]))
     np.matmul(d_close, k, out=d_q)
     np.matmul(d_close.transpose(0, 2, 1), q, out=d_k)
     np.matmul(weight.transpose(0, 2, 1), d_mixed, out=d_v)
+    d_own[:] = d_hidden.reshape(d_own.shape)
     return dense, places.reshape(-1, _EDGES[-1])
 
 
@@ -464,8 +459,7 @@ def train(state: dict, streams: list[np.ndarray], kind: np.ndarray, seen: np.nda
             edge = np.flatnonzero(np.concatenate(([True], sorted_ids[1:] != sorted_ids[:-1])))
             rows = sorted_ids[edge]
             seen[rows] += 1
-            # two numbers are added at a time, as the parts of a complex one
-            g = np.add.reduceat(places.take(by_id, axis=0).view(np.complex64), edge, axis=0).view(np.float32)
+            g = np.add.reduceat(places.take(by_id, axis=0), edge, axis=0)
             total = sums[rows] + (g * g) @ mean_of
             sums[rows] = total
             g *= (rate / (np.sqrt(total) + least)) @ _TABLE_OF
@@ -562,20 +556,17 @@ def log_probabilities(model: dict, kind: np.ndarray, inside: np.ndarray, streams
     goal_kinds = kind[goals]
     out = (inside[goals] if inside.ndim == 1 else inside[kind[inputs], goals]).astype(np.float64)
     forth = _with_bias(model)
-    scores = np.empty((WINDOWS * CONTEXT, CLASSES), np.float32)
-    for skip, windows in ((OVERLAP, np.flatnonzero(~fresh[:, 0])), (0, np.flatnonzero(fresh[:, 0]))):
-        for i in range(0, len(windows), WINDOWS):
-            at = place[windows[i : i + WINDOWS]]
-            _, (*_, hidden) = attended(model, wide, inputs[np.maximum(at, 0)], skip)
-            use = at[:, skip:].ravel()
-            logits = scores[: len(use)]
-            np.matmul(hidden, forth, out=logits)
-            top = logits[np.arange(len(use)), goal_kinds[use]]
-            np.exp(logits, out=logits)
-            top -= np.log(logits @ _ONES[:CLASSES])
-            # places after a text's end are -1
-            inside_text = use >= 0
-            out[use[inside_text]] += top[inside_text]
+    scores, used = np.empty((WINDOWS * CONTEXT, CLASSES), np.float32), np.ones((WINDOWS * CONTEXT, HIDDEN + 1), np.float32)
+    for i in range(0, len(place), WINDOWS):
+        at, scored = place[i : i + WINDOWS], np.flatnonzero(fresh[i : i + WINDOWS])
+        hidden, _ = attended(model, wide, inputs[np.maximum(at, 0)])
+        use = at.ravel()[scored]
+        logits, h = scores[: len(use)], used[: len(use)]
+        h[:, :HIDDEN] = hidden.take(scored, axis=0)
+        np.matmul(h, forth, out=logits)
+        top = logits[np.arange(len(use)), goal_kinds[use]]
+        np.exp(logits, out=logits)
+        out[use] += top - np.log(logits @ _ONES[:CLASSES])
     return np.bincount(np.repeat(np.arange(len(sizes)), sizes), out, len(sizes)) / np.log(10)
 
 
@@ -605,35 +596,38 @@ def _score_batches(shared):
         codes, counts = value["codes"], value["counts"]
         base = value["total"] + 0.1 * (value["distinct"] + 1)
         end_part = np.log10((value["ends"] + 0.1) / base)
-        for batch in (part for whole in batches for part in slices(whole)):
-            words = Words(bytes_of(batch.column("text")))
-            n = batch.num_rows
-            unique, _, number = distinct(words.hash)
-            unique = signed(unique)
-            at = np.searchsorted(codes, unique)
-            at[at == len(codes)] = 0
-            met = codes[at] == unique if len(codes) else np.zeros(len(at), bool)
-            part = np.where(met, np.log10((counts[at] if len(counts) else 0) + 0.1) - np.log10(base), 0.0)
-            known = met[number]
-            streams = [_stream(x, end) for x in batch.column("_llm_ids").to_pylist()]
-            # the rare words of each text, each once
-            rare = np.flatnonzero(~known)
-            pairs, times = np.unique(words.text[rare] * len(unique) + number[rare], return_counts=True)
-            owner, code = np.divmod(pairs, max(len(unique), 1))
-            edges = pa.array(np.searchsorted(owner, np.arange(n + 1)), pa.int32())
-            columns = [
-                pa.array(words.count + 1, pa.int64()),
-                pa.array(np.bincount(words.text, known, n).astype(np.int64) + (value["ends"] > 0), pa.int64()),
-                pa.array(np.bincount(words.text, part[number], n) + end_part, pa.float64()),
-                pa.array(log_probabilities(value["model"], value["kind"], value["inside"], streams, wide), pa.float64()),
-                pa.ListArray.from_arrays(edges, pa.array(unique[code], pa.int64())),
-                pa.ListArray.from_arrays(edges, pa.array(times, pa.int64())),
-            ]
-            keep = [i for i, name in enumerate(batch.schema.names) if name not in ("text", "_llm_ids")]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(i) for i in keep] + columns,
-                names=[batch.schema.names[i] for i in keep] + ["n_tokens", "n_frequent", "part", "score", "rare", "times"],
-            )
+        for block in (part for batch in batches for part in slices(batch, SCORE_BLOCK)):
+            streams = [_stream(x, end) for x in block.column("_llm_ids").to_pylist()]
+            scores, first = log_probabilities(value["model"], value["kind"], value["inside"], streams, wide), 0
+            for batch in slices(block):
+                words = Words(bytes_of(batch.column("text")))
+                n = batch.num_rows
+                unique, _, number = distinct(words.hash)
+                unique = signed(unique)
+                at = np.searchsorted(codes, unique)
+                at[at == len(codes)] = 0
+                met = codes[at] == unique if len(codes) else np.zeros(len(at), bool)
+                part = np.where(met, np.log10((counts[at] if len(counts) else 0) + 0.1) - np.log10(base), 0.0)
+                known = met[number]
+                # the rare words of each text, each once
+                rare = np.flatnonzero(~known)
+                pairs, times = np.unique(words.text[rare] * len(unique) + number[rare], return_counts=True)
+                owner, code = np.divmod(pairs, max(len(unique), 1))
+                edges = pa.array(np.searchsorted(owner, np.arange(n + 1)), pa.int32())
+                columns = [
+                    pa.array(words.count + 1, pa.int64()),
+                    pa.array(np.bincount(words.text, known, n).astype(np.int64) + (value["ends"] > 0), pa.int64()),
+                    pa.array(np.bincount(words.text, part[number], n) + end_part, pa.float64()),
+                    pa.array(scores[first : first + n]),
+                    pa.ListArray.from_arrays(edges, pa.array(unique[code], pa.int64())),
+                    pa.ListArray.from_arrays(edges, pa.array(times, pa.int64())),
+                ]
+                keep = [i for i, name in enumerate(batch.schema.names) if name not in ("text", "_llm_ids")]
+                first += n
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(i) for i in keep] + columns,
+                    names=[batch.schema.names[i] for i in keep] + ["n_tokens", "n_frequent", "part", "score", "rare", "times"],
+                )
 
     return run
 
