@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from shelfmark.plans.jobs import scan_part
-from shelfmark.session import cut_lineage
 from shelfmark.sources.shelves import Shelves
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
@@ -38,7 +37,7 @@ def merge_arrivals(
 ) -> StreamingQuery:
     """Merge a stream of files (path, file_size, file_mtime, content) into the store below ``root``.
 
-    Each batch makes the version after the newest one and rewrites the buckets of the rows it touches. The
+    Each batch makes the version after the newest one: a new part of each bucket that gets rows, and the buckets rewritten whose rows it changes. The
     stream's batch number is stored with the version, so a batch repeated after a failure changes nothing
     once it is merged, and every file counts once. The store must exist; it may be at any version.
     """
@@ -48,7 +47,7 @@ def merge_arrivals(
         if store.batches().get(checkpoint, -1) >= number:
             return
         before, result = scan_part(store, batch, now, validate)
-        store.change(before, cut_lineage(result.books), checkpoint, number)
+        store.change(before, result.books, checkpoint, number)
 
     return (
         arrivals.writeStream.foreachBatch(one_batch)
