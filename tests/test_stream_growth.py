@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+
+import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from shelfmark.operators import stats
-from shelfmark.sources import shelves
+from shelfmark.plans import registry
+from shelfmark.plans.bindings import Library, make_package
+from shelfmark.schema import BOOKS
+from shelfmark.sources import packages, shelves
+from shelfmark.streaming.arrivals import merge_arrivals
+
+
+def package(title: str, text: str = "text") -> bytes:
+    return make_package(9, title, "Some One", "en", "9780000000001", "1.5", text)
 
 
 def _written(spark, store) -> int:
@@ -50,3 +62,48 @@ def test_parts_of_a_bucket_stay_few(spark, make_books, tmp_path):
 def test_a_new_store_is_written_without_an_exchange(make_books):
     plan = shelves._fresh(make_books(*[dict(id=i, title="T") for i in range(9)]), 4)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def test_files_of_a_batch_are_made_once(spark, tmp_path):
+    calls = tmp_path / "calls"
+    calls.mkdir()
+    folder, one, other = str(calls), package("One"), package("Other")
+
+    @F.pandas_udf(BinaryType())
+    def body(path: pd.Series) -> pd.Series:
+        for p in path:
+            with open(f"{folder}/{uuid.uuid4().hex}", "w") as out:
+                out.write(p)
+        return path.map({"/lib/a.epub": one, "/lib/b.epub": other, "/lib/copy of a.epub": one, "/lib/bad.epub": b"no zip"}.get)
+
+    shelves.create(spark.createDataFrame([], BOOKS), f"{tmp_path}/catalog", 0, buckets=2)
+    paths = ["/lib/a.epub", "/lib/b.epub", "/lib/copy of a.epub", "/lib/bad.epub", "/lib/gone.epub"]
+    spark.createDataFrame([(p, 3) for p in paths], "path string, file_size long").write.parquet(f"{tmp_path}/landed")
+    landed = spark.readStream.schema("path string, file_size long").parquet(f"{tmp_path}/landed")
+    arrivals = landed.select("path", "file_size", F.timestamp_seconds(F.lit(1)).alias("file_mtime"), body("path").alias("content"))
+    merge_arrivals(arrivals, f"{tmp_path}/catalog", f"{tmp_path}/progress", "now").awaitTermination()
+    assert sorted(p.read_text() for p in calls.iterdir()) == sorted(paths)
+    found = shelves.Shelves(spark, f"{tmp_path}/catalog").books().collect()
+    assert sorted(r.title for r in found) == ["One", "Other"] and all(r.file_size == 3 for r in found)
+
+
+def test_inspection_beside_other_columns_equals_inspection(spark):
+    rows = [("a", package("A", "B & C"), 1), ("b", b"no zip", None), ("c", b"", 3), ("d", None, 4), (None, package("E"), 5)]
+    files = spark.createDataFrame(rows, "path string, content binary, n long")
+    both = packages.with_inspection(files)
+    assert both.columns == ["path", "n", *packages.inspect_packages(files).columns[1:]]
+    assert sorted(map(str, both.drop("n").collect())) == sorted(map(str, packages.inspect_packages(files).collect()))
+    assert sorted((r.path or "", r.n) for r in both.collect()) == sorted((p or "", n) for p, _, n in rows)
+
+
+def test_documents_land_in_many_files(spark, tmp_path):
+    docs = [(i, f"Title {i}\nwords of {i}", "en", "src1", 20) for i in range(48)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    store, again = registry._streamed(Library(spark, str(tmp_path)))
+    folder = store.root.removesuffix("/catalog") + "/landed"
+    files = spark.read.parquet(folder).groupBy(F.col("_metadata.file_name")).agg(F.collect_set(F.pmod("doc_id", F.lit(2))).alias("halves")).collect()
+    assert len(files) > 2 and all(len(r.halves) == 1 for r in files)
+    assert store.version == 5 and again().version == 5
+    # the sound ones of each half: 6, 8 and 10, and 5, 9 and 11 of twelve
+    counts = [shelves.Shelves(spark, store.root, v).books().count() for v in (3, 4, 5)]
+    assert counts == [48, 48 + 12, 48 + 24]
