@@ -29,7 +29,7 @@ from shelfmark.sources.catalog import ID_FILTER, conform
 # Buckets of a new store; the new rows of a bucket are written in one task, so choose rows / BUCKETS to suit one.
 BUCKETS = 64
 # Tasks a core that write a new store, at most; each writes a file to each bucket.
-STORE_TASKS = 4
+STORE_TASKS = 16
 # Ids that are broadcast to whole rows, at most; more are exchanged with them.
 FEW_IDS = 1_000_000
 # Texts take up most of a store.
@@ -88,7 +88,7 @@ class Shelves:
     def stored(self, buckets: list[int] | None = None) -> DataFrame:
         """The rows with their derived columns and their bucket; of some buckets, only their files."""
         parts = self.parts()
-        return self._rows_of(parts, {b: list(parts[b]) for b in parts if buckets is None or b in buckets})
+        return self._rows_of(parts, {b: list(parts[b]) for b in (parts if buckets is None else parts.keys() & set(buckets))})
 
     def _rows_of(self, parts: dict[int, dict[int, int]], chosen: dict[int, list[int]]) -> DataFrame:
         """The rows of some parts (bucket to versions)."""
