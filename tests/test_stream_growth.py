@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import random
+import re
 import uuid
 
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
+from shelfmark.functions.text import token_string
 from shelfmark.operators import stats
 from shelfmark.plans import registry
 from shelfmark.plans.bindings import Library, make_package
@@ -107,3 +110,15 @@ def test_documents_land_in_many_files(spark, tmp_path):
     # the sound ones of each half: 6, 8 and 10, and 5, 9 and 11 of twelve
     counts = [shelves.Shelves(spark, store.root, v).books().count() for v in (3, 4, 5)]
     assert counts == [48, 48 + 12, 48 + 24]
+
+
+def test_words_of_texts_of_single_bytes(spark):
+    """Texts of single bytes take a way of their own; with a letter of two bytes at the end they do not."""
+    rng = random.Random(5)
+    texts = ["".join(chr(rng.choice([rng.randrange(128), 32, 97])) for _ in range(rng.randrange(9))) for _ in range(300)]
+    words = spark.createDataFrame([(t,) for t in texts], "t string").select(
+        "t", token_string(F.col("t")).alias("own"), token_string(F.concat("t", F.lit(" é"))).alias("other")
+    )
+    for r in words.collect():
+        wanted = "".join(f" {w}" for w in re.findall("[a-z0-9]+", r.t.lower()))
+        assert (r.own, r.other) == (wanted or " ", wanted + " e")
